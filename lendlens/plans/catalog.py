@@ -163,3 +163,197 @@ FROM f LEFT JOIN gs ON f.application_id = gs.application_id
 def q_transaction_features(spark, sf_dir):
     t = feat.parse_transactions(tb.statements(spark, sf_dir))
     return round_doubles(feat.transaction_features(t))
+
+
+# ---------------------------------------------------------------------------
+# Metrics on the scored population
+# ---------------------------------------------------------------------------
+from lendlens.operators import metrics as met  # noqa: E402
+from lendlens.operators import fairness as fair  # noqa: E402
+from lendlens.operators import log as plog  # noqa: E402
+
+SCORED_SQL = """s AS (
+  SELECT l.doc_id AS application_id, 1 - l.quality AS label,
+         CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + 2000.0) AS probability,
+         CASE WHEN CAST(d.n_chars AS DOUBLE) / (CAST(d.n_chars AS DOUBLE) + 2000.0) >= 0.5 THEN 1 ELSE 0 END
+           AS prediction,
+         d.lang, d.source, l.toxic, d.n_chars
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+COUNTS_SQL = """c AS (
+  SELECT count(*) AS n,
+    count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+    count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+    count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+    count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn
+  FROM s)"""
+
+
+def _scored(spark, sf_dir):
+    s = tb.scored_population(spark, sf_dir)
+    return s.withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
+
+
+def _div(a, b):
+    return f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0.0 END"
+
+
+@register("threshold_metrics", f"""
+WITH {SCORED_SQL}, {COUNTS_SQL},
+m AS (SELECT *, {_div('tp', 'tp + fp')} AS p, {_div('tp', 'tp + fn')} AS r FROM c)
+SELECT CAST(0.5 AS DOUBLE) AS threshold, tn, fp, fn, tp,
+  {r('p', 'precision')}, {r('r', 'recall')},
+  {r('CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END', 'f1_score')},
+  {r(_div('fp', 'fp + tn'), 'false_positive_rate')}, {r(_div('fn', 'fn + tp'), 'false_negative_rate')},
+  {r(_div('tp + tn', 'n'), 'accuracy')}
+FROM m
+""")
+def q_threshold_metrics(spark, sf_dir):
+    return round_doubles(met.threshold_metrics(tb.scored_population(spark, sf_dir)))
+
+
+@register("classification_summary", f"""
+WITH {SCORED_SQL}, {COUNTS_SQL},
+m AS (SELECT *, {_div('tp', 'tp + fp')} AS p1, {_div('tp', 'tp + fn')} AS r1,
+             {_div('tn', 'tn + fn')} AS p0, {_div('tn', 'tn + fp')} AS r0,
+             (tp + fn) / n AS w1, (tn + fp) / n AS w0 FROM c),
+f AS (SELECT *, CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0.0 END AS f1,
+                CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0.0 END AS f0 FROM m)
+SELECT n, {r('(tp + tn) / n', 'accuracy')}, {r('w1 * p1 + w0 * p0', 'weighted_precision')},
+  {r('w1 * r1 + w0 * r0', 'weighted_recall')}, {r('w1 * f1 + w0 * f0', 'weighted_f1')}
+FROM f
+""")
+def q_classification_summary(spark, sf_dir):
+    return round_doubles(met.classification_summary(_scored(spark, sf_dir)))
+
+
+ROC_SQL = f"""
+WITH {SCORED_SQL},
+per AS (SELECT probability AS threshold, count(*) FILTER (WHERE label = 1) AS pos,
+               count(*) FILTER (WHERE label = 0) AS neg FROM s GROUP BY probability),
+cum AS (SELECT *, sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS cp,
+                  sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS cn,
+                  sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM per)
+"""
+
+
+@register("roc_curve", ROC_SQL + f"""
+SELECT {r('threshold', 'threshold')}, {r(_div('cn', 'N'), 'fpr')}, {r(_div('cp', 'P'), 'tpr')},
+  {r('CASE WHEN P > 0 AND N > 0 THEN CAST(neg * (2 * cp - pos) AS DOUBLE) / (2.0 * CAST(P AS DOUBLE) * CAST(N AS DOUBLE)) ELSE 0.0 END', 'area')}
+FROM cum
+""")
+def q_roc_curve(spark, sf_dir):
+    return round_doubles(met.roc_points(tb.scored_population(spark, sf_dir)))
+
+
+@register("auc", ROC_SQL + f"""
+SELECT {r('sum(CASE WHEN P > 0 AND N > 0 THEN CAST(neg * (2 * cp - pos) AS DOUBLE) / (2.0 * CAST(P AS DOUBLE) * CAST(N AS DOUBLE)) ELSE 0.0 END)', 'auc')},
+  count(*) AS num_thresholds
+FROM cum
+""")
+def q_auc(spark, sf_dir):
+    return round_doubles(met.auc(tb.scored_population(spark, sf_dir)))
+
+
+@register("confusion_counts", f"""
+WITH {SCORED_SQL}
+SELECT label, prediction, count(*) AS n FROM s GROUP BY label, prediction
+""")
+def q_confusion_counts(spark, sf_dir):
+    return _scored(spark, sf_dir).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("split_rates", f"""
+WITH {SCORED_SQL},
+h AS (SELECT *, CASE WHEN CAST(('0x' || substr(md5(CAST(application_id AS VARCHAR) || ':42'), 1, 8)) AS BIGINT)
+                     / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS split FROM s)
+SELECT split, count(*) AS rows, CAST(sum(label) AS BIGINT) AS positives, {r('avg(label)', 'default_rate')}
+FROM h GROUP BY split
+""")
+def q_split_rates(spark, sf_dir):
+    return round_doubles(met.split_rates(met.hash_split(tb.scored_population(spark, sf_dir), "application_id")))
+
+
+# ---------------------------------------------------------------------------
+# Fairness (H1, H2, H4, H9)
+# ---------------------------------------------------------------------------
+def _group_metric_sql(feature_col: str) -> str:
+    return f"""
+  SELECT '{feature_col}' AS sensitive_feature, CAST({feature_col} AS VARCHAR) AS grp, count(*) AS n,
+    count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+    count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+    count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
+    count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn
+  FROM s GROUP BY {feature_col}
+  UNION ALL
+  SELECT '{feature_col}', 'Overall', count(*),
+    count(*) FILTER (WHERE label = 1 AND prediction = 1), count(*) FILTER (WHERE label = 0 AND prediction = 1),
+    count(*) FILTER (WHERE label = 0 AND prediction = 0), count(*) FILTER (WHERE label = 1 AND prediction = 0)
+  FROM s"""
+
+
+FAIR_METRICS_SQL = f"""
+WITH {SCORED_SQL},
+g AS ({_group_metric_sql('lang')} UNION ALL {_group_metric_sql('source')}),
+m AS (SELECT sensitive_feature, grp, n,
+  {_div('tp + tn', 'n')} AS accuracy, {_div('tp', 'tp + fp')} AS precision, {_div('tp', 'tp + fn')} AS recall,
+  {_div('tp + fp', 'n')} AS selection_rate, {_div('fp', 'fp + tn')} AS false_positive_rate,
+  {_div('fn', 'fn + tp')} AS false_negative_rate, {_div('tp', 'tp + fn')} AS true_positive_rate FROM g),
+d AS (SELECT sensitive_feature, 'Max Difference' AS grp, CAST(0 AS BIGINT) AS n,
+  max(accuracy) - min(accuracy) AS accuracy, max(precision) - min(precision) AS precision,
+  max(recall) - min(recall) AS recall, max(selection_rate) - min(selection_rate) AS selection_rate,
+  max(false_positive_rate) - min(false_positive_rate) AS false_positive_rate,
+  max(false_negative_rate) - min(false_negative_rate) AS false_negative_rate,
+  max(true_positive_rate) - min(true_positive_rate) AS true_positive_rate
+  FROM m WHERE grp <> 'Overall' GROUP BY sensitive_feature),
+a AS (SELECT * FROM m UNION ALL SELECT * FROM d)
+"""
+
+
+@register("fairness_metrics", FAIR_METRICS_SQL + f"""
+SELECT 'Baseline' AS model, sensitive_feature, grp AS "group", n AS sample_size,
+  {r('accuracy', 'accuracy')}, {r('precision', 'precision')}, {r('recall', 'recall')},
+  {r('selection_rate', 'selection_rate')}, {r('false_positive_rate', 'false_positive_rate')},
+  {r('false_negative_rate', 'false_negative_rate')}, {r('true_positive_rate', 'true_positive_rate')}
+FROM a
+""")
+def q_fairness_metrics(spark, sf_dir):
+    return round_doubles(fair.metrics_by_group(_scored(spark, sf_dir), ["lang", "source"], model="Baseline"))
+
+
+SUMMARY_SQL = FAIR_METRICS_SQL + """,
+su AS (SELECT sensitive_feature, max(selection_rate) - min(selection_rate) AS dp,
+  greatest(max(true_positive_rate) - min(true_positive_rate), max(false_positive_rate) - min(false_positive_rate)) AS eo
+  FROM m WHERE grp <> 'Overall' GROUP BY sensitive_feature)
+"""
+
+
+@register("fairness_summary", SUMMARY_SQL + f"""
+SELECT 'Baseline' AS model, sensitive_feature, {r('dp', 'demographic_parity_difference')},
+  {r('eo', 'equalized_odds_difference')}, abs(dp) < 0.05 AS is_fair_dp, abs(eo) < 0.05 AS is_fair_eo
+FROM su
+""")
+def q_fairness_summary(spark, sf_dir):
+    m = fair.metrics_by_group(_scored(spark, sf_dir), ["lang", "source"], model="Baseline")
+    return round_doubles(fair.fairness_summary(m))
+
+
+@register("needs_mitigation", SUMMARY_SQL + """
+SELECT count(*) FILTER (WHERE NOT (abs(dp) < 0.05) OR NOT (abs(eo) < 0.05)) > 0 AS needs_mitigation FROM su
+""")
+def q_needs_mitigation(spark, sf_dir):
+    m = fair.metrics_by_group(_scored(spark, sf_dir), ["lang", "source"], model="Baseline")
+    return fair.needs_mitigation(fair.fairness_summary(m))
+
+
+@register("reweighing", f"""
+WITH {SCORED_SQL},
+cells AS (SELECT lang, label, count(*) AS n_gy FROM s GROUP BY lang, label),
+w AS (SELECT lang, label, CAST(sum(n_gy) OVER (PARTITION BY lang) * sum(n_gy) OVER (PARTITION BY label) AS DOUBLE)
+      / (CAST(sum(n_gy) OVER () * n_gy AS DOUBLE)) AS weight FROM cells)
+SELECT s.application_id, s.lang, s.label, {r('w.weight', 'weight')}
+FROM s JOIN w ON s.lang = w.lang AND s.label = w.label
+""")
+def q_reweighing(spark, sf_dir):
+    s = tb.scored_population(spark, sf_dir).select("application_id", "lang", "label")
+    return round_doubles(fair.reweighing_weights(s, "lang").select("application_id", "lang", "label", "weight"))

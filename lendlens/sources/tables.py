@@ -158,3 +158,53 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.col("num_urgent").alias("num_derogatory_marks"),
                 F.col("first_order"),
             ))
+
+
+# ---------------------------------------------------------------------------
+# Scored population for metrics and fairness (fixture rule, ours):
+# label = 1 - quality (1 = "default"), probability = n / (n + 2000) from the
+# document length, sensitive attributes = language and source.
+# ---------------------------------------------------------------------------
+SCORE_HALF_POINT = 2000.0
+
+
+def scored_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = table(spark, sf_dir, "labels")
+    doc = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return lab.join(doc, "doc_id").select(
+        F.col("doc_id").alias("application_id"),
+        (F.lit(1) - F.col("quality")).alias("label"),
+        (F.col("n_chars") / (F.col("n_chars") + F.lit(SCORE_HALF_POINT))).alias("probability"),
+        F.col("lang"), F.col("source"), F.col("toxic"), F.col("n_chars"),
+    )
+
+
+# ---------------------------------------------------------------------------
+# Prediction log (fixture rule, ours): one logged decision per event; the
+# event value sets the probability, the customer gives name and the
+# attributes audited for fairness (segment as "gender", region as "race").
+# ---------------------------------------------------------------------------
+def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    geo = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey"), F.col("r_name"))
+    p = F.least(F.col("value") / 500.0, F.lit(1.0))
+    return (e.join(c, e.user_id == c.c_custkey, "left")
+            .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            .select(
+                F.col("event_id").alias("id"),
+                F.concat(F.lit("APP"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("application_id"),
+                F.col("ts").alias("timestamp"),
+                F.col("event_type").alias("submitted_by"),
+                F.col("c_name").alias("applicant_name"),
+                (F.lit(21) + F.pmod(F.col("user_id"), F.lit(50))).cast("int").alias("applicant_age"),
+                F.col("c_mktsegment").alias("gender"),
+                F.col("r_name").alias("race"),
+                F.round(F.col("value") * 100, 2).alias("loan_amount"),
+                F.element_at(F.array(F.lit(36), F.lit(60), F.lit(84), F.lit(120)),
+                             (F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("int")).alias("loan_term"),
+                p.alias("probability"),
+                F.col("props"),
+            ))
