@@ -35,7 +35,7 @@ def search(df: DataFrame, decision: str | None = None, text: str | None = None)
     if decision:
         df = df.filter(F.col("decision") == decision)
     if text:
-        pat = F.lit(f"%{text}%")
+        pat = "%" + text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
         df = df.filter(F.col("applicant_name").ilike(pat) | F.col("application_id").ilike(pat))
     return df
 

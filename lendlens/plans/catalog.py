@@ -357,3 +357,261 @@ FROM s JOIN w ON s.lang = w.lang AND s.label = w.label
 def q_reweighing(spark, sf_dir):
     s = tb.scored_population(spark, sf_dir).select("application_id", "lang", "label")
     return round_doubles(fair.reweighing_weights(s, "lang").select("application_id", "lang", "label", "weight"))
+
+
+# ---------------------------------------------------------------------------
+# Prediction log
+# ---------------------------------------------------------------------------
+AS_OF = "2024-01-30 00:00:00"
+
+LOG_SQL = """lg0 AS (
+  SELECT e.event_id AS id, 'APP' || lpad(CAST(e.event_id AS VARCHAR), 8, '0') AS application_id,
+         e.ts AS "timestamp", e.event_type AS submitted_by, c.c_name AS applicant_name,
+         c.c_mktsegment AS gender, r.r_name AS race, e.value * 100 AS loan_amount,
+         least(e.value / 500.0, 1.0) AS probability
+  FROM events e LEFT JOIN customer c ON e.user_id = c.c_custkey
+       LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+       LEFT JOIN region r ON n.n_regionkey = r.r_regionkey),
+lg AS (
+  SELECT *, CASE WHEN probability < 0.5 THEN 'approved' ELSE 'denied' END AS decision,
+         CASE WHEN CASE WHEN probability < 0.5 THEN probability < 0.3 ELSE probability > 0.7 END
+              THEN 'High' ELSE 'Medium' END AS confidence_label,
+         CASE WHEN CASE WHEN probability < 0.5 THEN probability < 0.3 ELSE probability > 0.7 END
+              THEN 0.9 ELSE 0.7 END AS confidence
+  FROM lg0)"""
+
+
+def _log(spark, sf_dir):
+    return met.decisions(tb.prediction_log(spark, sf_dir).withColumn("loan_amount", F.col("loan_amount")))
+
+
+@register("log_decisions", f"""
+WITH {LOG_SQL}
+SELECT id, decision, confidence_label, CAST(confidence AS DOUBLE) AS confidence FROM lg
+""")
+def q_log_decisions(spark, sf_dir):
+    return _log(spark, sf_dir).select("id", "decision", "confidence_label", "confidence")
+
+
+@register("risk_bands", f"""
+WITH {LOG_SQL}
+SELECT CASE WHEN probability < 0.3 THEN 'low' WHEN probability < 0.7 THEN 'medium' ELSE 'high' END AS risk_band,
+  count(*) AS applications, {r('avg(probability)', 'avg_probability')}
+FROM lg GROUP BY 1
+""")
+def q_risk_bands(spark, sf_dir):
+    return round_doubles(met.band_histogram(_log(spark, sf_dir)))
+
+
+@register("log_page", f"""
+WITH {LOG_SQL}
+SELECT id, application_id, "timestamp", applicant_name, decision, {r('probability', 'probability')}
+FROM lg WHERE decision = 'denied' AND (applicant_name ILIKE '%0001%' OR application_id ILIKE '%0001%')
+ORDER BY "timestamp" DESC, id DESC LIMIT 50 OFFSET 5
+""")
+def q_log_page(spark, sf_dir):
+    page = plog.log_page(_log(spark, sf_dir), decision="denied", text="0001", offset=5, limit=50)
+    return round_doubles(page.select("id", "application_id", "timestamp", "applicant_name", "decision", "probability"))
+
+
+@register("log_total", f"""
+WITH {LOG_SQL}
+SELECT count(*) AS total FROM lg
+WHERE decision = 'denied' AND (applicant_name ILIKE '%0001%' OR application_id ILIKE '%0001%')
+""")
+def q_log_total(spark, sf_dir):
+    return plog.log_total(_log(spark, sf_dir), decision="denied", text="0001")
+
+
+@register("most_recent", f"""
+WITH {LOG_SQL}
+SELECT id, application_id, "timestamp", decision FROM lg ORDER BY "timestamp" DESC, id DESC LIMIT 50
+""")
+def q_most_recent(spark, sf_dir):
+    return plog.most_recent(_log(spark, sf_dir), 50).select("id", "application_id", "timestamp", "decision")
+
+
+@register("latest_prediction", f"""
+WITH {LOG_SQL}
+SELECT max("timestamp") AS last_prediction_time, arg_max(id, ("timestamp", id)) AS last_id FROM lg
+""")
+def q_latest_prediction(spark, sf_dir):
+    return plog.latest(_log(spark, sf_dir))
+
+
+@register("operating_stats", f"""
+WITH {LOG_SQL},
+a AS (SELECT count(*) AS total_predictions,
+  count(*) FILTER (WHERE "timestamp" >= date_trunc('day', TIMESTAMP '{AS_OF}')) AS predictions_today,
+  count(*) FILTER (WHERE "timestamp" >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY) AS predictions_this_week,
+  count(*) FILTER (WHERE decision = 'approved') AS approved,
+  avg(loan_amount) AS avg_amount, max("timestamp") AS last_prediction_time FROM lg)
+SELECT total_predictions, predictions_today, predictions_this_week,
+  CASE WHEN total_predictions > 0 THEN round(approved * 100.0 / total_predictions, 2) END AS approval_rate,
+  CASE WHEN total_predictions > 0 THEN round(100.0 - approved * 100.0 / total_predictions, 2) END AS denial_rate,
+  round(coalesce(avg_amount, 0.0), 2) AS avg_loan_amount, last_prediction_time
+FROM a
+""")
+def q_operating_stats(spark, sf_dir):
+    return plog.operating_stats(_log(spark, sf_dir), AS_OF)
+
+
+AUDIT_SQL = f"""
+WITH {LOG_SQL},
+rc AS (SELECT * FROM lg WHERE "timestamp" >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY
+       AND gender IS NOT NULL AND race IS NOT NULL),
+ov AS (SELECT avg(CASE WHEN decision = 'approved' THEN 1.0 ELSE 0.0 END) AS overall_rate, count(*) AS total FROM rc),
+grp AS (
+  SELECT 'gender' AS attribute, gender AS "group", count(*) AS n,
+         avg(CASE WHEN decision = 'approved' THEN 1.0 ELSE 0.0 END) AS rate FROM rc GROUP BY gender
+  UNION ALL
+  SELECT 'race', race, count(*), avg(CASE WHEN decision = 'approved' THEN 1.0 ELSE 0.0 END) FROM rc GROUP BY race),
+j AS (SELECT grp.*, ov.overall_rate, ov.total, abs(rate - overall_rate) AS gap FROM grp, ov),
+au AS (SELECT j.*, max(gap) OVER (PARTITION BY attribute) AS max_gap FROM j)
+"""
+
+
+@register("log_fairness_audit", AUDIT_SQL + f"""
+SELECT attribute, "group", n, {r('rate', 'rate')}, {r('overall_rate', 'overall_rate')}, total,
+  {r('gap', 'gap_to_overall')}, {r('max_gap', 'max_gap_to_overall')}, total >= 10 AS enough_data
+FROM au
+""")
+def q_log_fairness_audit(spark, sf_dir):
+    return round_doubles(fair.log_fairness_audit(_log(spark, sf_dir), AS_OF, days_back=7))
+
+
+@register("fairness_recommendations", AUDIT_SQL + """,
+per AS (SELECT DISTINCT attribute, max_gap FROM au)
+SELECT attribute, upper(substr(attribute, 1, 1)) || substr(attribute, 2) || ' disparity detected: '
+       || printf('%.1f', max_gap * 100) || '% difference in approval rates. Consider bias mitigation techniques.'
+       AS message
+FROM per WHERE max_gap > 0.1
+UNION ALL
+SELECT NULL, 'No significant fairness issues detected in the specified metrics.'
+FROM (SELECT count(*) FILTER (WHERE max_gap > 0.1) AS k FROM per) WHERE k = 0
+""")
+def q_fairness_recommendations(spark, sf_dir):
+    return fair.recommendations(fair.log_fairness_audit(_log(spark, sf_dir), AS_OF, days_back=7))
+
+
+REQUESTED_IDS_SQL = """ids AS (
+  SELECT DISTINCT 'APP' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS application_id
+  FROM orders WHERE o_orderpriority = '1-URGENT')"""
+
+
+def _requested_ids(spark, sf_dir):
+    o = tb.table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    return o.select(F.concat(F.lit("APP"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
+                    .alias("application_id"))
+
+
+@register("log_lookup", f"""
+WITH {LOG_SQL}, {REQUESTED_IDS_SQL}
+SELECT id, application_id, decision FROM lg WHERE application_id IN (SELECT application_id FROM ids)
+""")
+def q_log_lookup(spark, sf_dir):
+    return plog.lookup(_log(spark, sf_dir), _requested_ids(spark, sf_dir)).select("id", "application_id", "decision")
+
+
+@register("missing_predictions", f"""
+WITH {LOG_SQL}, {REQUESTED_IDS_SQL}
+SELECT application_id FROM ids WHERE application_id NOT IN (SELECT application_id FROM lg)
+""")
+def q_missing_predictions(spark, sf_dir):
+    return plog.missing(_requested_ids(spark, sf_dir), _log(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Documents
+# ---------------------------------------------------------------------------
+from lendlens.operators import documents as docs_op  # noqa: E402
+from lendlens.functions import text as T  # noqa: E402
+
+
+@register("document_fields", f"""
+SELECT o_orderkey AS document_id, o_custkey AS application_id,
+  CASE o_orderstatus WHEN 'F' THEN 'paystub' WHEN 'O' THEN 'bank_statement' ELSE 'letter' END AS document_type,
+  CASE WHEN o_orderstatus = 'F' THEN {r('round(o_totalprice * 0.8, 2)', 'x')[:-5]} END AS net_income,
+  CASE WHEN o_orderstatus = 'F' THEN {r('o_totalprice', 'x')[:-5]} END AS gross_income,
+  CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%m/%d/%Y') END AS pay_period_start,
+  CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate + INTERVAL 14 DAY, '%m/%d/%Y') END AS pay_period_end,
+  CASE WHEN o_orderstatus = 'O' THEN {r('o_totalprice', 'x')[:-5]} END AS account_balance,
+  CASE WHEN o_orderstatus = 'O' THEN
+    ['Chase', 'Bank of America', 'Wells Fargo', 'Citibank', 'US Bank', 'TD Bank', 'Capital One'][o_custkey % 7 + 1]
+  END AS bank_name
+FROM orders
+""")
+def q_document_fields(spark, sf_dir):
+    d = docs_op.extract_document_fields(tb.income_documents(spark, sf_dir))
+    return round_doubles(d.drop("raw_text"))
+
+
+DATE_RE = T.DATE_TOKEN
+
+
+@register("document_dates", f"""
+SELECT doc_id, len(regexp_extract_all(text, '{DATE_RE}')) AS n_dates,
+  array_to_string(regexp_extract_all(text, '{DATE_RE}'), ',') AS dates
+FROM documents
+""")
+def q_document_dates(spark, sf_dir):
+    d = docs_op.document_dates(tb.table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.size("dates").alias("n_dates"), F.concat_ws(",", "dates").alias("dates"))
+
+
+@register("clean_text", r"""
+SELECT doc_id, coalesce(trim(regexp_replace(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'),
+                                            '[^a-zA-Z0-9 \t\n\x0B\f\r$.,\-/]', '', 'g')), '') AS clean_text
+FROM documents
+""")
+def q_clean_text(spark, sf_dir):
+    return docs_op.clean_documents(tb.table(spark, sf_dir, "documents")).select("doc_id", "clean_text")
+
+
+@register("parse_values", """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS parsed_date, round(o_totalprice, 2) AS parsed_amount
+FROM orders
+""")
+def q_parse_values(spark, sf_dir):
+    o = tb.table(spark, sf_dir, "orders")
+    fmt = F.pmod(F.col("o_orderkey"), F.lit(3))
+    date_text = (F.when(fmt == 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+                 .when(fmt == 1, F.date_format("o_orderdate", "MM/dd/yyyy"))
+                 .otherwise(F.date_format("o_orderdate", "MMM dd, yyyy")))
+    money = F.concat(F.lit("$"), F.format_number("o_totalprice", 2))
+    return round_doubles(o.select("o_orderkey", T.parse_date(date_text).alias("parsed_date"),
+                                  T.parse_currency(money).alias("parsed_amount")), 2)
+
+
+def _stop_sql() -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in docs_op.default_stop_words()) + "]"
+
+
+@register("tfidf_terms", f"""
+WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\W+')) AS term FROM documents),
+t AS (SELECT * FROM tok WHERE term <> '' AND NOT list_contains({_stop_sql()}, term)),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+vocab AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 100),
+n AS (SELECT count(*) AS n_docs FROM documents)
+SELECT tf.doc_id, tf.term, tf.tf, {r('tf.tf * ln((n.n_docs + 1.0) / (vocab.df + 1.0))', 'tfidf')}
+FROM tf JOIN vocab ON tf.term = vocab.term, n
+""")
+def q_tfidf_terms(spark, sf_dir):
+    return round_doubles(docs_op.tfidf(tb.table(spark, sf_dir, "documents"), vocab_size=100))
+
+
+@register("tfidf_ngrams", f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                                      x -> NOT list_contains({_stop_sql()}, x)) AS k FROM documents),
+g AS (SELECT doc_id, list_concat(k, CASE WHEN len(k) >= 2 THEN
+        list_transform(range(1, len(k)), i -> k[i] || ' ' || k[i + 1]) ELSE [] END) AS terms FROM w),
+t AS (SELECT doc_id, unnest(terms) AS term FROM g),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+vocab AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 50),
+n AS (SELECT count(*) AS n_docs FROM documents),
+raw AS (SELECT tf.doc_id, tf.term, tf.tf, tf.tf * (ln((n.n_docs + 1.0) / (vocab.df + 1.0)) + 1.0) AS w
+        FROM tf JOIN vocab ON tf.term = vocab.term, n)
+SELECT doc_id, term, tf, {r('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))', 'tfidf')} FROM raw
+""")
+def q_tfidf_ngrams(spark, sf_dir):
+    return round_doubles(docs_op.tfidf_ngrams(tb.table(spark, sf_dir, "documents"), max_features=50))

@@ -77,7 +77,7 @@ def main():
             msg = f"{name}: ERROR {type(e).__name__}: {str(e)[:800]}"
         if "OK" not in msg and "no oracle" not in msg:
             bad += 1
-        print(msg, flush=True)
+        print("RESULT " + msg, flush=True)
     print(f"failures: {bad}")
 
 
