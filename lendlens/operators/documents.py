@@ -88,24 +88,26 @@ def tfidf(docs: DataFrame, key: str = "doc_id", text_col: str = "text", vocab_si
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def ngram_terms(text_col: str = "text", stop_words=None) -> "F.Column":
-    """Unigrams of two or more word characters, stop words removed, then adjacent
-    bigrams -- built with array functions inside one row, no window."""
+def ngram_terms(docs: DataFrame, key: str = "doc_id", text_col: str = "text", stop_words=None) -> DataFrame:
+    """(key, term): unigrams of two or more word characters with stop words removed,
+    then adjacent bigrams -- built with array functions inside each row, no window."""
     stop = stop_words if stop_words is not None else default_stop_words()
     words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_TOKEN), 0)
-    kept = F.filter(words, lambda w: ~F.array_contains(_stop_array(stop), w))
-    n = F.size(kept)
-    bigrams = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
-                          lambda i: F.concat_ws(" ", F.element_at(kept, i), F.element_at(kept, i + 1)))
+    kept = docs.select(key, F.filter(words, lambda w: ~F.array_contains(_stop_array(stop), w)).alias("_k"))
+    k = F.col("_k")
+    n = F.size(k)
+    bigrams = F.transform(F.arrays_zip(F.slice(k, 1, F.greatest(n - 1, F.lit(0))),
+                                       F.slice(k, F.lit(2), F.greatest(n - 1, F.lit(0)))),
+                          lambda p: F.concat_ws(" ", p.getField("0"), p.getField("1")))
     bigrams = F.when(n >= 2, bigrams).otherwise(F.array().cast("array<string>"))
-    return F.concat(kept, bigrams)
+    return kept.select(key, F.explode(F.concat(k, bigrams)).alias("term"))
 
 
 def tfidf_ngrams(docs: DataFrame, key: str = "doc_id", text_col: str = "text", max_features: int = 50,
                  stop_words=None) -> DataFrame:
     """uni+bigram TF-IDF, top ``max_features`` terms by corpus count, smoothed
     idf = ln((1 + N) / (1 + df)) + 1, each document's vector scaled to unit length."""
-    terms = docs.select(key, F.explode(ngram_terms(text_col, stop_words)).alias("term"))
+    terms = ngram_terms(docs, key, text_col, stop_words)
     tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     vocab = top_vocabulary(tf, max_features, key)
     vocab = vocab.withColumn("n_docs", _corpus_size(docs))

@@ -602,9 +602,9 @@ def q_tfidf_terms(spark, sf_dir):
 
 @register("tfidf_ngrams", f"""
 WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
-                                      x -> NOT list_contains({_stop_sql()}, x)) AS k FROM documents),
+                                      lambda x: NOT list_contains({_stop_sql()}, x)) AS k FROM documents),
 g AS (SELECT doc_id, list_concat(k, CASE WHEN len(k) >= 2 THEN
-        list_transform(range(1, len(k)), i -> k[i] || ' ' || k[i + 1]) ELSE [] END) AS terms FROM w),
+        list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]) ELSE [] END) AS terms FROM w),
 t AS (SELECT doc_id, unnest(terms) AS term FROM g),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
 vocab AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 50),
