@@ -212,13 +212,13 @@ def transaction_features(txns: DataFrame, key: str = KEY, seq_cols=("page", "lin
     n_inc = F.col("num_income_deposits")
     n_gap = n_inc - 1
     # exact (decimal) sums, so the variance of equal deposits is exactly 0
-    var_inc = (F.col("_inc_sq") - F.col("_inc_sum") * F.col("_inc_sum") / n_inc) / (n_inc - 1)
+    var_inc = (n_inc * F.col("_inc_sq") - F.col("_inc_sum") * F.col("_inc_sum")).cast("double") / (n_inc * (n_inc - 1))
     mean_gap = F.col("_gap_sum") / n_gap
     var_gap = (F.col("_gap_sq") - F.col("_gap_sum") * F.col("_gap_sum") / n_gap) / (n_gap - 1)
     feats = agg.select(
         key,
         F.when(n_inc > 0, _mean(F.col("_inc_sum"), n_inc)).otherwise(0.0).alias("avg_salary_deposit"),
-        F.when(n_inc > 1, F.sqrt(F.greatest(var_inc.cast("double"), F.lit(0.0))))
+        F.when(n_inc > 1, F.sqrt(F.greatest(var_inc, F.lit(0.0))))
         .otherwise(0.0).alias("income_stability_variance"),
         F.when(n_gap > 0, mean_gap).otherwise(0.0).alias("days_between_paychecks_mean"),
         F.when(n_gap > 1, F.sqrt(F.greatest(var_gap, F.lit(0.0)))).otherwise(0.0).alias("days_between_paychecks_std"),

@@ -101,7 +101,8 @@ def q_parsed_transactions(spark, sf_dir):
                                   F.col("amount").cast("double").alias("amount"), "category"))
 
 
-TXN_FEATURE_SQL = f"""
+def txn_feature_sql(r=r):
+    return f"""
 WITH t AS (
   SELECT o_custkey AS application_id, CAST(o_orderdate AS DATE) AS d, o_orderkey AS seq,
          CAST({sql_signed_amount()[:-len(' AS amount')]} AS DECIMAL(18,2)) AS amount, {sql_case(TXN_CATEGORY, 'category')},
@@ -158,6 +159,9 @@ SELECT f.application_id,
 FROM f LEFT JOIN gs ON f.application_id = gs.application_id
 """
 
+TXN_FEATURE_SQL = txn_feature_sql()
+
+
 
 @register("transaction_features", TXN_FEATURE_SQL)
 def q_transaction_features(spark, sf_dir):
@@ -615,3 +619,148 @@ SELECT doc_id, term, tf, {r('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))', '
 """)
 def q_tfidf_ngrams(spark, sf_dir):
     return round_doubles(docs_op.tfidf_ngrams(tb.table(spark, sf_dir, "documents"), max_features=50))
+
+
+# ---------------------------------------------------------------------------
+# Cleaning and feature matrix
+# ---------------------------------------------------------------------------
+from lendlens.operators import clean as cl  # noqa: E402
+
+APPS_SQL = """apps AS (
+  SELECT c.c_custkey AS application_id, c.c_name AS applicant_name, n.n_name AS nation,
+    c.c_mktsegment AS segment, c.c_acctbal AS avg_monthly_balance,
+    CAST(300 + (c.c_custkey * 7919) % 600 AS INTEGER) AS credit_score,
+    CAST(16 + (c.c_custkey * 31) % 60 AS INTEGER) AS age,
+    CASE WHEN c.c_acctbal >= 0 THEN round(c.c_acctbal / 1000, 2) END AS employment_length,
+    round(coalesce(t.max_order, 0.0) / 10, 2) AS loan_amount,
+    [36, 60, 84, 120][c.c_custkey % 4 + 1] AS loan_term,
+    round(coalesce(t.total_ordered, 0.0) / 20, 2) AS annual_income
+  FROM customer c
+  LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS max_order, sum(o_totalprice) AS total_ordered
+             FROM orders GROUP BY o_custkey) t ON c.c_custkey = t.o_custkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
+
+
+@register("dedupe_customers", """
+SELECT c_nationkey, c_mktsegment, c_custkey, c_name, c_acctbal FROM customer
+QUALIFY row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) = 1
+""")
+def q_dedupe_customers(spark, sf_dir):
+    c = tb.table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment", "c_custkey", "c_name", "c_acctbal")
+    return cl.remove_duplicates(c, ["c_nationkey", "c_mktsegment"], order_by="c_custkey")
+
+
+@register("lineitem_outliers", """
+WITH b AS (SELECT l_returnflag, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.75) AS q3
+           FROM lineitem GROUP BY l_returnflag)
+SELECT l.l_orderkey, l.l_linenumber, l.l_returnflag, l.l_quantity
+FROM lineitem l JOIN b ON l.l_returnflag = b.l_returnflag
+WHERE l.l_quantity >= q1 - 1.5 * (q3 - q1) AND l.l_quantity <= q3 + 1.5 * (q3 - q1)
+""")
+def q_lineitem_outliers(spark, sf_dir):
+    li = tb.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    # l_quantity has a bounded domain, so the exact percentile buffer stays small
+    return cl.filter_outliers(li, "l_quantity", by=["l_returnflag"], exact=True)
+
+
+@register("validation", f"""
+WITH {APPS_SQL},
+e AS (SELECT application_id, list_filter([
+    CASE WHEN credit_score < 300 OR credit_score > 850
+         THEN 'Credit score ' || CAST(credit_score AS VARCHAR) || ' out of valid range [300, 850]' END,
+    CASE WHEN age < 18 OR age > 100 THEN 'Age ' || CAST(age AS VARCHAR) || ' out of valid range [18, 100]' END,
+    CASE WHEN loan_amount <= 0 THEN 'Loan amount must be positive, got ' || CAST(loan_amount AS VARCHAR) END,
+    CASE WHEN loan_term <= 0 THEN 'Loan term must be positive' END,
+    CASE WHEN annual_income < 0 THEN 'Annual income must be non-negative' END,
+    CASE WHEN employment_length < 0 THEN 'Employment length must be non-negative' END
+  ], lambda x: x IS NOT NULL) AS errs FROM apps)
+SELECT application_id, len(errs) = 0 AS is_valid, array_to_string(errs, '; ') AS errors FROM e
+""")
+def q_validation(spark, sf_dir):
+    v = cl.validate(tb.applications(spark, sf_dir))
+    return v.select("application_id", "is_valid", F.concat_ws("; ", "errors").alias("errors"))
+
+
+@register("imputed_applications", f"""
+WITH {APPS_SQL}
+SELECT application_id, {r('coalesce(employment_length, avg(employment_length) OVER ())', 'employment_length')}
+FROM apps
+""")
+def q_imputed_applications(spark, sf_dir):
+    a = tb.applications(spark, sf_dir).select("application_id", "employment_length")
+    return round_doubles(cl.impute(a, numeric=["employment_length"], strategy="mean"))
+
+
+@register("scaled_applications", f"""
+WITH {APPS_SQL}
+SELECT application_id,
+  {r('CAST(credit_score - min(credit_score) OVER () AS DOUBLE) / (max(credit_score) OVER () - min(credit_score) OVER ())', 'credit_score_scaled')},
+  {r('(loan_amount - avg(loan_amount) OVER ()) / stddev_samp(loan_amount) OVER ()', 'loan_amount_std')}
+FROM apps
+""")
+def q_scaled_applications(spark, sf_dir):
+    a = tb.applications(spark, sf_dir).select("application_id", "credit_score", "loan_amount")
+    a = cl.standard_scale(cl.min_max_scale(a, ["credit_score"]), ["loan_amount"])
+    return round_doubles(a.select("application_id", "credit_score_scaled", "loan_amount_std"))
+
+
+def _feature_matrix(spark, sf_dir):
+    apps = tb.applications(spark, sf_dir)
+    fields = docs_op.extract_document_fields(tb.income_documents(spark, sf_dir))
+    idp = fields.groupBy("application_id").agg(F.max("net_income").alias("verified_net_income"))
+    txn = feat.transaction_features(feat.parse_transactions(tb.statements(spark, sf_dir)))
+    m = cl.assemble_feature_matrix(apps, idp)
+    m = feat.with_transaction_features(m, txn)
+    return cl.interaction_features(m)
+
+
+@register("feature_matrix", f"""
+WITH {APPS_SQL},
+idp AS (SELECT o_custkey AS application_id, max(round(o_totalprice * 0.8, 2)) AS verified_net_income
+        FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey),
+tf AS ({txn_feature_sql(lambda e, alias: f'{e} AS {alias}')}),
+m AS (SELECT apps.*, idp.verified_net_income, coalesce(tf.risk_flag_count, 0) AS risk_flag_count,
+        coalesce(tf.income_stability_variance, 0) AS income_stability_variance,
+        coalesce(tf.months_with_zero_overdraft, 0) AS months_with_zero_overdraft,
+        coalesce(tf.monthly_emi_total, 0) AS monthly_emi_total,
+        coalesce(tf.avg_salary_deposit, 0) AS avg_salary_deposit,
+        tf.application_id IS NOT NULL AS has_transactions
+      FROM apps LEFT JOIN idp ON apps.application_id = idp.application_id
+      LEFT JOIN tf ON apps.application_id = tf.application_id)
+SELECT application_id, {r('verified_net_income', 'verified_net_income')}, risk_flag_count, has_transactions,
+  {r('loan_amount / (verified_net_income * 12 + 1)', 'loan_to_income_ratio')},
+  {r('(loan_amount / loan_term) / (verified_net_income + 1)', 'payment_to_income_ratio')},
+  {r('credit_score / (risk_flag_count + 1)', 'risk_score_composite')},
+  {r('months_with_zero_overdraft / (income_stability_variance + 1)', 'financial_stability_score')},
+  {r('(income_stability_variance + 1) * (monthly_emi_total / (avg_salary_deposit + 1))', 'stability_debt_ratio')},
+  {r('CASE WHEN annual_income > 0 THEN (loan_amount / loan_term) / (annual_income / 12) END', 'debt_to_income_ratio')}
+FROM m
+""")
+def q_feature_matrix(spark, sf_dir):
+    m = _feature_matrix(spark, sf_dir)
+    return round_doubles(m.select("application_id", "verified_net_income", "risk_flag_count", "has_transactions",
+                                  "loan_to_income_ratio", "payment_to_income_ratio", "risk_score_composite",
+                                  "financial_stability_score", "stability_debt_ratio", "debt_to_income_ratio"))
+
+
+@register("class_balance", f"""
+WITH {SCORED_SQL}
+SELECT count(*) FILTER (WHERE label = 0) AS negatives, count(*) FILTER (WHERE label = 1) AS positives,
+  count(DISTINCT label) AS classes,
+  {r('CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) / nullif(count(*) FILTER (WHERE label = 1), 0)', 'imbalance_ratio')},
+  count(DISTINCT label) = 2 AS is_binary
+FROM s
+""")
+def q_class_balance(spark, sf_dir):
+    return round_doubles(cl.class_balance(tb.scored_population(spark, sf_dir)))
+
+
+@register("stratified_split", f"""
+WITH {SCORED_SQL},
+h AS (SELECT *, CASE WHEN CAST(('0x' || substr(md5(CAST(application_id AS VARCHAR) || ':' || CAST(label AS VARCHAR)
+                     || ':42'), 1, 8)) AS BIGINT) / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS split FROM s)
+SELECT split, label, count(*) AS n FROM h GROUP BY split, label
+""")
+def q_stratified_split(spark, sf_dir):
+    s = cl.stratified_hash_split(tb.scored_population(spark, sf_dir), "application_id")
+    return s.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))

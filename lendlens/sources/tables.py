@@ -20,6 +20,11 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 STATEMENT_PAGE_KEYS = 100_000
 
 
+def _sql_round(col, digits):
+    scale = float(10 ** digits)
+    return F.round(col * scale) / scale
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -109,7 +114,7 @@ def income_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.lit("EARNINGS STATEMENT"),
                           F.concat(F.lit("Pay period: "), start, F.lit(" - "), end),
                           F.concat(F.lit("Gross Pay: $"), F.format_number(price, 2)),
-                          F.concat(F.lit("Net Pay: $"), F.format_number(F.round(price * 0.8, 2), 2)))
+                          F.concat(F.lit("Net Pay: $"), F.format_number(_sql_round(price * 0.8, 2), 2)))
     statement = F.concat_ws("\n",
                             F.concat(bank, F.lit(" monthly account statement")),
                             F.concat(F.lit("Statement date "), start),
@@ -148,12 +153,13 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.col("n_name").alias("nation"),
                 F.col("c_mktsegment").alias("segment"),
                 F.col("c_acctbal").alias("avg_monthly_balance"),
-                (F.lit(300) + F.pmod(F.col("c_custkey") * 7919, F.lit(551))).cast("int").alias("credit_score"),
-                (F.lit(21) + F.pmod(F.col("c_custkey") * 31, F.lit(49))).cast("int").alias("age"),
-                F.round(F.coalesce(F.col("max_order"), F.lit(0.0)) / 10, 2).alias("loan_amount"),
+                (F.lit(300) + F.pmod(F.col("c_custkey") * 7919, F.lit(600))).cast("int").alias("credit_score"),
+                (F.lit(16) + F.pmod(F.col("c_custkey") * 31, F.lit(60))).cast("int").alias("age"),
+                F.when(F.col("c_acctbal") >= 0, _sql_round(F.col("c_acctbal") / 1000, 2)).alias("employment_length"),
+                _sql_round(F.coalesce(F.col("max_order"), F.lit(0.0)) / 10, 2).alias("loan_amount"),
                 F.element_at(F.array(F.lit(36), F.lit(60), F.lit(84), F.lit(120)),
                              (F.pmod(F.col("c_custkey"), F.lit(4)) + 1).cast("int")).alias("loan_term"),
-                F.round(F.coalesce(F.col("total_ordered"), F.lit(0.0)) / 20, 2).alias("annual_income"),
+                _sql_round(F.coalesce(F.col("total_ordered"), F.lit(0.0)) / 20, 2).alias("annual_income"),
                 F.col("num_orders"),
                 F.col("num_urgent").alias("num_derogatory_marks"),
                 F.col("first_order"),
@@ -202,7 +208,7 @@ def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                 (F.lit(21) + F.pmod(F.col("user_id"), F.lit(50))).cast("int").alias("applicant_age"),
                 F.col("c_mktsegment").alias("gender"),
                 F.col("r_name").alias("race"),
-                F.round(F.col("value") * 100, 2).alias("loan_amount"),
+                (F.col("value") * 100).alias("loan_amount"),
                 F.element_at(F.array(F.lit(36), F.lit(60), F.lit(84), F.lit(120)),
                              (F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("int")).alias("loan_term"),
                 p.alias("probability"),
