@@ -764,3 +764,137 @@ SELECT split, label, count(*) AS n FROM h GROUP BY split, label
 def q_stratified_split(spark, sf_dir):
     s = cl.stratified_hash_split(tb.scored_population(spark, sf_dir), "application_id")
     return s.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# Explanations of a linear score (G1b, G2-G6) -- exact, so SQL can check them
+# ---------------------------------------------------------------------------
+from lendlens.operators import explain as xp  # noqa: E402
+from lendlens.functions import rules as RL  # noqa: E402
+
+# fixture weights (ours) of a linear default score over application columns
+EXPLAIN_WEIGHTS = {"credit_score": -0.01, "age": -0.02, "loan_amount": 0.00005, "loan_term": 0.01,
+                   "annual_income": -0.00002, "avg_monthly_balance": -0.0001}
+EXPLAIN_INTERCEPT = 6.0
+
+
+def _explain_inputs(spark, sf_dir):
+    apps = tb.applications(spark, sf_dir).select("application_id", *EXPLAIN_WEIGHTS)
+    long, base = xp.linear_contributions(apps, EXPLAIN_WEIGHTS, EXPLAIN_INTERCEPT)
+    decided = met.decisions(xp.linear_score(apps, EXPLAIN_WEIGHTS, EXPLAIN_INTERCEPT)) \
+        .select("application_id", "probability", "decision")
+    return long, base, decided
+
+
+def _phi_sql() -> str:
+    means = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m_{f}" for f in EXPLAIN_WEIGHTS)
+    rows = " UNION ALL ".join(
+        f"SELECT application_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS value, "
+        f"{w} * (CAST({f} AS DOUBLE) - m_{f}) AS phi FROM apps, mm" for f, w in EXPLAIN_WEIGHTS.items())
+    z = " + ".join(f"{w} * CAST({f} AS DOUBLE)" for f, w in EXPLAIN_WEIGHTS.items())
+    return f"""{APPS_SQL},
+mm AS (SELECT {means} FROM apps),
+phi AS ({rows}),
+dec AS (SELECT application_id, 1.0 / (1.0 + exp(-({EXPLAIN_INTERCEPT} + {z}))) AS probability FROM apps),
+dec2 AS (SELECT *, CASE WHEN probability < 0.5 THEN 'approved' ELSE 'denied' END AS decision FROM dec)"""
+
+
+@register("linear_contributions", f"""
+WITH {_phi_sql()}
+SELECT application_id, feature, {r('value', 'value')}, {r('phi', 'phi')} FROM phi
+""")
+def q_linear_contributions(spark, sf_dir):
+    long, _, _ = _explain_inputs(spark, sf_dir)
+    return round_doubles(long)
+
+
+_REASON_CASE = "CASE feature " + " ".join(
+    "WHEN '{}' THEN '{}'".format(f, t.replace("'", "''")) for f, t in RL.REASON_CODES) + \
+    " ELSE 'Feature ''' || feature || ''' does not meet requirements' END"
+
+
+@register("adverse_action_reasons", f"""
+WITH {_phi_sql()},
+ranked AS (SELECT p.application_id, p.feature, p.phi,
+             row_number() OVER (PARTITION BY p.application_id ORDER BY abs(p.phi) DESC, p.feature) AS rk
+           FROM phi p JOIN dec2 d ON p.application_id = d.application_id
+           WHERE d.decision = 'denied' AND p.phi > 0)
+SELECT application_id, string_agg({_REASON_CASE}, ' | ' ORDER BY rk) AS reasons
+FROM ranked WHERE rk <= 3 GROUP BY application_id
+""")
+def q_adverse_action_reasons(spark, sf_dir):
+    long, _, decided = _explain_inputs(spark, sf_dir)
+    denied = decided.filter(F.col("decision") == "denied").select("application_id")
+    arr = xp.adverse_action_reasons(xp.contribution_arrays(long.join(denied, "application_id", "left_semi")))
+    return arr.filter(F.size("adverse_action_reasons") > 0).select(
+        "application_id", F.concat_ws(" | ", "adverse_action_reasons").alias("reasons"))
+
+
+@register("batch_explanations", f"""
+WITH {_phi_sql()},
+lo AS (SELECT application_id, arg_min(feature, (phi, feature)) AS top_negative_feature, min(phi) AS top_negative_impact
+       FROM phi GROUP BY application_id)
+SELECT d.application_id, d.decision, {r('d.probability', 'probability')}, lo.top_negative_feature,
+  {r('lo.top_negative_impact', 'top_negative_impact')}
+FROM dec2 d JOIN lo ON d.application_id = lo.application_id
+""")
+def q_batch_explanations(spark, sf_dir):
+    long, _, decided = _explain_inputs(spark, sf_dir)
+    return round_doubles(xp.batch_explanations(xp.contribution_arrays(long), decided))
+
+
+@register("global_importance", f"""
+WITH {_phi_sql()}
+SELECT feature, {r('avg(abs(phi))', 'mean_abs_phi')} FROM phi GROUP BY feature ORDER BY avg(abs(phi)) DESC LIMIT 20
+""")
+def q_global_importance(spark, sf_dir):
+    long, _, _ = _explain_inputs(spark, sf_dir)
+    return round_doubles(xp.global_importance(long))
+
+
+@register("waterfall", f"""
+WITH {_phi_sql()},
+b AS (SELECT round({EXPLAIN_INTERCEPT} + {' + '.join(f'{w} * m_{f}' for f, w in EXPLAIN_WEIGHTS.items())}, 8) AS base FROM mm)
+SELECT application_id, feature, {r('phi', 'phi')},
+  row_number() OVER (PARTITION BY application_id ORDER BY abs(phi) DESC, feature) AS step,
+  {r('b.base + sum(phi) OVER (PARTITION BY application_id ORDER BY abs(phi) DESC, feature ROWS UNBOUNDED PRECEDING)', 'cumulative')}
+FROM phi, b
+""")
+def q_waterfall(spark, sf_dir):
+    long, base, _ = _explain_inputs(spark, sf_dir)
+    return round_doubles(xp.waterfall(long, round(base, 8)))
+
+
+@register("explanation_records")
+def q_explanation_records(spark, sf_dir):
+    long, base, decided = _explain_inputs(spark, sf_dir)
+    return xp.explanation_records(xp.contribution_arrays(long), base, decided)
+
+
+# ---------------------------------------------------------------------------
+# Gradient-boosted model (F1, F2, F6, F10, F11) -- no SQL twin (iterative fit)
+# ---------------------------------------------------------------------------
+from lendlens.operators import model as mdl  # noqa: E402
+
+MODEL_NUMERIC = ["n_chars", "toxic"]
+MODEL_CATEGORICAL = ["lang", "source"]
+
+
+def _fit_document_model(spark, sf_dir):
+    s = met.hash_split(tb.scored_population(spark, sf_dir).drop("probability"), "application_id")
+    train = mdl.class_weight_column(s.filter(F.col("split") == "train"))
+    pipe = mdl.gbt_pipeline(MODEL_NUMERIC, MODEL_CATEGORICAL, weight_col="weight", maxIter=50)
+    return pipe.fit(train), s
+
+
+@register("gbt_test_scores")
+def q_gbt_test_scores(spark, sf_dir):
+    model, s = _fit_document_model(spark, sf_dir)
+    test = s.filter(F.col("split") == "test")
+    return mdl.batch_score(model, test, MODEL_NUMERIC + MODEL_CATEGORICAL)
+
+
+@register("gbt_feature_importances")
+def q_gbt_feature_importances(spark, sf_dir):
+    model, _ = _fit_document_model(spark, sf_dir)
+    return mdl.top_features(mdl.feature_importances(model, spark), 10)
