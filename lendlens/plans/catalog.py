@@ -898,3 +898,50 @@ def q_gbt_test_scores(spark, sf_dir):
 def q_gbt_feature_importances(spark, sf_dir):
     model, _ = _fit_document_model(spark, sf_dir)
     return mdl.top_features(mdl.feature_importances(model, spark), 10)
+
+
+# ---------------------------------------------------------------------------
+# Streaming twins (I1-I4), run with trigger(availableNow=True)
+# ---------------------------------------------------------------------------
+from lendlens.streaming import jobs as sj  # noqa: E402
+
+
+@register("stream_scored_log", f"""
+WITH {LOG_SQL}
+SELECT id, application_id, decision, confidence_label FROM lg
+""")
+def q_stream_scored_log(spark, sf_dir):
+    path = sj.scratch_path(spark, "ingest")
+    sj.run_to_parquet(sj.ingest(sj.log_stream(spark, sf_dir)), path)
+    return sj.read_final(spark, path).select("id", "application_id", "decision", "confidence_label")
+
+
+@register("stream_daily_stats", f"""
+WITH {LOG_SQL}
+SELECT date_trunc('day', "timestamp") AS window_start, date_trunc('day', "timestamp") + INTERVAL 1 DAY AS window_end,
+  count(*) AS predictions, {r("avg(CASE WHEN decision = 'approved' THEN 1.0 ELSE 0.0 END)", 'approval_rate')},
+  {r('avg(loan_amount)', 'avg_loan_amount')}
+FROM lg GROUP BY 1, 2
+""")
+def q_stream_daily_stats(spark, sf_dir):
+    path = sj.scratch_path(spark, "daily")
+    sj.run_to_parquet(sj.windowed_stats(sj.log_stream(spark, sf_dir)), path, keys=["window_start"], mode="update")
+    return round_doubles(sj.read_final(spark, path, keys=["window_start"]))
+
+
+@register("stream_group_gaps", f"""
+WITH {LOG_SQL},
+g AS (SELECT date_trunc('day', "timestamp") AS window_start, gender AS "group", count(*) AS n,
+        count(*) FILTER (WHERE decision = 'approved') AS approved FROM lg GROUP BY 1, 2),
+o AS (SELECT *, CAST(approved AS DOUBLE) / n AS rate,
+        CAST(sum(approved) OVER (PARTITION BY window_start) AS DOUBLE) / sum(n) OVER (PARTITION BY window_start)
+          AS overall_rate FROM g)
+SELECT window_start, "group", n, approved, {r('rate', 'rate')}, {r('overall_rate', 'overall_rate')},
+  {r('max(abs(rate - overall_rate)) OVER (PARTITION BY window_start)', 'max_gap_to_overall')}
+FROM o
+""")
+def q_stream_group_gaps(spark, sf_dir):
+    path = sj.scratch_path(spark, "groups")
+    keys = ["window_start", "group"]
+    sj.run_to_parquet(sj.windowed_group_rates(sj.log_stream(spark, sf_dir)), path, keys=keys, mode="update")
+    return round_doubles(sj.analyze_group_gaps(sj.read_final(spark, path, keys=keys)))
