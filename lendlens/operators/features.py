@@ -183,10 +183,16 @@ def transaction_features(txns: DataFrame, key: str = KEY, seq_cols=("page", "lin
     )
     key_w = Window.partitionBy(key).orderBy("txn_date")
     before = key_w.rowsBetween(Window.unboundedPreceding, -1)
+    month = F.trunc("txn_date", "month")
+    prev_month = F.lag(month).over(key_w)
+    prev_risk_month = F.last(F.when(F.col("n_risk") > 0, month), ignorenulls=True).over(before)
+    # month counts come from the same window (first day of each month / of each
+    # risky month), so the final aggregate is plain sums: no distinct-expand, no extra shuffle
     days = days.withColumns({
         "opening": F.coalesce(F.sum("day_sum").over(before), F.lit(0).cast(amt_type(txns))),
         "prev_income_day": F.last(F.when(F.col("n_income") > 0, F.col("txn_date")), ignorenulls=True).over(before),
-        "month": F.trunc("txn_date", "month"),
+        "new_month": (prev_month.isNull() | (prev_month != month)).cast("int"),
+        "new_risk_month": ((F.col("n_risk") > 0) & (prev_risk_month.isNull() | (prev_risk_month != month))).cast("int"),
     })
     gap = F.when(F.col("n_income") > 0, F.datediff("txn_date", "prev_income_day"))
     agg = days.groupBy(key).agg(
@@ -204,8 +210,8 @@ def transaction_features(txns: DataFrame, key: str = KEY, seq_cols=("page", "lin
         F.sum("n_risk").alias("risk_flag_count"),
         F.sum(F.col("opening") * F.col("n") + F.col("prefix_sum")).alias("_balance_sum"),
         F.min(F.col("opening") + F.col("prefix_min")).alias("min_balance"),
-        F.count_distinct("month").alias("_months"),
-        F.count_distinct(F.when(F.col("n_risk") > 0, F.col("month"))).alias("_risk_months"),
+        F.sum("new_month").alias("_months"),
+        F.sum("new_risk_month").alias("_risk_months"),
         F.max("payday").alias("relies_on_payday_loans"),
         F.datediff(F.max("txn_date"), F.min("txn_date")).alias("statement_date_range_days"),
     )
