@@ -281,19 +281,19 @@ def q_split_rates(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Fairness (H1, H2, H4, H9)
 # ---------------------------------------------------------------------------
-def _group_metric_sql(feature_col: str) -> str:
+def _group_metric_sql(feature_col: str, src: str = "s") -> str:
     return f"""
   SELECT '{feature_col}' AS sensitive_feature, CAST({feature_col} AS VARCHAR) AS grp, count(*) AS n,
     count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
     count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
     count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn,
     count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn
-  FROM s GROUP BY {feature_col}
+  FROM {src} GROUP BY {feature_col}
   UNION ALL
   SELECT '{feature_col}', 'Overall', count(*),
     count(*) FILTER (WHERE label = 1 AND prediction = 1), count(*) FILTER (WHERE label = 0 AND prediction = 1),
     count(*) FILTER (WHERE label = 0 AND prediction = 0), count(*) FILTER (WHERE label = 1 AND prediction = 0)
-  FROM s"""
+  FROM {src}"""
 
 
 FAIR_METRICS_SQL = f"""
@@ -945,3 +945,35 @@ def q_stream_group_gaps(spark, sf_dir):
     keys = ["window_start", "group"]
     sj.run_to_parquet(sj.windowed_group_rates(sj.log_stream(spark, sf_dir)), path, keys=keys, mode="update")
     return round_doubles(sj.analyze_group_gaps(sj.read_final(spark, path, keys=keys)))
+
+
+def _summary_cte(name: str, threshold: float) -> str:
+    """CTEs ``{name}`` = (sensitive_feature, dp, eo) for predictions at ``threshold``."""
+    return f"""{name}_s AS (SELECT * REPLACE (CASE WHEN probability >= {threshold} THEN 1 ELSE 0 END AS prediction)
+  FROM s),
+{name}_g AS ({_group_metric_sql('lang', name + '_s')} UNION ALL {_group_metric_sql('source', name + '_s')}),
+{name}_m AS (SELECT sensitive_feature, grp, {_div('tp + fp', 'n')} AS sr, {_div('fp', 'fp + tn')} AS fpr,
+  {_div('tp', 'tp + fn')} AS tpr FROM {name}_g),
+{name} AS (SELECT sensitive_feature, max(sr) - min(sr) AS dp,
+  greatest(max(tpr) - min(tpr), max(fpr) - min(fpr)) AS eo FROM {name}_m WHERE grp <> 'Overall'
+  GROUP BY sensitive_feature)"""
+
+
+@register("fairness_before_after", f"""
+WITH {SCORED_SQL}, {_summary_cte('base', 0.5)}, {_summary_cte('mit', 0.6)}
+SELECT b.sensitive_feature, 'Demographic Parity Difference' AS metric, {r('b.dp', 'baseline')},
+  {r('m.dp', 'mitigated')}, {r('b.dp - m.dp', 'improvement')}
+FROM base b JOIN mit m ON b.sensitive_feature = m.sensitive_feature
+UNION ALL
+SELECT b.sensitive_feature, 'Equalized Odds Difference', {r('b.eo', 'baseline')},
+  {r('m.eo', 'mitigated')}, {r('b.eo - m.eo', 'improvement')}
+FROM base b JOIN mit m ON b.sensitive_feature = m.sensitive_feature
+""")
+def q_fairness_before_after(spark, sf_dir):
+    """H6: baseline (threshold 0.5) against a stricter operating point (0.6)."""
+    s = tb.scored_population(spark, sf_dir)
+    base = s.withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
+    mit = s.withColumn("prediction", (F.col("probability") >= 0.6).cast("int"))
+    sb = fair.fairness_summary(fair.metrics_by_group(base, ["lang", "source"]))
+    sm = fair.fairness_summary(fair.metrics_by_group(mit, ["lang", "source"]))
+    return round_doubles(fair.before_after_report(sb, sm))
