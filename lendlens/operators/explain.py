@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,7 +158,9 @@ def permutation_shapley(df: DataFrame, model, feature_cols: list[str], backgroun
     hybrid = steps.select(key, "_perm", "_bid", "_k", "_order",
                           *[F.when(pos[c] < F.col("_k"), F.col(c)).otherwise(F.col(f"_b_{c}")).alias(c)
                             for c in feature_cols])
-    scored = model.transform(hybrid).select(key, "_perm", "_bid", "_k", "_order", F.col(prob_col).alias("_p"))
+    out = model.transform(hybrid)
+    p = F.col(prob_col) if prob_col in out.columns else vector_to_array("probability")[1]
+    scored = out.select(key, "_perm", "_bid", "_k", "_order", p.alias("_p"))
     w = Window.partitionBy(key, "_perm", "_bid").orderBy("_k")
     marg = scored.withColumn("_delta", F.col("_p") - F.lag("_p").over(w)).filter(F.col("_k") > 0)
     names = F.array(*[F.lit(c) for c in feature_cols])
