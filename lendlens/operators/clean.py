@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,11 +107,13 @@ def filter_outliers(df: DataFrame, col: str, method: str = "iqr", by=(), k: floa
         raise ValueError(method)
     x = F.col(col)
     if by:
-        j = df.join(bounds, list(by))
+        renamed = bounds.select(*[F.col(c).alias(f"_by_{c}") for c in by], "lower_bound", "upper_bound")
+        same = [df[c].eqNullSafe(F.col(f"_by_{c}")) for c in by]
+        j = df.join(renamed, reduce(lambda a, b: a & b, same))
     else:
         lo, hi = bounds.first()
         j = df.withColumns({"lower_bound": F.lit(lo), "upper_bound": F.lit(hi)})
-    return j.filter((x >= F.col("lower_bound")) & (x <= F.col("upper_bound"))).drop("lower_bound", "upper_bound")
+    return j.filter((x >= F.col("lower_bound")) & (x <= F.col("upper_bound"))).select(*df.columns)
 
 
 def min_max_scale(df: DataFrame, cols, suffix: str = "_scaled") -> DataFrame:

@@ -7,14 +7,11 @@ bounded by its ``vocab_size`` parameter before being broadcast.
 
 from __future__ import annotations
 
-import os
-import zipfile
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendlens.functions import text as T
+from lendlens.functions.rules import ENGLISH_STOP_WORDS
 
 
 def extract_document_fields(docs: DataFrame, text_col: str = "raw_text",
@@ -33,16 +30,9 @@ def clean_documents(docs: DataFrame, text_col: str = "text", out: str = "clean_t
     return docs.withColumn(out, T.clean_text(text_col))
 
 
-@lru_cache(maxsize=4)
-def default_stop_words(language: str = "english") -> tuple[str, ...]:
-    """Spark ML's default stop-word list, read from the installed Spark jar
-    (the same list ``StopWordsRemover.loadDefaultStopWords`` returns)."""
-    import pyspark
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    jar = next(j for j in sorted(os.listdir(jars)) if j.startswith("spark-mllib_"))
-    with zipfile.ZipFile(os.path.join(jars, jar)) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return tuple(w.strip() for w in raw.splitlines() if w.strip())
+def default_stop_words() -> tuple[str, ...]:
+    """Spark ML's default English stop words (``StopWordsRemover``), as plain data."""
+    return ENGLISH_STOP_WORDS
 
 
 def _stop_array(stop_words) -> "F.Column":

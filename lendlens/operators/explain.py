@@ -122,7 +122,7 @@ def waterfall(long: DataFrame, base_value: float, key: str = KEY) -> DataFrame:
     application's features."""
     w = Window.partitionBy(key).orderBy(F.desc(F.abs("phi")), "feature")
     return long.select(key, "feature", "phi",
-                       F.row_number().over(w).alias("step"),
+                       F.row_number().over(w).cast("long").alias("step"),
                        (F.lit(base_value) + F.sum("phi").over(w.rowsBetween(Window.unboundedPreceding, 0)))
                        .alias("cumulative"))
 

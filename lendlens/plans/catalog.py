@@ -560,7 +560,7 @@ FROM documents
 """)
 def q_document_dates(spark, sf_dir):
     d = docs_op.document_dates(tb.table(spark, sf_dir, "documents"))
-    return d.select("doc_id", F.size("dates").alias("n_dates"), F.concat_ws(",", "dates").alias("dates"))
+    return d.select("doc_id", F.size("dates").cast("long").alias("n_dates"), F.concat_ws(",", "dates").alias("dates"))
 
 
 @register("clean_text", r"""
