@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from lendlens.llm import quality_rules as qr
 from lendlens.llm import simhash_dedup as sd
-from lendlens.llm.common import documents
+from lendlens.llm import token_files as tf
+from lendlens.llm import metric_search as ms
+from lendlens.llm.common import documents, shared_folder
 
 QUERIES = {}
 SQL = {}
@@ -58,3 +60,27 @@ def op7_simhash_dedup(spark, sf_dir):
     found = sd.near_duplicates(documents(spark, sf_dir), shingle=4, radius=4)
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@register("op2_token_files")
+def op2_token_files(spark, sf_dir):
+    """Token ids of every document, written to token files and read back."""
+    import public_tokenizers
+
+    path = shared_folder(spark, "token-files")
+    tf.write_corpus(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tf.read_token_files(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register("op8_metric_search", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op8_metric_search(spark, sf_dir):
+    """The five best integer inner products of every fiftieth vector against all others."""
+    rows = documents(spark, sf_dir, "embeddings").filter(ms.usable("embedding")).select("vec_id", ms.quantised("embedding").alias("vec"))
+    return ms.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
