@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from lendlens.llm import quality_rules as qr
 from lendlens.llm import simhash_dedup as sd
 from lendlens.llm import token_files as tf
+from lendlens.llm import best_fit_packing as bp
+from lendlens.llm import chat_format as cf
 from lendlens.llm import metric_search as ms
+from lendlens.llm import url_rules as ur
 from lendlens.llm.common import documents, shared_folder
 
 QUERIES = {}
@@ -84,3 +87,46 @@ def op8_metric_search(spark, sf_dir):
     """The five best integer inner products of every fiftieth vector against all others."""
     rows = documents(spark, sf_dir, "embeddings").filter(ms.usable("embedding")).select("vec_id", ms.quantised("embedding").alias("vec"))
     return ms.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
+
+
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@register("op3_url_rules")
+def op3_url_rules(spark, sf_dir):
+    """The verdict on every page's url. Pages take the label of the document with their
+    id: block where it is of low quality or toxic."""
+    labels = documents(spark, sf_dir, "labels").filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL") \
+        .select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), "block").otherwise("allow").alias("verdict"))
+    return ur.judge(documents(spark, sf_dir, "pages"), labels, URL_RULES).withColumnRenamed("id", "page_id")
+
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def packing_input(docs):
+    """Documents with their length in words and their cluster of exact copies."""
+    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).alias("size"),
+                       F.xxhash64("text").alias("cluster"))
+
+
+@register("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf_dir):
+    """Every document's pieces in sequences of 2048 words, with no source and no text twice in one sequence."""
+    return bp.pack(packing_input(documents(spark, sf_dir)), capacity=2048).withColumnRenamed("id", "doc_id")
+
+
+@register("op5_chat_format", r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST) AS turns, count(*) AS n FROM t GROUP BY conv_id),
+kept AS (SELECT conv_id FROM c WHERE NOT EXISTS (
+  SELECT 1 FROM c AS o WHERE o.n >= c.n AND o.turns[1:c.n] = c.turns AND (o.n > c.n OR o.conv_id < c.conv_id))),
+r AS (SELECT conv_id, coalesce(CAST(floor(turn / 256.0) AS BIGINT), -72057594037927936) AS part, turn,
+        '<|im_start|>' || role || chr(10) || regexp_replace(text, '<\|(im_start|im_end)\|>', '<| \1 |>', 'g') || '<|im_end|>' || chr(10) AS line
+      FROM t WHERE conv_id IN (SELECT conv_id FROM kept))
+SELECT conv_id, part, count(*) AS n_turns, string_agg(line, '' ORDER BY turn NULLS FIRST) AS text FROM r GROUP BY conv_id, part
+""")
+def op5_chat_format(spark, sf_dir):
+    """The maximal conversations, rendered."""
+    return cf.format_chats(documents(spark, sf_dir, "conversations"))
