@@ -9,6 +9,7 @@ from lendlens.llm import simhash_dedup as sd
 from lendlens.llm import token_files as tf
 from lendlens.llm import best_fit_packing as bp
 from lendlens.llm import chat_format as cf
+from lendlens.llm import line_dedup as ld
 from lendlens.llm import metric_search as ms
 from lendlens.llm import url_rules as ur
 from lendlens.llm.common import documents, shared_folder
@@ -130,3 +131,11 @@ SELECT conv_id, part, count(*) AS n_turns, string_agg(line, '' ORDER BY turn NUL
 def op5_chat_format(spark, sf_dir):
     """The maximal conversations, rendered."""
     return cf.format_chats(documents(spark, sf_dir, "conversations"))
+
+
+@register("op1_line_dedup")
+def op1_line_dedup(spark, sf_dir):
+    """Every line with a word: its class (the place of the class's first line), its links and whether it stays."""
+    found = ld.line_classes(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), F.col("class.id").alias("class_doc_id"),
+                        F.col("class.line_no").cast("long").alias("class_line_no"), "n_copies", "n_links", ld.is_first().alias("kept"))

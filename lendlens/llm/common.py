@@ -60,7 +60,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             .unionAll(cur.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))) \
             .groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         if not roles.filter("up > 1 OR (up > 0 AND down > 0)").head(1):
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
