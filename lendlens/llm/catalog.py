@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lendlens.llm import piece_viterbi as pv
 from lendlens.llm import quality_rules as qr
 from lendlens.llm import simhash_dedup as sd
 from lendlens.llm import token_files as tf
 from lendlens.llm import best_fit_packing as bp
 from lendlens.llm import chat_format as cf
+from lendlens.llm import license_scan as ls
 from lendlens.llm import line_dedup as ld
 from lendlens.llm import metric_search as ms
 from lendlens.llm import url_rules as ur
@@ -139,3 +141,27 @@ def op1_line_dedup(spark, sf_dir):
     found = ld.line_classes(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), F.col("class.id").alias("class_doc_id"),
                         F.col("class.line_no").cast("long").alias("class_line_no"), "n_copies", "n_links", ld.is_first().alias("kept"))
+
+
+@register("op9_piece_viterbi")
+def op9_piece_viterbi(spark, sf_dir):
+    """Every document encoded into pieces and decoded again: the ids' count and checksum, and whether the text came back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # the text's checksum travels with the row, so that the decoded text can be compared without a join
+    coded = pv.round_trip(docs, path)
+    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"),
+                        F.length("decoded").cast("long").alias("n_chars"), (F.col("decoded") == F.col("text")).alias("same_text"))
+
+
+@register("op10_license_scan")
+def op10_license_scan(spark, sf_dir):
+    """The licence families that every document names, with the number and the first line of its licence passages."""
+    docs = documents(spark, sf_dir)
+    classifier, _ = ls.train(docs)
+    found = ls.scan_licenses(docs, classifier)
+    return found.select(F.col("id").alias("doc_id"), F.size("spans").cast("long").alias("n_passages"),
+                        F.array_join(F.array_sort(F.array_distinct(F.col("spans.family"))), ",").alias("families"),
+                        F.get("spans.line_no", F.lit(0)).alias("first_line"))

@@ -44,6 +44,17 @@ PLAIN = [chr(c) for lo, hi in ((0x20, 0x7E), (0xA1, 0x12F), (0x131, 0x17F)) for
 CACHE = 400_000
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level pre-tokenizer writes for each byte: printable
+    bytes stand for themselves, the others follow from U+0100 in order."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
 class PieceEncoder:
     """Encodes texts with a tokenizers file, remembering the ids of words and pre-tokens.
 
@@ -100,20 +111,17 @@ class PieceEncoder:
         return b"".join([known[w] for w in words])
 
     def _learn(self, wanted: dict[str, None]) -> None:
-        """Encode the pre-tokens not known yet, in one call: the library tells which ids belong to which."""
+        """Encode the pre-tokens not known yet, with the library's model alone."""
         new = [p for p in wanted if p not in self.pieces]
         if len(self.pieces) + len(new) > CACHE:
             self.pieces.clear()
             new = list(wanted)
         if not new:
             return
-        found = self.library.encode(" ".join(new), add_special_tokens=False)
-        ids, at = np.array(found.ids, self.width), np.array(found.word_ids, np.int64)
-        starts = np.searchsorted(at, np.arange(len(new) + 1)).tolist()
-        if len(at) == 0 or at[-1] + 1 != len(new):
-            raise ValueError("the library cut a pre-token again")
-        for p, a, b in zip(new, starts, starts[1:], strict=False):
-            self.pieces[p] = ids[a:b].tobytes()
+        tokenize, letters = self.library.model.tokenize, BYTE_LETTERS
+        for p in new:
+            ids = [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]
+            self.pieces[p] = np.array(ids, self.width).tobytes()
 
 
 @lru_cache(maxsize=2)
