@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,14 @@ RULES = {
 }
 
 
+MEASURE_NAME = regex.compile(r"\b(?:" + "|".join(MEASURES) + r")\b")
+
+
+def failure_bits(rules) -> Column:
+    bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(0) for i, rule in enumerate(rules)]
+    return sum(bits[1:], bits[0]).cast("long")
+
+
 @dataclass(frozen=True)
 class Policy:
     """Rejects a document that fails more than ``allowed`` of the policy's rules."""
@@ -99,8 +108,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
         .mapInArrow(rate, f"id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(0) for i, rule in enumerate(RULES.values())]
-    return rows.withColumn("failed", sum(bits[1:], bits[0]).cast("long"))
+    return rows.withColumn("failed", failure_bits(RULES.values()))
 
 
 def apply_policy(book: DataFrame, policy: Policy, out: str = "kept") -> DataFrame:
@@ -127,8 +135,17 @@ def ablations(book: DataFrame, policy: Policy) -> DataFrame:
     ).select(F.lit(policy.name).alias("policy"), F.lit(policy.version).alias("version"), "rule", "n_failed", "n_only", "n_kept_without")
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy: Policy = STANDARD) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps, judged by the ledger (joined by id,
-    null ids to null ids; of rows with one id all stay if one of them passes)."""
-    good = apply_policy(ledger(docs, id_col, text_col), policy).filter("kept").select(F.col("id").alias("_good")).distinct()
-    return docs.join(good, docs[id_col].eqNullSafe(F.col("_good")), "left_semi")
+def measured(text: pd.Series) -> pd.DataFrame:
+    """The measurements of a batch of texts."""
+    return pd.DataFrame([measure(t) for t in text], columns=list(MEASURES), dtype="int64")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", policy: Policy = STANDARD) -> DataFrame:
+    """The rows of ``docs`` that the policy keeps. Each row is judged by itself, in place, without a shuffle."""
+    inside = F.pandas_udf(measured, ", ".join(f"{m} long" for m in MEASURES))
+    judged = docs.withColumn("_measured", inside(F.coalesce(text_col, F.lit(""))))
+    for m in MEASURES:
+        judged = judged.withColumn(f"_{m}", F.col(f"_measured.{m}"))
+    renamed = [MEASURE_NAME.sub(lambda m: f"_{m[0]}", rule) for rule in RULES.values()]
+    failed = failure_bits(renamed)
+    return judged.filter(~policy.rejects(failed)).select(*docs.columns)

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendlens.llm.common import components, staged
@@ -185,8 +185,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                radius: int = 4) -> DataFrame:
-    """The rows of ``docs``, one of each component: the smallest id, of equal ids
-    the smallest text. Rows without an id are kept only where the whole component has none."""
+    """The rows of ``docs``, one of each component: the smallest id, of rows with that
+    id the smallest by a hash of the text. Rows without an id only stay where their whole component has none."""
     found = near_duplicates(docs, id_col, text_col, shingle, radius) \
-        .filter("component IS NULL OR id = component").select(F.col("id").alias("_kept")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+        .filter("component IS NULL OR id = component").select(F.struct("id").alias("_key")).distinct()
+    rows = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"))).join(found, "_key", "left_semi")
+    first = Window.partitionBy("_key").orderBy(F.xxhash64(text_col))
+    return rows.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(*docs.columns)
