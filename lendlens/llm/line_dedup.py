@@ -62,23 +62,23 @@ def within(a: str, b: str, edits: int) -> Column:
     """
     wide = 2 * edits + 1
     full = (1 << wide) - 1
-    match = " + ".join(f"CASE WHEN get({a}, j + {t - edits - 1}) = get({b}, j - 1) THEN {1 << t} ELSE 0 END" for t in range(wide))
-    d0 = f"((((x & s.vp) + s.vp) ^ s.vp) | x | s.vn) & {full}"
-    hp, hn = f"((s.vn | ~(d0 | s.vp)) & {full})", "(d0 & s.vp)"
-    along = f"CAST(size({a}) - s.j + {edits} AS INT)"
-    moved = f"CASE WHEN s.j <= size({a}) - {edits} THEN 1 - shiftright(d0, {wide - 1}) " \
+    match = " + ".join(f"CASE WHEN get({a}, _j + {t - edits - 1}) = get({b}, _j - 1) THEN {1 << t} ELSE 0 END" for t in range(wide))
+    d0 = f"((((_x & _s.vp) + _s.vp) ^ _s.vp) | _x | _s.vn) & {full}"
+    hp, hn = f"((_s.vn | ~(_d0 | _s.vp)) & {full})", "(_d0 & _s.vp)"
+    along = f"CAST(size({a}) - _s.j + {edits} AS INT)"
+    moved = f"CASE WHEN _s.j <= size({a}) - {edits} THEN 1 - shiftright(_d0, {wide - 1}) " \
             f"ELSE (shiftright({hp}, {along}) & 1) - (shiftright({hn}, {along}) & 1) END"
-    new = f"named_struct('j', s.j + 1, 'vp', ({hn} | ~(shiftright(d0, 1) | {hp})) & {full}, 'vn', shiftright(d0, 1) & {hp}, 'd', s.d + {moved})"
+    new = f"named_struct('j', _s.j + 1, 'vp', ({hn} | ~(shiftright(_d0, 1) | {hp})) & {full}, 'vn', shiftright(_d0, 1) & {hp}, 'd', _s.d + {moved})"
     start = f"named_struct('j', 1, 'vp', {full & ~((1 << edits) - 1)}, 'vn', 0, 'd', {edits})"
     return F.expr(f"""abs(size({a}) - size({b})) <= {edits} AND aggregate(
-        transform(sequence(1, size({b})), j -> {match}), {start},
-        (s, x) -> CASE WHEN s.d > {3 * edits} THEN s ELSE element_at(transform(array({d0}), d0 -> {new}), 1) END,
-        s -> s.d <= {edits})""")
+        transform(sequence(1, size({b})), _j -> {match}), {start},
+        (_s, _x) -> CASE WHEN _s.d > {3 * edits} THEN _s ELSE element_at(transform(array({d0}), _d0 -> {new}), 1) END,
+        _s -> _s.d <= {edits})""")
 
 
 def letters(chars: str) -> Column:
     """The parity of the count of every character, modulo 64: one edit changes two bits at most."""
-    return F.expr(f"aggregate({chars}, 0L, (s, c) -> s ^ shiftleft(1L, ascii(c) % 64))")
+    return F.expr(f"aggregate({chars}, 0L, (_s, _c) -> _s ^ shiftleft(1L, ascii(_c) % 64))")
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
