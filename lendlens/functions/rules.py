@@ -71,11 +71,16 @@ BANK_NAMES: list[str] = [
 
 # Date formats tried in order by ``parse_date`` (Python strptime spelling):
 #   '%Y-%m-%d', '%m/%d/%Y', '%d/%m/%Y', '%Y/%m/%d', '%b %d, %Y', '%B %d, %Y'
-# and the same list in Spark datetime-pattern spelling:
+# and the same list in Spark datetime-pattern spelling (one letter: one or two digits):
 DATE_FORMATS: list[str] = [
-    "yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "MMM dd, yyyy", "MMMM dd, yyyy",
+    "yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "MMM d, yyyy", "MMMM d, yyyy",
 ]
 
+# Number and date tokens.
+FIRST_TOKEN = r"\$?\d{1,3}(?:,\d{3})*(?:\.\d{2})?"
+DATE_TOKEN = r"\d{1,2}/\d{1,2}/\d{2,4}"
+FIELD_NUMBER = r"\$?\d+[,\d]*\.?\d*"
+
 # Adverse-action reason text per feature.
 REASON_CODES: list[tuple[str, str]] = [
     ("risk_flag_count", "Frequent instances of overdrafts, non-sufficient funds, or late fees"),
@@ -96,6 +101,10 @@ REASON_CODES: list[tuple[str, str]] = [
 ]
 GENERIC_REASON = "Overall risk profile does not meet lending criteria"
 
+# Fairness messages.
+DISPARITY_TEXT = (" disparity detected: ", "% difference in approval rates. Consider bias mitigation techniques.")
+NO_DISPARITY_TEXT = "No significant fairness issues detected in the specified metrics."
+
 # Decision thresholds and fairness tolerance.
 APPROVAL_THRESHOLD = 0.50
 HIGH_RISK_THRESHOLD = 0.70

@@ -24,13 +24,12 @@ MONEY = "decimal(18,2)"
 # A money token in a statement line: optional sign before or after "$",
 # thousands separators, optional cents, optional parentheses for debits.
 MONEY_TOKEN = r"\(?-?\$-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\)?|\(?-?(?:\d{1,3}(?:,\d{3})+|\d+)\.\d{2}\)?"
-FIRST_TOKEN = r"\$?\d{1,3}(?:,\d{3})*(?:\.\d{2})?"
 
-# One transaction per line: DATE  DESCRIPTION  AMOUNT
-TXN_LINE = (r"^" + WS + r"*(\d{1,2}/\d{1,2}/\d{2,4})" + WS + r"+(.+?)" + WS
-            + r"+(\(?-?\$?-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\)?)" + WS + r"*$")
-
-DATE_TOKEN = r"\d{1,2}/\d{1,2}/\d{2,4}"
+# A transaction: DATE  DESCRIPTION  AMOUNT, anywhere in a line. The amount is the
+# first money token after the description (a bare whole number only at the end
+# of the line); what follows it, like a balance column, is left alone.
+TXN = (r"(?<![\d/])(" + rules.DATE_TOKEN + r")(?![\d/])" + WS + r"+((?:(?!" + rules.DATE_TOKEN + r").)+?)" + WS
+       + r"+((?:" + MONEY_TOKEN + r")(?=" + WS + r"|$)|\(?-?(?:\d{1,3}(?:,\d{3})+|\d+)\)?(?=" + WS + r"*$))")
 
 
 def _col(c) -> Column:
@@ -58,17 +57,20 @@ def _strip_money(tok: Column) -> Column:
     return F.regexp_replace(tok, r"[\$,()\-]", "")
 
 
-def extract_amount(c, mode: str = "last_money") -> Column:
+def extract_amount(c, mode: str = "first_money") -> Column:
     """Unsigned DECIMAL amount of a statement line; 0 when no amount is found.
 
-    ``last_money``: last token carrying ``$`` or cents (dates are skipped).
+    ``first_money``: first token carrying ``$`` or cents -- dates are skipped, and
+    a balance column after the amount does not count; ``last_money``: the last one.
     ``first_token``: first number-like token, the older behaviour.
     """
     c = _col(c)
     if mode == "first_token":
-        tok = F.regexp_extract(c, FIRST_TOKEN, 0)
+        tok = F.regexp_extract(c, rules.FIRST_TOKEN, 0)
+    elif mode in ("first_money", "last_money"):
+        tok = F.try_element_at(F.regexp_extract_all(c, F.lit(MONEY_TOKEN), 0), F.lit(1 if mode == "first_money" else -1))
     else:
-        tok = F.try_element_at(F.regexp_extract_all(c, F.lit(MONEY_TOKEN), 0), F.lit(-1))
+        raise ValueError(f"unknown amount mode: {mode}")
     val = _strip_money(tok).try_cast(MONEY)
     zero = F.lit(0).cast(MONEY)
     return F.when(c.isNull(), zero).otherwise(F.coalesce(val, zero))
@@ -120,7 +122,7 @@ def currency_scalar(c) -> Column:
 
 
 def all_dates(c) -> Column:
-    return F.regexp_extract_all(_col(c), F.lit(DATE_TOKEN), 0)
+    return F.regexp_extract_all(_col(c), F.lit(rules.DATE_TOKEN), 0)
 
 
 def parse_statement_date(c) -> Column:
@@ -135,11 +137,10 @@ def _last_match(c, pattern: str, group: int = 1) -> Column:
 
 # Field patterns for pay stubs and statements: keyword, optional qualifier,
 # optional ':' or '=', then the value. The last match in a text wins.
-NUM = r"\$?\d+[,\d]*\.?\d*"
-NET_PAY = r"(?i)\b(?:net|take-home)(?:[ \t]+(?:pay|income|salary))?[ \t]*[:=]?[ \t]*(" + NUM + ")"
-GROSS_PAY = r"(?i)\bgross(?:[ \t]+(?:pay|income|salary))?[ \t]*[:=]?[ \t]*(" + NUM + ")"
+NET_PAY = r"(?i)\b(?:net|take-home)(?:[ \t]+(?:pay|income|salary))?[ \t]*[:=]?[ \t]*(" + rules.FIELD_NUMBER + ")"
+GROSS_PAY = r"(?i)\bgross(?:[ \t]+(?:pay|income|salary))?[ \t]*[:=]?[ \t]*(" + rules.FIELD_NUMBER + ")"
 PAY_PERIOD = r"(?i)\bpay[ \t]+period[ \t]*[:=]?[ \t]*(\d{1,2}/\d{1,2}/\d{2,4})(?:[ \t]*-[ \t]*(\d{1,2}/\d{1,2}/\d{2,4}))?"
-BALANCE = r"(?i)\b(?:balance|ending|current)(?:[ \t]+(?:balance|amount))?[ \t]*[:=]?[ \t]*(" + NUM + ")"
+BALANCE = r"(?i)\b(?:balance|ending|current)(?:[ \t]+(?:balance|amount))?[ \t]*[:=]?[ \t]*(" + rules.FIELD_NUMBER + ")"
 
 
 def document_fields(text, document_type) -> dict[str, Column]:

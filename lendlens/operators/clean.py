@@ -12,10 +12,14 @@ from functools import reduce
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.functions import rules
+from lendlens.session import ensure_checkpoint_dir
 
 NUMERIC = ("int", "bigint", "smallint", "tinyint", "float", "double")
 
@@ -62,18 +66,21 @@ def fill_constants(df: DataFrame, values: dict) -> DataFrame:
 
 
 def impute(df: DataFrame, numeric=(), categorical=(), strategy: str = "mean", relative_error: float = 0.001) -> DataFrame:
-    """Numeric by mean or median (approximate, bounded memory), categorical
-    by the most frequent non-null value (ties -> smallest value). One aggregate."""
-    aggs = []
-    for c in numeric:
-        x = F.col(c).cast("double")
-        aggs.append((F.avg(x) if strategy == "mean" else F.percentile_approx(x, 0.5, int(1 / relative_error)))
-                    .alias(c))
-    for c in categorical:
-        aggs.append(F.mode(F.col(c), deterministic=True).alias(c))
-    if not aggs:
+    """Numeric by mean, median (approximate, bounded memory) or mode,
+    categorical by the most frequent non-null value. Modes come from counts per
+    value with the smaller value winning ties, summed before the shuffle."""
+    if strategy not in ("mean", "median", "mode"):
+        raise ValueError(f"unknown imputation strategy: {strategy}")
+    stats = {}
+    aggs = [(F.avg(F.col(c).cast("double")) if strategy == "mean" else F.percentile_approx(F.col(c).cast("double"), 0.5, int(1 / relative_error)))
+            .alias(c) for c in numeric] if strategy != "mode" else []
+    if aggs:
+        stats |= df.agg(*aggs).first().asDict()
+    for c in [*categorical, *(numeric if strategy == "mode" else ())]:
+        top = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), c).first()
+        stats[c] = top[c] if top else None
+    if not stats:
         return df
-    stats = df.agg(*aggs).first().asDict()
     return df.withColumns({c: F.coalesce(F.col(c).cast("double") if c in numeric else F.col(c), F.lit(stats[c]))
                            for c in list(numeric) + list(categorical) if stats[c] is not None})
 
@@ -123,7 +130,7 @@ def min_max_scale(df: DataFrame, cols, suffix: str = "_scaled") -> DataFrame:
     out = {}
     for c in cols:
         lo, hi = st[f"min_{c}"], st[f"max_{c}"]
-        out[c + suffix] = F.lit(0.5) if lo == hi else (F.col(c) - F.lit(lo)) / F.lit(hi - lo)
+        out[c + suffix] = F.when(F.col(c).isNotNull(), F.lit(0.5)) if lo == hi else (F.col(c) - F.lit(lo)) / F.lit(hi - lo)
     return df.withColumns(out)
 
 
@@ -139,7 +146,7 @@ def standard_scale(df: DataFrame, cols, with_mean: bool = True, with_std: bool =
             e = e - F.lit(st[f"m_{c}"])
         if with_std:
             s = st[f"s_{c}"]
-            e = e / F.lit(s) if s else F.lit(0.0)
+            e = e / F.lit(s) if s else F.when(e.isNotNull(), F.lit(0.0))
         out[c + suffix] = e
     return df.withColumns(out)
 
@@ -227,9 +234,16 @@ def assemble_feature_matrix(base: DataFrame, *parts: DataFrame, key: str = "appl
 
 
 def align_to_columns(df: DataFrame, columns, defaults: dict | None = None) -> DataFrame:
-    """Select the model's columns in order; missing ones take a default (0)."""
+    """The model's columns in order; missing ones take a default (0), and so
+    do nulls of a present column that has a default of its own."""
     defaults = defaults or {}
-    return df.select([F.col(c) if c in df.columns else F.lit(defaults.get(c, 0)).alias(c) for c in columns])
+
+    def one(c):
+        if c not in df.columns:
+            return F.lit(defaults.get(c, 0)).alias(c)
+        return F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c)
+
+    return df.select([one(c) for c in columns])
 
 
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
@@ -254,5 +268,70 @@ def stratified_hash_split(df: DataFrame, key: str, label: str = "label", test_fr
     return df.withColumn("split", F.when(h < test_fraction, F.lit("test")).otherwise(F.lit("train")))
 
 
-def union_all(dfs) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), dfs)
+def quantiles(df: DataFrame, col: str, probabilities, accuracy: int = 10000, exact: bool = False) -> DataFrame:
+    """(probability, value) per asked quantile of one column, nulls left out.
+
+    Approximate with bounded memory by default; ``exact`` interpolates like
+    SQL's percentile_cont and keeps every distinct value, for bounded domains."""
+    x, ps = F.col(col).cast("double"), [float(p) for p in probabilities]
+    values = F.percentile(x, F.array(*[F.lit(p) for p in ps])) if exact else F.percentile_approx(x, ps, accuracy)
+    pairs = F.arrays_zip(F.array(*[F.lit(p) for p in ps]).alias("probability"), values.alias("value"))
+    return df.agg(pairs.alias("q")).select(F.inline("q"))
+
+
+def oversample(df: DataFrame, features: list[str], label: str = "label", k: int = 5, seed: int = 42, block: int = 512) -> DataFrame:
+    """Synthetic minority rows until both classes are equal (SMOTE).
+
+    Minority rows are range-partitioned along a fixed random direction and cut
+    into blocks of ``block`` neighbours on that line; the ``k`` nearest rows are
+    searched inside a block, so the work is linear at every size and a crowded
+    region is many blocks. Returns (features..., label, synthetic). A class
+    without a neighbour (one row) is repeated as it is; features must not be null."""
+    n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    if len(n) != 2:
+        raise ValueError("label must have two classes")
+    minority = min(n, key=lambda c: (n[c], c))
+    missing = max(n.values()) - n[minority]
+    base = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label), F.lit(False).alias("synthetic"))
+    if not missing:
+        return base
+    each, rest = divmod(missing, n[minority])
+    axis = np.random.default_rng(seed).standard_normal(len(features))
+    rows = base.filter(F.col(label) == minority).select(*features) \
+        .withColumn("_p", sum(F.lit(float(a)) * F.col(c) for a, c in zip(axis, features, strict=True)))
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = rows.repartitionByRange("_p", *features).sortWithinPartitions("_p", *features).checkpoint()
+    # rows are numbered through the partitions: every row yields ``each`` synthetic ones, the first ``rest`` one more
+    sizes = {r["p"]: r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()}
+    before = {p: sum(c for q, c in sizes.items() if q < p) for p in sizes}
+
+    def make(batches):
+        at, held, size = before.get(TaskContext.get().partitionId(), 0), [], 0
+        for pdf in batches:
+            pdf = pdf.assign(_n=each + (np.arange(at, at + len(pdf)) < rest))
+            at += len(pdf)
+            while len(pdf):
+                held.append(pdf.iloc[:block - size])
+                size += len(held[-1])
+                pdf = pdf.iloc[len(held[-1]):]
+                if size == block:
+                    yield synthetic(pd.concat(held))
+                    held, size = [], 0
+        if held:
+            yield synthetic(pd.concat(held))
+
+    def synthetic(pdf):
+        x, out = pdf[features].to_numpy(), []
+        rng = np.random.default_rng([seed, int(abs(x).sum()) % (1 << 32), len(x)])
+        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+        np.fill_diagonal(d, np.inf)
+        near = np.argsort(d, axis=1, kind="stable")[:, :max(1, min(k, len(x) - 1))]
+        for i, m in enumerate(pdf["_n"].to_numpy()):
+            other = x[near[i, rng.integers(0, near.shape[1], m)]] if len(x) > 1 else np.repeat(x[i:i + 1], m, 0)
+            out.append(x[i] + rng.random((m, 1)) * (other - x[i]))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, len(features))), columns=features)
+
+    made = rows.mapInPandas(make, ", ".join(f"`{c}` double" for c in features)) \
+        .withColumn(label, F.lit(minority).cast(df.schema[label].dataType)).withColumn("synthetic", F.lit(True))
+    return base.unionByName(made)
+

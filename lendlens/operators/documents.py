@@ -1,13 +1,13 @@
 """Document text: field extraction, cleaning, dates, TF-IDF.
 
 Every step is a column expression or an explode + aggregate over whole
-texts; the TF-IDF vocabulary is the only thing that is ever "small" and it is
-bounded by its ``vocab_size`` parameter before being broadcast.
+texts; the TF-IDF vocabulary is the only thing that reaches the driver and it
+is bounded by its ``vocab_size`` parameter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.functions import text as T
@@ -35,79 +35,86 @@ def default_stop_words() -> tuple[str, ...]:
     return ENGLISH_STOP_WORDS
 
 
-def _stop_array(stop_words) -> "F.Column":
-    return F.array(*[F.lit(w) for w in stop_words])
-
-
 def tokens(text_col: str = "text", pattern: str = r"\W+") -> "F.Column":
     """Lower-case, split on non-word runs (empty tokens removed later)."""
     return F.split(F.lower(F.col(text_col)), pattern)
 
 
-def term_counts(docs: DataFrame, key: str = "doc_id", text_col: str = "text", stop_words=None) -> DataFrame:
-    """(key, term, tf) with stop words removed -- explode + partial aggregate."""
-    stop = stop_words if stop_words is not None else default_stop_words()
-    toks = docs.select(key, F.explode(tokens(text_col)).alias("term"))
+def unigrams(text_col: str = "text", stop_words=None) -> "F.Column":
+    """The row's terms without stop words, as an array."""
+    stop = list(stop_words if stop_words is not None else default_stop_words())
     # isin over many literals becomes a hash-set lookup (InSet), not a scan
-    toks = toks.filter((F.col("term") != "") & ~F.col("term").isin(list(stop)))
-    return toks.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return F.filter(tokens(text_col), lambda w: (w != "") & ~w.isin(stop))
 
 
-def top_vocabulary(tf: DataFrame, vocab_size: int, key: str = "doc_id") -> DataFrame:
-    """The ``vocab_size`` terms with the largest corpus frequency (ties by term),
-    with their document frequency. Output is at most ``vocab_size`` rows."""
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    return stats.orderBy(F.desc("total"), F.asc("term")).limit(vocab_size)
+WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def _corpus_size(docs: DataFrame) -> "F.Column":
-    """Number of documents as a scalar subquery."""
-    return docs.select(F.count(F.lit(1))).scalar()
+def unigrams_and_bigrams(text_col: str = "text", stop_words=None) -> "F.Column":
+    """Words of two or more word characters without stop words, then adjacent pairs."""
+    stop = list(stop_words if stop_words is not None else default_stop_words())
+    words = F.filter(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_TOKEN), 0), lambda w: ~w.isin(stop))
+    none = F.array().cast("array<string>")
 
+    def pairs(k):
+        n = F.greatest(F.size(k) - 1, F.lit(0))
+        return F.concat(k, F.transform(F.arrays_zip(F.slice(k, 1, n).alias("a"), F.slice(k, F.lit(2), n).alias("b")),
+                                       lambda p: F.concat_ws(" ", p["a"], p["b"])))
 
-def tfidf(docs: DataFrame, key: str = "doc_id", text_col: str = "text", vocab_size: int = 100,
-          stop_words=None) -> DataFrame:
-    """C11, relational form: tf * ln((N + 1) / (df + 1)) over a top-``vocab_size`` vocabulary."""
-    tf = term_counts(docs, key, text_col, stop_words)
-    vocab = top_vocabulary(tf, vocab_size, key)
-    vocab = vocab.withColumn("n_docs", _corpus_size(docs))
-    scored = tf.join(F.broadcast(vocab), "term")  # bounded by vocab_size
-    return scored.select(key, "term", "tf",
-                         (F.col("tf") * F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0))).alias("tfidf"))
+    # the words are bound once, as the element of a one-element array
+    return F.coalesce(F.flatten(F.transform(F.array(words), pairs)), none)
 
 
-WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
+def top_vocabulary(docs: DataFrame, terms: "F.Column", size: int) -> list[str]:
+    """The ``size`` most frequent terms of the corpus, ties by term. Counts are summed
+    per task before the shuffle; only the vocabulary reaches the driver."""
+    counts = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    return [r["term"] for r in counts.orderBy(F.desc("total"), F.asc("term")).limit(size).collect()]
+
 
+def vocabulary_counts(docs: DataFrame, key: str, terms: "F.Column", vocabulary: list[str]) -> DataFrame:
+    """(key, counts: array of (term, tf)) -- each row's vocabulary terms counted inside
+    the row, so no (document, term) pair is ever shuffled."""
+    kept = docs.select(key, F.filter(terms, lambda t: t.isin(vocabulary) if vocabulary else F.lit(False)).alias("_k"))
+    counts = F.transform(F.array_distinct("_k"), lambda t: F.struct(
+        t.alias("term"), F.size(F.filter("_k", lambda x: x == t)).cast("long").alias("tf")))
+    return kept.select(key, counts.alias("counts")).filter(F.size("counts") > 0)
 
-def ngram_terms(docs: DataFrame, key: str = "doc_id", text_col: str = "text", stop_words=None) -> DataFrame:
-    """(key, term): unigrams of two or more word characters with stop words removed,
-    then adjacent bigrams -- built with array functions inside each row, no window."""
-    stop = stop_words if stop_words is not None else default_stop_words()
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_TOKEN), 0)
-    kept = docs.select(key, F.filter(words, lambda w: ~w.isin(list(stop))).alias("_k"))
-    k = F.col("_k")
-    n = F.size(k)
-    bigrams = F.transform(F.arrays_zip(F.slice(k, 1, F.greatest(n - 1, F.lit(0))),
-                                       F.slice(k, F.lit(2), F.greatest(n - 1, F.lit(0)))),
-                          lambda p: F.concat_ws(" ", p.getField("0"), p.getField("1")))
-    bigrams = F.when(n >= 2, bigrams).otherwise(F.array().cast("array<string>"))
-    return kept.select(key, F.explode(F.concat(k, bigrams)).alias("term"))
+
+def inverse_frequencies(counted: DataFrame, n_docs: int, smooth: float) -> dict[str, float]:
+    """ln((N + 1) / (df + 1)) + ``smooth`` per vocabulary term."""
+    rows = counted.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")) \
+        .select("term", (F.log((F.lit(n_docs) + 1.0) / (F.col("df") + 1.0)) + smooth).alias("idf")).collect()
+    return {r["term"]: r["idf"] for r in rows}
+
+
+def _scored(docs, key, terms, size, smooth):
+    vocabulary = top_vocabulary(docs, terms, size)
+    counted = vocabulary_counts(docs, key, terms, vocabulary)
+    idf = inverse_frequencies(counted, docs.count(), smooth)
+    if not idf:
+        return counted.select(key, F.array().cast("array<struct<term:string,tf:bigint,w:double>>").alias("_s"))
+    weight = F.create_map(*[x for t, w in idf.items() for x in (F.lit(t), F.lit(w))])
+    return counted.select(key, F.transform("counts", lambda c: F.struct(
+        c["term"].alias("term"), c["tf"].alias("tf"), (c["tf"] * F.element_at(weight, c["term"])).alias("w"))).alias("_s"))
+
+
+def tfidf(docs: DataFrame, key: str = "doc_id", text_col: str = "text", vocab_size: int = 100,
+          stop_words=None) -> DataFrame:
+    """C11, relational form: tf * ln((N + 1) / (df + 1)) over a top-``vocab_size`` vocabulary."""
+    rows = _scored(docs, key, unigrams(text_col, stop_words), vocab_size, 0.0)
+    return rows.select(key, F.inline("_s").alias("term", "tf", "tfidf"))
 
 
 def tfidf_ngrams(docs: DataFrame, key: str = "doc_id", text_col: str = "text", max_features: int = 50,
                  stop_words=None) -> DataFrame:
     """uni+bigram TF-IDF, top ``max_features`` terms by corpus count, smoothed
-    idf = ln((1 + N) / (1 + df)) + 1, each document's vector scaled to unit length."""
-    terms = ngram_terms(docs, key, text_col, stop_words)
-    tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    vocab = top_vocabulary(tf, max_features, key)
-    vocab = vocab.withColumn("n_docs", _corpus_size(docs))
-    raw = tf.join(F.broadcast(vocab), "term").select(
-        key, "term", "tf",
-        (F.col("tf") * (F.log((F.col("n_docs") + 1.0) / (F.col("df") + 1.0)) + 1.0)).alias("w"))
-    # at most max_features rows per document in this window
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "tf", (F.col("w") / norm).alias("tfidf"))
+    idf = ln((1 + N) / (1 + df)) + 1, each document's vector scaled to unit length
+    -- the length is computed inside the row."""
+    rows = _scored(docs, key, unigrams_and_bigrams(text_col, stop_words), max_features, 1.0)
+    norm = F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    return rows.withColumn("_n", norm).select(key, "_n", F.inline("_s").alias("term", "tf", "_w")) \
+        .select(key, "term", "tf", (F.col("_w") / F.col("_n")).alias("tfidf"))
 
 
 def tfidf_pipeline(vocab_size: int = 100, input_col: str = "text"):

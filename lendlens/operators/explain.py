@@ -35,18 +35,23 @@ def linear_contributions(df: DataFrame, weights: dict[str, float], intercept: fl
     return long, base
 
 
+def linear_contribution_rows(df: DataFrame, weights: dict[str, float], intercept: float = 0.0,
+                             background: DataFrame | None = None) -> tuple[DataFrame, float]:
+    """G1b inside the row: ``df`` with its contributions as a sorted array (phi
+    ascending, ties by feature) -- no explode and no regrouping -- and the base value."""
+    bg = background if background is not None else df
+    means = bg.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in weights]).first().asDict()
+    cells = [F.struct((F.lit(w) * (F.col(f).cast("double") - F.lit(means[f]))).alias("phi"), F.lit(f).alias("feature"),
+                      F.col(f).cast("double").alias("value")) for f, w in weights.items()]
+    base = intercept + sum(weights[f] * means[f] for f in weights)
+    return df.withColumn("contributions", F.array_sort(F.array(*cells))), base
+
+
 def linear_score(df: DataFrame, weights: dict[str, float], intercept: float = 0.0, out: str = "probability"):
     z = reduce(lambda a, b: a + b, [F.lit(w) * F.col(f).cast("double") for f, w in weights.items()], F.lit(intercept))
     return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
 
 
-def contribution_arrays(long: DataFrame, key: str = KEY) -> DataFrame:
-    """One row per key with its contributions as an array of structs, sorted by
-    phi ascending (ties by feature name). The group is one application's features."""
-    return long.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("phi", "feature", "value"))).alias("contributions"))
-
-
 def _reason_map():
     return F.create_map(*[x for f, text in rules.REASON_CODES for x in (F.lit(f), F.lit(text))])
 
@@ -88,12 +93,11 @@ def adverse_action_reasons(arrays: DataFrame, top_n: int = rules.TOP_N_REASONS,
     return arrays.withColumn("adverse_action_reasons", reasons)
 
 
-def explanation_records(arrays: DataFrame, base_value: float, decided: DataFrame, key: str = KEY,
-                        k: int = 5) -> DataFrame:
+def explanation_records(rows: DataFrame, base_value: float, k: int = 5) -> DataFrame:
     """Base value, all contributions (ascending), 5 most positive, 5 most
-    negative, reasons when denied."""
+    negative, reasons when denied -- for rows that carry contributions and decision."""
     c = F.col("contributions")
-    rec = arrays.join(decided, key).withColumns({
+    rec = rows.withColumns({
         "base_value": F.lit(base_value),
         "top_positive": F.reverse(F.slice(F.reverse(c), 1, k)),
         "top_negative": F.slice(c, 1, k),
@@ -103,12 +107,11 @@ def explanation_records(arrays: DataFrame, base_value: float, decided: DataFrame
                           F.when(F.col("decision") == "denied", F.col("adverse_action_reasons")))
 
 
-def batch_explanations(arrays: DataFrame, decided: DataFrame, key: str = KEY) -> DataFrame:
+def batch_explanations(rows: DataFrame, key: str = KEY) -> DataFrame:
     """Decision, probability and the most negative contribution."""
     first = F.element_at(F.col("contributions"), 1)
-    return arrays.join(decided, key).select(key, "decision", "probability",
-                                            first["feature"].alias("top_negative_feature"),
-                                            first["phi"].alias("top_negative_impact"))
+    return rows.select(key, "decision", "probability", first["feature"].alias("top_negative_feature"),
+                       first["phi"].alias("top_negative_impact"))
 
 
 def global_importance(long: DataFrame, top: int = 20) -> DataFrame:
@@ -117,51 +120,50 @@ def global_importance(long: DataFrame, top: int = 20) -> DataFrame:
         .orderBy(F.desc("mean_abs_phi"), "feature").limit(top)
 
 
-def waterfall(long: DataFrame, base_value: float, key: str = KEY) -> DataFrame:
-    """Steps from the base value in |phi| order; the window partition is one
-    application's features."""
-    w = Window.partitionBy(key).orderBy(F.desc(F.abs("phi")), "feature")
-    return long.select(key, "feature", "phi",
-                       F.row_number().over(w).cast("long").alias("step"),
-                       (F.lit(base_value) + F.sum("phi").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                       .alias("cumulative"))
+def waterfall(rows: DataFrame, base_value: float, key: str = KEY) -> DataFrame:
+    """Steps from the base value in |phi| order, summed inside the row."""
+    steps = F.array_sort("contributions", lambda a, b: F.when(F.abs(a["phi"]) > F.abs(b["phi"]), -1)
+                         .when(F.abs(a["phi"]) < F.abs(b["phi"]), 1).when(a["feature"] < b["feature"], -1)
+                         .when(a["feature"] > b["feature"], 1).otherwise(0))
+    out = rows.select(key, steps.alias("_s")).select(key, F.posexplode("_s").alias("_i", "_c"), "_s")
+    so_far = F.aggregate(F.slice("_s", F.lit(1), F.col("_i") + 1), F.lit(0.0), lambda a, c: a + c["phi"])
+    return out.select(key, "_c.feature", "_c.phi", (F.col("_i") + 1).cast("long").alias("step"),
+                      (F.lit(base_value) + so_far).alias("cumulative"))
 
 
 def permutation_shapley(df: DataFrame, model, feature_cols: list[str], background: DataFrame,
                         n_permutations: int = 8, seed: int = 42, key: str = KEY,
-                        prob_col: str = "default_probability") -> DataFrame:
+                        prob_col: str = "default_probability", n_background: int = 100, others=()) -> DataFrame:
     """G1: model-agnostic Shapley values by permutation sampling (Strumbelj &
     Kononenko 2014), as one Spark job.
 
-    Rows x permutations x background rows are generated by joins (background
-    is a bounded sample), each permutation yields len(features)+1 hybrid rows,
-    one ``model.transform`` scores them all, and marginal contributions are
-    averaged with ``groupBy(key, feature)``."""
+    Every row draws ``n_permutations`` feature orders and, for each, one
+    background row, all by hash; each pair yields len(features)+1 hybrid rows,
+    one ``model.transform`` scores them, and marginal contributions are averaged
+    with ``groupBy(key, feature)``. Output grows with rows x permutations x features.
+    ``n_background`` bounds the background sample (chosen by hash) that travels as literals;
+    columns in ``others`` reach the model with the row's own values and get no share."""
     nf = len(feature_cols)
-    max_background = 100
-    bg_rows = background.select(*feature_cols).limit(max_background + 1).collect()
-    if len(bg_rows) > max_background:
-        raise ValueError(f"background must hold at most {max_background} rows; sample it first")
-    bg_lit = F.array(*[F.struct(F.lit(i).alias("_bid"),
-                                *[F.lit(r[c]).cast("double").alias(f"_b_{c}") for c in feature_cols])
-                       for i, r in enumerate(bg_rows)])
-    # rows x permutations x background rows, generated in-row (no join)
-    base = df.select(key, *[F.col(c).cast("double").alias(c) for c in feature_cols],
-                     F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("_perm"))
-    base = base.select("*", F.explode(bg_lit).alias("_bg")).select("*", "_bg.*").drop("_bg")
+    doubles = [F.col(c).cast("double").alias(c) for c in feature_cols]
+    bg_rows = background.select(*doubles).orderBy(F.xxhash64(*feature_cols, F.lit(seed)), *feature_cols).limit(n_background).collect()
+    bg_lit = F.array(*[F.struct(*[F.lit(r[c]).cast("double").alias(f"_b_{c}") for c in feature_cols]) for r in bg_rows])
+    others = list(others)
+    base = df.select(key, *doubles, *others, F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("_perm"))
+    pick = F.pmod(F.xxhash64(F.col(key), F.col("_perm"), F.lit(seed + 1)), F.lit(len(bg_rows))).cast("int")
+    base = base.withColumn("_bg", F.get(bg_lit, pick)).select("*", "_bg.*").drop("_bg")
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(nf - 1)), lambda i: F.struct(
         F.xxhash64(F.col(key), F.col("_perm"), i, F.lit(seed)).alias("h"), i.alias("i"))))
     base = base.withColumn("_order", F.transform(order, lambda s: s["i"]))
     steps = base.select("*", F.posexplode(F.sequence(F.lit(0), F.lit(nf))).alias("_k", "_dummy"))
     # feature j takes x's value when its position in the order is < k, else the background value
     pos = {c: F.array_position(F.col("_order"), F.lit(j)) - 1 for j, c in enumerate(feature_cols)}
-    hybrid = steps.select(key, "_perm", "_bid", "_k", "_order",
+    hybrid = steps.select(key, "_perm", "_k", "_order", *others,
                           *[F.when(pos[c] < F.col("_k"), F.col(c)).otherwise(F.col(f"_b_{c}")).alias(c)
                             for c in feature_cols])
     out = model.transform(hybrid)
     p = F.col(prob_col) if prob_col in out.columns else vector_to_array("probability")[1]
-    scored = out.select(key, "_perm", "_bid", "_k", "_order", p.alias("_p"))
-    w = Window.partitionBy(key, "_perm", "_bid").orderBy("_k")
+    scored = out.select(key, "_perm", "_k", "_order", p.alias("_p"))
+    w = Window.partitionBy(key, "_perm").orderBy("_k")
     marg = scored.withColumn("_delta", F.col("_p") - F.lag("_p").over(w)).filter(F.col("_k") > 0)
     names = F.array(*[F.lit(c) for c in feature_cols])
     marg = marg.withColumn("feature", F.element_at(names, F.element_at(F.col("_order"), F.col("_k")) + 1))

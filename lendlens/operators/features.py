@@ -29,7 +29,7 @@ KEY = "application_id"
 # Statement lines
 # ---------------------------------------------------------------------------
 def parse_statement_lines(df: DataFrame, text_col: str = "statement_text", key: str = KEY,
-                          amount_mode: str = "last_money", min_length: int = 10) -> DataFrame:
+                          amount_mode: str = "first_money", min_length: int = 10) -> DataFrame:
     """Split statements on newlines, drop short lines, categorise each line."""
     extra = [c for c in ("statement_month", "page") if c in df.columns]
     lines = df.select(key, *extra, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "transaction_text"))
@@ -116,7 +116,7 @@ def fill_numeric_zero(df: DataFrame, exclude=()) -> DataFrame:
     return df
 
 
-def statement_features(statements: DataFrame, key: str = KEY, amount_mode: str = "last_money") -> DataFrame:
+def statement_features(statements: DataFrame, key: str = KEY, amount_mode: str = "first_money") -> DataFrame:
     """Behavioural features per application from raw statement text."""
     return aggregate_line_features(parse_statement_lines(statements, key=key, amount_mode=amount_mode), key)
 
@@ -125,47 +125,54 @@ def statement_features(statements: DataFrame, key: str = KEY, amount_mode: str =
 # Dated transactions
 # ---------------------------------------------------------------------------
 def parse_transactions(df: DataFrame, text_col: str = "statement_text", key: str = KEY) -> DataFrame:
-    """Each line ``DATE DESCRIPTION AMOUNT`` -> (key, txn_date, seq..., description, amount, category).
+    """Every ``DATE DESCRIPTION AMOUNT`` of every line -> (key, txn_date, seq..., description, amount, category).
 
-    Parsing is per line, so an amount never runs into the next line's date;
-    a minus sign before or after ``$`` and parentheses mark debits; lines with
-    an unparsable date are dropped. ``seq`` columns order lines within a day.
+    The date may stand anywhere in the line and a line may hold several
+    transactions (``match_no``); the amount is the first money token after the
+    description, so a balance column or a suffix after it changes nothing. Parsing is per
+    line: an amount never runs into the next line's date. A minus sign before or after ``$``
+    and parentheses mark debits; unparsable dates are dropped. ``seq`` columns order
+    transactions within a day.
     """
     order_cols = [c for c in ("statement_month", "page") if c in df.columns]
     lines = df.select(key, *order_cols,
                       F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    parts = lines.select(
-        key, *order_cols, "line_no",
-        F.regexp_extract("line", T.TXN_LINE, 1).alias("date_text"),
-        F.regexp_extract("line", T.TXN_LINE, 2).alias("description"),
-        F.regexp_extract("line", T.TXN_LINE, 3).alias("amount_text"),
-    ).filter(F.col("date_text") != "")
+    found = F.arrays_zip(*[F.regexp_extract_all("line", F.lit(T.TXN), i).alias(n)
+                           for i, n in ((1, "date_text"), (2, "description"), (3, "amount_text"))])
+    parts = lines.select(key, *order_cols, "line_no", F.posexplode(found).alias("match_no", "m"))
     txns = parts.select(
-        key, *order_cols, "line_no",
-        T.parse_statement_date("date_text").alias("txn_date"),
-        F.trim("description").alias("description"),
-        T.signed_amount("amount_text").alias("amount"),
+        key, *order_cols, "line_no", "match_no",
+        T.parse_statement_date("m.date_text").alias("txn_date"),
+        F.trim("m.description").alias("description"),
+        T.signed_amount("m.amount_text").alias("amount"),
     ).filter(F.col("txn_date").isNotNull() & F.col("amount").isNotNull())
     return txns.withColumn("category", T.categorize_transaction("description"))
 
 
-def transaction_features(txns: DataFrame, key: str = KEY, seq_cols=("page", "line_no")) -> DataFrame:
+LINES_A_CHUNK = 4096
+
+
+def transaction_features(txns: DataFrame, key: str = KEY, seq_cols=("page", "line_no", "match_no")) -> DataFrame:
     """D4-D10 per application.
 
-    Level 1: running balance inside each (key, day) -- a window whose
-    partition is one account-day. Level 2: one row per (key, day) with its
-    sums; windows over those rows give each day's opening balance and the
-    previous income day. Level 3: one aggregate per key.
+    Level 1: running balance inside each (key, day, page, block of
+    ``LINES_A_CHUNK`` lines) -- a window whose partition is bounded however many
+    transactions a day holds. Level 2: one row per such chunk with its sums;
+    windows over those rows give each chunk's opening balance and the previous
+    income day. Level 3: one aggregate per key.
     """
     seq = [c for c in seq_cols if c in txns.columns]
-    day_w = Window.partitionBy(key, "txn_date").orderBy(*seq).rowsBetween(Window.unboundedPreceding, 0)
+    line = F.floor(F.col("line_no") / LINES_A_CHUNK) if "line_no" in seq else F.lit(0)
+    txns = txns.withColumn("_chunk", line)
+    chunk = ["txn_date", *[c for c in seq if c == "page"], "_chunk"]
+    chunk_w = Window.partitionBy(key, *chunk).orderBy(*seq).rowsBetween(Window.unboundedPreceding, 0)
     cat = F.col("category")
     rows = txns.select(
-        key, "txn_date", "amount", "category",
-        F.sum("amount").over(day_w).alias("day_prefix"),
+        key, *chunk, "amount", "category",
+        F.sum("amount").over(chunk_w).alias("day_prefix"),
         T.contains_any("description", rules.PAYDAY_PATTERNS).cast("int").alias("payday"),
     )
-    days = rows.groupBy(key, "txn_date").agg(
+    days = rows.groupBy(key, *chunk).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("amount").alias("day_sum"),
         F.sum("day_prefix").alias("prefix_sum"),
@@ -181,7 +188,7 @@ def transaction_features(txns: DataFrame, key: str = KEY, seq_cols=("page", "lin
         F.count_if(cat == "Risk_Flag").alias("n_risk"),
         F.max("payday").alias("payday"),
     )
-    key_w = Window.partitionBy(key).orderBy("txn_date")
+    key_w = Window.partitionBy(key).orderBy(*chunk)
     before = key_w.rowsBetween(Window.unboundedPreceding, -1)
     month = F.trunc("txn_date", "month")
     prev_month = F.lag(month).over(key_w)

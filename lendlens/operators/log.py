@@ -9,15 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOG_COLUMNS = ["id", "application_id", "timestamp", "submitted_by", "applicant_name", "applicant_age",
-               "applicant_income", "gender", "race", "loan_amount", "loan_term", "loan_purpose", "prediction",
-               "probability", "confidence", "nlp_features", "extracted_entities", "shap_values",
-               "adverse_action_reasons", "documents_uploaded"]
+LOG_SCHEMA = ("id long, application_id string, timestamp timestamp_ntz, submitted_by string, applicant_name string, "
+              "applicant_age int, applicant_income double, gender string, race string, loan_amount double, loan_term int, "
+              "loan_purpose string, prediction string, probability double, confidence double, nlp_features string, "
+              "extracted_entities string, shap_values string, adverse_action_reasons string, documents_uploaded string")
+
+
+def to_log_schema(scored: DataFrame) -> DataFrame:
+    """The log's columns in order, cast to its types; columns that are missing become null."""
+    fields = [f.split(" ") for f in LOG_SCHEMA.split(", ")]
+    return scored.select(*[(F.col(n) if n in scored.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
 
 
 def append_log(scored: DataFrame, path: str) -> None:
-    """Append scored rows to the log, partitioned by day."""
-    (scored.withColumn("log_date", F.to_date("timestamp"))
+    """Append scored rows to the log, in the log's schema, partitioned by day."""
+    (to_log_schema(scored).withColumn("log_date", F.to_date("timestamp"))
      .write.mode("append").partitionBy("log_date").parquet(path))
 
 
@@ -40,10 +46,29 @@ def search(df: DataFrame, decision: str | None = None, text: str | None = None)
     return df
 
 
+MAX_PAGE = 1000
+
+
+def _page_size(limit: int) -> int:
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"limit must be between 1 and {MAX_PAGE}, got {limit}")
+    return limit
+
+
 def log_page(df: DataFrame, decision=None, text=None, offset: int = 0, limit: int = 100) -> DataFrame:
-    """Newest first (id breaks ties), offset + limit (limit capped at 1000)."""
-    limit = max(1, min(int(limit), 1000))
-    return search(df, decision, text).orderBy(F.desc("timestamp"), F.desc("id")).offset(offset).limit(limit)
+    """Newest first (id breaks ties), offset + limit. A limit outside 1..1000 is an
+    error. A deep offset sorts all rows before it; ``log_page_after`` does not."""
+    return search(df, decision, text).orderBy(F.desc("timestamp"), F.desc("id")).offset(offset).limit(_page_size(limit))
+
+
+def log_page_after(df: DataFrame, after: tuple | None = None, decision=None, text=None, limit: int = 100) -> DataFrame:
+    """S1, keyset form: the page that follows the row (timestamp, id) ``after``; the
+    filter reaches the scan, so page number 10,000 costs as much as page 1."""
+    rows = search(df, decision, text)
+    if after is not None:
+        ts, last = F.lit(after[0]).cast("timestamp_ntz"), F.lit(after[1])
+        rows = rows.filter((F.col("timestamp") <= ts) & ((F.col("timestamp") < ts) | (F.col("id") < last)))
+    return rows.orderBy(F.desc("timestamp"), F.desc("id")).limit(_page_size(limit))
 
 
 def log_total(df: DataFrame, decision=None, text=None) -> DataFrame:

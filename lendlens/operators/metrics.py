@@ -9,6 +9,7 @@ size.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,24 +77,30 @@ def classification_summary(df: DataFrame, label: str = "label", pred: str = "pre
     )
 
 
-def roc_points(df: DataFrame, label: str = "label", score: str = "probability", buckets: int = 4096) -> DataFrame:
+def roc_points(df: DataFrame, label: str = "label", score: str = "probability", buckets: int = 256) -> DataFrame:
     """One ROC point per distinct score (threshold, fpr, tpr) plus the
     trapezoid contribution of that step.
 
     1. groupBy(score) -> (pos, neg) per distinct score (partial aggregation,
        so a hot score is one row);
-    2. bucket = floor(score * buckets) for scores in [0, 1]; per-bucket totals
-       are at most ``buckets + 1`` rows and get their prefix offsets from a
+    2. bucket boundaries are approximate quantiles of the distinct scores, so
+       buckets hold about as many scores each whatever their distribution;
+       per-bucket totals (at most ``buckets + 1`` rows) get prefix offsets from a
        window over that small table;
     3. cumulative counts inside each bucket come from a window partitioned by
        bucket over distinct scores, then offsets are added.
-    Thresholds descend: a point counts rows with score >= threshold.
+    Thresholds descend: a point counts rows with score >= threshold. Rows
+    without a score are left out.
     """
     y = F.col(label)
-    per = df.groupBy(F.col(score).alias("threshold")).agg(
+    per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
-    per = per.withColumn("bucket", F.least(F.greatest(F.floor(F.col("threshold") * buckets), F.lit(0)),
-                                           F.lit(buckets)))
+    marks = per.agg(F.percentile_approx("threshold", [(i + 1) / buckets for i in range(buckets - 1)], 40 * buckets)).first()[0]
+    splits = [float("-inf"), *sorted({m for m in marks or [] if m == m and abs(m) != float("inf")}), float("inf")]
+    if len(splits) > 2:
+        per = Bucketizer(splits=splits, inputCol="threshold", outputCol="bucket", handleInvalid="keep").transform(per)
+    else:
+        per = per.withColumn("bucket", F.lit(0.0))
     tot = per.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     # descending thresholds: offset = totals of all higher buckets
     w_b = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)

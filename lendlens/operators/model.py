@@ -8,8 +8,6 @@ travel with the model. Scores come back as plain double columns through
 
 from __future__ import annotations
 
-import json
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
@@ -19,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendlens.functions import rules
+from lendlens.operators import clean as cl
 from lendlens.operators import metrics as met
 
 
@@ -74,7 +73,7 @@ def batch_score(model: PipelineModel, df: DataFrame, columns: list[str], key: st
                 defaults: dict | None = None) -> DataFrame:
     """align to the model's columns (missing -> default 0), score, decide."""
     defaults = defaults or {}
-    aligned = df.select(key, *[F.col(c) if c in df.columns else F.lit(defaults.get(c, 0)).alias(c) for c in columns])
+    aligned = cl.align_to_columns(df, [key, *columns], defaults)
     scored = predict(model, aligned, keep=[key])
     return met.decisions(scored, prob="default_probability").withColumn(
         "recommendation", F.when(F.col("decision") == "approved", F.lit("APPROVE")).otherwise(F.lit("REJECT")))
@@ -98,19 +97,22 @@ def evaluate(model: PipelineModel, test: DataFrame, label: str = "label") -> dic
         pred.unpersist()
 
 
-def feature_importances(model: PipelineModel, spark=None) -> DataFrame:
-    """importance per assembled input (small table: one row per feature)."""
-    gbt = model.stages[-1]
-    asm = next(s for s in model.stages if isinstance(s, VectorAssembler))
-    names = asm.getInputCols()
-    imp = gbt.featureImportances.toArray().tolist()
-    # one-hot columns expand to several slots; fold them back to their source column
-    if len(imp) != len(names):
-        names = [f"f{i}" for i in range(len(imp))]
-    spark = spark or SparkSession.getActiveSession()
-    rows = [(n.split("__")[0], float(v)) for n, v in zip(names, imp)]
-    return spark.createDataFrame(rows, "feature string, importance double") \
-        .groupBy("feature").agg(F.sum("importance").alias("importance"))
+def feature_importances(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """importance per source column (small table: one row per column).
+
+    The assembled vector's slots are named by its ML attributes, read from the
+    schema of a transformed (empty) frame; the slots of a one-hot column add
+    up to their source column, and a column that got no slot counts 0."""
+    out = model.transform(df.limit(0))
+    attrs = out.schema["features"].metadata["ml_attr"]["attrs"]
+    slots = {a["idx"]: a["name"] for kind in attrs.values() for a in kind}
+    importances = model.stages[-1].featureImportances.toArray().tolist()
+    assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    total = {c.rsplit("__", 1)[0]: 0.0 for c in assembler.getInputCols()}
+    for i, v in enumerate(importances):
+        source = next(c for c in assembler.getInputCols() if slots[i] == c or slots[i].startswith(c + "_"))
+        total[source.rsplit("__", 1)[0]] += float(v)
+    return df.sparkSession.createDataFrame(list(total.items()), "feature string, importance double")
 
 
 def top_features(importances: DataFrame, n: int = 10) -> DataFrame:
@@ -140,12 +142,29 @@ def grid_search(pipeline: Pipeline, train: DataFrame, grid=None, label: str = "l
     return cv.fit(train)
 
 
-def save_model(model: PipelineModel, path: str, metadata: dict | None = None, spark=None) -> None:
-    """A3 / A4: overwrite-save the whole pipeline, and its metadata as JSON next to it."""
+def cv_summary(cv_model) -> DataFrame:
+    """mean and standard deviation over the folds of each grid point's AUC, best first."""
+    rows = [({p.name: str(v) for p, v in params.items()}, float(m), float(s)) for params, m, s in
+            zip(cv_model.getEstimatorParamMaps(), cv_model.avgMetrics, cv_model.stdMetrics, strict=True)]
+    return SparkSession.active().createDataFrame(rows, "params map<string,string>, auc_mean double, auc_std double") \
+        .orderBy(F.desc("auc_mean"))
+
+
+METADATA_SCHEMA = ("model_type string, trained_at string, features array<string>, n_train long, n_test long, "
+                   "metrics map<string,double>, parameters map<string,string>")
+
+
+def save_model(model: PipelineModel, path: str, metadata: dict | None = None) -> None:
+    """A3 / A4: overwrite-save the whole pipeline, and its metadata as one JSON document next to it."""
     model.write().overwrite().save(path)
-    if metadata is not None and spark is not None:
-        spark.createDataFrame([(json.dumps(metadata, default=str),)], "metadata string") \
-            .coalesce(1).write.mode("overwrite").text(path.rstrip("/") + "_metadata")
+    if metadata is not None:
+        SparkSession.active().createDataFrame([metadata], METADATA_SCHEMA) \
+            .coalesce(1).write.mode("overwrite").json(path.rstrip("/") + "_metadata")
+
+
+def load_metadata(spark: SparkSession, path: str) -> dict:
+    """A4: the metadata saved with a model."""
+    return spark.read.schema(METADATA_SCHEMA).json(path.rstrip("/") + "_metadata").first().asDict(recursive=True)
 
 
 def load_model(path: str) -> PipelineModel:

@@ -310,12 +310,20 @@ d AS (SELECT sensitive_feature, 'Max Difference' AS grp, CAST(0 AS BIGINT) AS n,
   max(false_negative_rate) - min(false_negative_rate) AS false_negative_rate,
   max(true_positive_rate) - min(true_positive_rate) AS true_positive_rate
   FROM m WHERE grp <> 'Overall' GROUP BY sensitive_feature),
-a AS (SELECT * FROM m UNION ALL SELECT * FROM d)
+q AS (SELECT sensitive_feature, 'Min/Max Ratio' AS grp, CAST(0 AS BIGINT) AS n,
+  min(accuracy) / nullif(max(accuracy), 0) AS accuracy, min(precision) / nullif(max(precision), 0) AS precision,
+  min(recall) / nullif(max(recall), 0) AS recall, min(selection_rate) / nullif(max(selection_rate), 0) AS selection_rate,
+  min(false_positive_rate) / nullif(max(false_positive_rate), 0) AS false_positive_rate,
+  min(false_negative_rate) / nullif(max(false_negative_rate), 0) AS false_negative_rate,
+  min(true_positive_rate) / nullif(max(true_positive_rate), 0) AS true_positive_rate
+  FROM m WHERE grp <> 'Overall' GROUP BY sensitive_feature),
+a AS (SELECT * FROM m UNION ALL SELECT * FROM d UNION ALL SELECT * FROM q)
 """
 
 
 @register("fairness_metrics", FAIR_METRICS_SQL + f"""
 SELECT 'Baseline' AS model, sensitive_feature, grp AS "group", n AS sample_size,
+  CASE grp WHEN 'Overall' THEN 'overall' WHEN 'Max Difference' THEN 'difference' WHEN 'Min/Max Ratio' THEN 'ratio' ELSE 'group' END AS row_kind,
   {r('accuracy', 'accuracy')}, {r('precision', 'precision')}, {r('recall', 'recall')},
   {r('selection_rate', 'selection_rate')}, {r('false_positive_rate', 'false_positive_rate')},
   {r('false_negative_rate', 'false_negative_rate')}, {r('true_positive_rate', 'true_positive_rate')}
@@ -385,7 +393,7 @@ lg AS (
   FROM lg0)"""
 
 
-def _log(spark, sf_dir):
+def log_rows(spark, sf_dir):
     return met.decisions(tb.prediction_log(spark, sf_dir).withColumn("loan_amount", F.col("loan_amount")))
 
 
@@ -394,7 +402,7 @@ WITH {LOG_SQL}
 SELECT id, decision, confidence_label, CAST(confidence AS DOUBLE) AS confidence FROM lg
 """)
 def q_log_decisions(spark, sf_dir):
-    return _log(spark, sf_dir).select("id", "decision", "confidence_label", "confidence")
+    return log_rows(spark, sf_dir).select("id", "decision", "confidence_label", "confidence")
 
 
 @register("risk_bands", f"""
@@ -404,7 +412,7 @@ SELECT CASE WHEN probability < 0.3 THEN 'low' WHEN probability < 0.7 THEN 'mediu
 FROM lg GROUP BY 1
 """)
 def q_risk_bands(spark, sf_dir):
-    return round_doubles(met.band_histogram(_log(spark, sf_dir)))
+    return round_doubles(met.band_histogram(log_rows(spark, sf_dir)))
 
 
 @register("log_page", f"""
@@ -414,7 +422,7 @@ FROM lg WHERE decision = 'denied' AND (applicant_name ILIKE '%0001%' OR applicat
 ORDER BY "timestamp" DESC, id DESC LIMIT 50 OFFSET 5
 """)
 def q_log_page(spark, sf_dir):
-    page = plog.log_page(_log(spark, sf_dir), decision="denied", text="0001", offset=5, limit=50)
+    page = plog.log_page(log_rows(spark, sf_dir), decision="denied", text="0001", offset=5, limit=50)
     return round_doubles(page.select("id", "application_id", "timestamp", "applicant_name", "decision", "probability"))
 
 
@@ -424,7 +432,7 @@ SELECT count(*) AS total FROM lg
 WHERE decision = 'denied' AND (applicant_name ILIKE '%0001%' OR application_id ILIKE '%0001%')
 """)
 def q_log_total(spark, sf_dir):
-    return plog.log_total(_log(spark, sf_dir), decision="denied", text="0001")
+    return plog.log_total(log_rows(spark, sf_dir), decision="denied", text="0001")
 
 
 @register("most_recent", f"""
@@ -432,7 +440,7 @@ WITH {LOG_SQL}
 SELECT id, application_id, "timestamp", decision FROM lg ORDER BY "timestamp" DESC, id DESC LIMIT 50
 """)
 def q_most_recent(spark, sf_dir):
-    return plog.most_recent(_log(spark, sf_dir), 50).select("id", "application_id", "timestamp", "decision")
+    return plog.most_recent(log_rows(spark, sf_dir), 50).select("id", "application_id", "timestamp", "decision")
 
 
 @register("latest_prediction", f"""
@@ -440,7 +448,7 @@ WITH {LOG_SQL}
 SELECT max("timestamp") AS last_prediction_time, arg_max(id, ("timestamp", id)) AS last_id FROM lg
 """)
 def q_latest_prediction(spark, sf_dir):
-    return plog.latest(_log(spark, sf_dir))
+    return plog.latest(log_rows(spark, sf_dir))
 
 
 @register("operating_stats", f"""
@@ -457,7 +465,7 @@ SELECT total_predictions, predictions_today, predictions_this_week,
 FROM a
 """)
 def q_operating_stats(spark, sf_dir):
-    return plog.operating_stats(_log(spark, sf_dir), AS_OF)
+    return plog.operating_stats(log_rows(spark, sf_dir), AS_OF)
 
 
 AUDIT_SQL = f"""
@@ -471,31 +479,36 @@ grp AS (
   UNION ALL
   SELECT 'race', race, count(*), avg(CASE WHEN decision = 'approved' THEN 1.0 ELSE 0.0 END) FROM rc GROUP BY race),
 j AS (SELECT grp.*, ov.overall_rate, ov.total, abs(rate - overall_rate) AS gap FROM grp, ov),
-au AS (SELECT j.*, max(gap) OVER (PARTITION BY attribute) AS max_gap FROM j)
+au AS (SELECT j.*, max(gap) OVER (PARTITION BY attribute) AS max_gap,
+         max(rate) OVER (PARTITION BY attribute) - min(rate) OVER (PARTITION BY attribute) AS dp FROM j)
 """
 
 
 @register("log_fairness_audit", AUDIT_SQL + f"""
 SELECT attribute, "group", n, {r('rate', 'rate')}, {r('overall_rate', 'overall_rate')}, total,
-  {r('gap', 'gap_to_overall')}, {r('max_gap', 'max_gap_to_overall')}, total >= 10 AS enough_data
+  {r('gap', 'gap_to_overall')}, {r('max_gap', 'max_gap_to_overall')}, {r('dp', 'dp_difference')}, total >= 10 AS enough_data
 FROM au
 """)
 def q_log_fairness_audit(spark, sf_dir):
-    return round_doubles(fair.log_fairness_audit(_log(spark, sf_dir), AS_OF, days_back=7))
+    return round_doubles(fair.log_fairness_audit(log_rows(spark, sf_dir), AS_OF, days_back=7))
 
 
-@register("fairness_recommendations", AUDIT_SQL + """,
+def recommendation_sql(alert: float) -> str:
+    return AUDIT_SQL + f""",
 per AS (SELECT DISTINCT attribute, max_gap FROM au)
 SELECT attribute, upper(substr(attribute, 1, 1)) || substr(attribute, 2) || ' disparity detected: '
        || printf('%.1f', max_gap * 100) || '% difference in approval rates. Consider bias mitigation techniques.'
        AS message
-FROM per WHERE max_gap > 0.1
+FROM per WHERE max_gap > {alert}
 UNION ALL
 SELECT NULL, 'No significant fairness issues detected in the specified metrics.'
-FROM (SELECT count(*) FILTER (WHERE max_gap > 0.1) AS k FROM per) WHERE k = 0
-""")
+FROM (SELECT count(*) FILTER (WHERE max_gap > {alert}) AS k FROM per) WHERE k = 0
+"""
+
+
+@register("fairness_recommendations", recommendation_sql(0.1))
 def q_fairness_recommendations(spark, sf_dir):
-    return fair.recommendations(fair.log_fairness_audit(_log(spark, sf_dir), AS_OF, days_back=7))
+    return fair.recommendations(fair.log_fairness_audit(log_rows(spark, sf_dir), AS_OF, days_back=7))
 
 
 REQUESTED_IDS_SQL = """ids AS (
@@ -514,7 +527,7 @@ WITH {LOG_SQL}, {REQUESTED_IDS_SQL}
 SELECT id, application_id, decision FROM lg WHERE application_id IN (SELECT application_id FROM ids)
 """)
 def q_log_lookup(spark, sf_dir):
-    return plog.lookup(_log(spark, sf_dir), _requested_ids(spark, sf_dir)).select("id", "application_id", "decision")
+    return plog.lookup(log_rows(spark, sf_dir), _requested_ids(spark, sf_dir)).select("id", "application_id", "decision")
 
 
 @register("missing_predictions", f"""
@@ -522,7 +535,7 @@ WITH {LOG_SQL}, {REQUESTED_IDS_SQL}
 SELECT application_id FROM ids WHERE application_id NOT IN (SELECT application_id FROM lg)
 """)
 def q_missing_predictions(spark, sf_dir):
-    return plog.missing(_requested_ids(spark, sf_dir), _log(spark, sf_dir))
+    return plog.missing(_requested_ids(spark, sf_dir), log_rows(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------
@@ -550,7 +563,9 @@ def q_document_fields(spark, sf_dir):
     return round_doubles(d.drop("raw_text"))
 
 
-DATE_RE = T.DATE_TOKEN
+from lendlens.functions import rules as RULES  # noqa: E402
+
+DATE_RE = RULES.DATE_TOKEN
 
 
 @register("document_dates", f"""
@@ -778,15 +793,18 @@ EXPLAIN_WEIGHTS = {"credit_score": -0.01, "age": -0.02, "loan_amount": 0.00005,
 EXPLAIN_INTERCEPT = 6.0
 
 
-def _explain_inputs(spark, sf_dir):
+def explain_inputs(spark, sf_dir):
     apps = tb.applications(spark, sf_dir).select("application_id", *EXPLAIN_WEIGHTS)
-    long, base = xp.linear_contributions(apps, EXPLAIN_WEIGHTS, EXPLAIN_INTERCEPT)
-    decided = met.decisions(xp.linear_score(apps, EXPLAIN_WEIGHTS, EXPLAIN_INTERCEPT)) \
-        .select("application_id", "probability", "decision")
-    return long, base, decided
+    scored = met.decisions(xp.linear_score(apps, EXPLAIN_WEIGHTS, EXPLAIN_INTERCEPT))
+    return xp.linear_contribution_rows(scored, EXPLAIN_WEIGHTS, EXPLAIN_INTERCEPT, background=apps)
 
 
-def _phi_sql() -> str:
+def _explain_long(spark, sf_dir):
+    apps = tb.applications(spark, sf_dir).select("application_id", *EXPLAIN_WEIGHTS)
+    return xp.linear_contributions(apps, EXPLAIN_WEIGHTS, EXPLAIN_INTERCEPT)[0]
+
+
+def phi_sql() -> str:
     means = ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m_{f}" for f in EXPLAIN_WEIGHTS)
     rows = " UNION ALL ".join(
         f"SELECT application_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS value, "
@@ -800,12 +818,11 @@ dec2 AS (SELECT *, CASE WHEN probability < 0.5 THEN 'approved' ELSE 'denied' END
 
 
 @register("linear_contributions", f"""
-WITH {_phi_sql()}
+WITH {phi_sql()}
 SELECT application_id, feature, {r('value', 'value')}, {r('phi', 'phi')} FROM phi
 """)
 def q_linear_contributions(spark, sf_dir):
-    long, _, _ = _explain_inputs(spark, sf_dir)
-    return round_doubles(long)
+    return round_doubles(_explain_long(spark, sf_dir))
 
 
 _REASON_CASE = "CASE feature " + " ".join(
@@ -814,7 +831,7 @@ _REASON_CASE = "CASE feature " + " ".join(
 
 
 @register("adverse_action_reasons", f"""
-WITH {_phi_sql()},
+WITH {phi_sql()},
 ranked AS (SELECT p.application_id, p.feature, p.phi,
              row_number() OVER (PARTITION BY p.application_id ORDER BY abs(p.phi) DESC, p.feature) AS rk
            FROM phi p JOIN dec2 d ON p.application_id = d.application_id
@@ -823,15 +840,14 @@ SELECT application_id, string_agg({_REASON_CASE}, ' | ' ORDER BY rk) AS reasons
 FROM ranked WHERE rk <= 3 GROUP BY application_id
 """)
 def q_adverse_action_reasons(spark, sf_dir):
-    long, _, decided = _explain_inputs(spark, sf_dir)
-    denied = decided.filter(F.col("decision") == "denied").select("application_id")
-    arr = xp.adverse_action_reasons(xp.contribution_arrays(long.join(denied, "application_id", "left_semi")))
+    rows, _ = explain_inputs(spark, sf_dir)
+    arr = xp.adverse_action_reasons(rows.filter(F.col("decision") == "denied"))
     return arr.filter(F.size("adverse_action_reasons") > 0).select(
         "application_id", F.concat_ws(" | ", "adverse_action_reasons").alias("reasons"))
 
 
 @register("batch_explanations", f"""
-WITH {_phi_sql()},
+WITH {phi_sql()},
 lo AS (SELECT application_id, arg_min(feature, (phi, feature)) AS top_negative_feature, min(phi) AS top_negative_impact
        FROM phi GROUP BY application_id)
 SELECT d.application_id, d.decision, {r('d.probability', 'probability')}, lo.top_negative_feature,
@@ -839,21 +855,20 @@ SELECT d.application_id, d.decision, {r('d.probability', 'probability')}, lo.top
 FROM dec2 d JOIN lo ON d.application_id = lo.application_id
 """)
 def q_batch_explanations(spark, sf_dir):
-    long, _, decided = _explain_inputs(spark, sf_dir)
-    return round_doubles(xp.batch_explanations(xp.contribution_arrays(long), decided))
+    rows, _ = explain_inputs(spark, sf_dir)
+    return round_doubles(xp.batch_explanations(rows))
 
 
 @register("global_importance", f"""
-WITH {_phi_sql()}
+WITH {phi_sql()}
 SELECT feature, {r('avg(abs(phi))', 'mean_abs_phi')} FROM phi GROUP BY feature ORDER BY avg(abs(phi)) DESC LIMIT 20
 """)
 def q_global_importance(spark, sf_dir):
-    long, _, _ = _explain_inputs(spark, sf_dir)
-    return round_doubles(xp.global_importance(long))
+    return round_doubles(xp.global_importance(_explain_long(spark, sf_dir)))
 
 
 @register("waterfall", f"""
-WITH {_phi_sql()},
+WITH {phi_sql()},
 b AS (SELECT round({EXPLAIN_INTERCEPT} + {' + '.join(f'{w} * m_{f}' for f, w in EXPLAIN_WEIGHTS.items())}, 8) AS base FROM mm)
 SELECT application_id, feature, {r('phi', 'phi')},
   row_number() OVER (PARTITION BY application_id ORDER BY abs(phi) DESC, feature) AS step,
@@ -861,14 +876,14 @@ SELECT application_id, feature, {r('phi', 'phi')},
 FROM phi, b
 """)
 def q_waterfall(spark, sf_dir):
-    long, base, _ = _explain_inputs(spark, sf_dir)
-    return round_doubles(xp.waterfall(long, round(base, 8)))
+    rows, base = explain_inputs(spark, sf_dir)
+    return round_doubles(xp.waterfall(rows, round(base, 8)))
 
 
 @register("explanation_records")
 def q_explanation_records(spark, sf_dir):
-    long, base, decided = _explain_inputs(spark, sf_dir)
-    return xp.explanation_records(xp.contribution_arrays(long), base, decided)
+    rows, base = explain_inputs(spark, sf_dir)
+    return xp.explanation_records(rows.drop(*EXPLAIN_WEIGHTS), base)
 
 
 # ---------------------------------------------------------------------------
@@ -880,24 +895,24 @@ MODEL_NUMERIC = ["n_chars", "toxic"]
 MODEL_CATEGORICAL = ["lang", "source"]
 
 
-def _fit_document_model(spark, sf_dir):
+def fit_document_model(spark, sf_dir):
     s = met.hash_split(tb.scored_population(spark, sf_dir).drop("probability"), "application_id")
     train = mdl.class_weight_column(s.filter(F.col("split") == "train"))
-    pipe = mdl.gbt_pipeline(MODEL_NUMERIC, MODEL_CATEGORICAL, weight_col="weight", maxIter=50)
+    pipe = mdl.gbt_pipeline(MODEL_NUMERIC, MODEL_CATEGORICAL, weight_col="weight")
     return pipe.fit(train), s
 
 
 @register("gbt_test_scores")
 def q_gbt_test_scores(spark, sf_dir):
-    model, s = _fit_document_model(spark, sf_dir)
+    model, s = fit_document_model(spark, sf_dir)
     test = s.filter(F.col("split") == "test")
     return mdl.batch_score(model, test, MODEL_NUMERIC + MODEL_CATEGORICAL)
 
 
 @register("gbt_feature_importances")
 def q_gbt_feature_importances(spark, sf_dir):
-    model, _ = _fit_document_model(spark, sf_dir)
-    return mdl.top_features(mdl.feature_importances(model, spark), 10)
+    model, s = fit_document_model(spark, sf_dir)
+    return mdl.top_features(mdl.feature_importances(model, s), 10)
 
 
 # ---------------------------------------------------------------------------
@@ -910,7 +925,7 @@ from lendlens.streaming import jobs as sj  # noqa: E402
 WITH {LOG_SQL}
 SELECT id, application_id, decision, confidence_label FROM lg
 """)
-def q_stream_scored_log(spark, sf_dir):
+def q_stream_scoredlog_rows(spark, sf_dir):
     path = sj.scratch_path(spark, "ingest")
     sj.run_to_parquet(sj.ingest(sj.log_stream(spark, sf_dir)), path)
     return sj.read_final(spark, path).select("id", "application_id", "decision", "confidence_label")
@@ -977,3 +992,6 @@ def q_fairness_before_after(spark, sf_dir):
     sb = fair.fairness_summary(fair.metrics_by_group(base, ["lang", "source"]))
     sm = fair.fairness_summary(fair.metrics_by_group(mit, ["lang", "source"]))
     return round_doubles(fair.before_after_report(sb, sm))
+
+
+from lendlens.plans import catalog_more  # noqa: E402, F401  (registers further queries)

@@ -64,9 +64,3 @@ def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 def r(expr: str, alias: str, digits: int = DIGITS) -> str:
     return f"round(CAST({expr} AS DOUBLE), {digits}) AS {alias}"
 
-
-def sql_round(col, digits: int):
-    """round(x * 10^d) / 10^d -- the rounding DuckDB applies to doubles; used by
-    fixtures so derived values are identical in both engines."""
-    scale = float(10 ** digits)
-    return F.round(col * scale) / scale

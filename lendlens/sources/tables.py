@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendlens.functions.rules import BANK_NAMES
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -70,19 +72,24 @@ def _is_credit(priority, status):
     return cond
 
 
+def description_text():
+    return _description(F.col("o_orderpriority"), F.col("o_orderstatus"))
+
+
+def amount_text():
+    money = F.concat(F.lit("$"), F.format_number(F.col("o_totalprice"), 2))
+    return F.when(_is_credit(F.col("o_orderpriority"), F.col("o_orderstatus")), money).otherwise(F.concat(F.lit("-"), money))
+
+
 def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    desc = _description(F.col("o_orderpriority"), F.col("o_orderstatus"))
-    money = F.concat(F.lit("$"), F.format_number(F.col("o_totalprice"), 2))
-    amount_text = F.when(_is_credit(F.col("o_orderpriority"), F.col("o_orderstatus")), money) \
-        .otherwise(F.concat(F.lit("-"), money))
     return o.select(
         F.col("o_custkey").alias("application_id"),
         (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("statement_month"),
         F.floor(F.col("o_orderkey") / STATEMENT_PAGE_KEYS).alias("page"),
         F.col("o_orderdate"),
         F.col("o_orderkey"),
-        F.concat_ws(" ", F.date_format("o_orderdate", "MM/dd/yyyy"), desc, amount_text).alias("line"),
+        F.concat_ws(" ", F.date_format("o_orderdate", "MM/dd/yyyy"), description_text(), amount_text()).alias("line"),
     )
 
 
@@ -100,16 +107,13 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pay stubs and bank statements as text (fixture rule, ours): fully-filled
 # orders become pay stubs, open orders bank statements, pending orders letters.
 # ---------------------------------------------------------------------------
-FIXTURE_BANKS = ["Chase", "Bank of America", "Wells Fargo", "Citibank", "US Bank", "TD Bank", "Capital One"]
-
-
 def income_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     price = F.col("o_totalprice")
     start = F.date_format("o_orderdate", "MM/dd/yyyy")
     end = F.date_format(F.date_add(F.to_date("o_orderdate"), 14), "MM/dd/yyyy")
-    bank = F.element_at(F.array(*[F.lit(b) for b in FIXTURE_BANKS]),
-                        (F.pmod(F.col("o_custkey"), F.lit(len(FIXTURE_BANKS))) + 1).cast("int"))
+    bank = F.element_at(F.array(*[F.lit(b) for b in BANK_NAMES]),
+                        (F.pmod(F.col("o_custkey"), F.lit(len(BANK_NAMES))) + 1).cast("int"))
     paystub = F.concat_ws("\n",
                           F.lit("EARNINGS STATEMENT"),
                           F.concat(F.lit("Pay period: "), start, F.lit(" - "), end),
@@ -145,7 +149,7 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("o_orderdate").alias("first_order"),
     )
     return (c.join(totals, "c_custkey", "left")
-            .join(F.broadcast(n.select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")),
+            .join(n.select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey"),
                   "c_nationkey", "left")
             .select(
                 F.col("c_custkey").alias("application_id"),
@@ -198,7 +202,7 @@ def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_nationkey"), F.col("r_name"))
     p = F.least(F.col("value") / 500.0, F.lit(1.0))
     return (e.join(c, e.user_id == c.c_custkey, "left")
-            .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+            .join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "left")
             .select(
                 F.col("event_id").alias("id"),
                 F.concat(F.lit("APP"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("application_id"),

@@ -4,9 +4,9 @@ Streams read the event files incrementally, join static customer data,
 score, and write through ``foreachBatch`` into Parquet folders under the
 cluster's checkpoint folder. Windowed aggregates run in ``update`` mode and
 each micro-batch appends its changed windows tagged with the batch id; the
-final value of a window is its row from the highest batch id, so a run with
-``trigger(availableNow=True)`` gives exactly the batch answer (rows later
-than the watermark are dropped, as in any watermarked stream).
+final value of a window is its row from the highest batch id. With the
+default of one micro-batch for the backlog, ``trigger(availableNow=True)`` gives
+exactly the batch answer; smaller batches drop rows later than the watermark.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lendlens.operators import metrics as met
+from lendlens.operators import model as mdl
 from lendlens.session import ensure_checkpoint_dir
 from lendlens.sources import tables as tb
 
@@ -26,21 +27,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lendlens-{name}-{uuid.uuid4().hex}"
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 100) -> DataFrame:
-    schema = tb.table(spark, sf_dir, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
+def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The event table as a stream, whether it is one file or a folder of part files.
 
+    By default the backlog is one micro-batch, so no row is late whatever the
+    order of the files; with ``max_files_per_trigger`` the watermark drops rows
+    that arrive more than its delay behind (``run_to_parquet`` counts them)."""
+    reader = spark.readStream.schema(tb.table(spark, sf_dir, "events").schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(f"{sf_dir}/events.parquet*")
 
-def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def log_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """I4: events -> prediction-log rows with decisions (stream-static joins, stateless)."""
-    e = event_stream(spark, sf_dir)
+    e = event_stream(spark, sf_dir, max_files_per_trigger)
     c = tb.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = tb.table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = tb.table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name")
     log = (e.join(c, e.user_id == c.c_custkey, "left")
-           .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+           .join(geo, F.col("c_nationkey") == F.col("n_nationkey"), "left")
            .select(F.col("event_id").alias("id"),
                    F.concat(F.lit("APP"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("application_id"),
                    # event time must be TIMESTAMP (not _NTZ) for watermarks; session TZ is UTC
@@ -51,9 +58,29 @@ def log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.decisions(log)
 
 
+def score_stream(stream: DataFrame, model, columns: list[str], defaults: dict | None = None) -> DataFrame:
+    """I4 with a fitted model: every row of the stream gets the model's probability and a decision."""
+    stream = stream.drop("probability", "prediction", "decision", "confidence", "confidence_label")
+    missing = {c: F.lit((defaults or {}).get(c, 0)) for c in columns if c not in stream.columns}
+    scored = mdl.predict(model, stream.withColumns(missing) if missing else stream)
+    return met.decisions(scored, prob="default_probability")
+
+
 def ingest(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Drop repeated application ids seen within the watermark."""
-    return stream.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["application_id"])
+    """Validate, then drop repeated application ids seen within the watermark.
+
+    A row needs an id, a time and a probability in [0, 1]; ``rejected`` gives the others."""
+    return stream.filter(_valid()).withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark(["application_id"])
+
+
+def rejected(stream: DataFrame) -> DataFrame:
+    """The rows that ``ingest`` turns away."""
+    return stream.filter(~_valid())
+
+
+def _valid():
+    return (F.col("application_id").isNotNull() & F.col("timestamp").isNotNull()
+            & F.coalesce(F.col("probability").between(0.0, 1.0), F.lit(False)))
 
 
 def windowed_stats(stream: DataFrame, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
@@ -78,27 +105,30 @@ def windowed_group_rates(stream: DataFrame, attr: str = "gender", window: str =
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "group", "n", "approved"))
 
 
-def run_to_parquet(df: DataFrame, path: str, keys: list[str] | None = None, mode: str = "append") -> None:
+def run_to_parquet(df: DataFrame, path: str, keys: list[str] | None = None, mode: str = "append") -> int:
     """Run a stream to completion over the data present now (availableNow) and
-    write it under ``path``; with ``keys`` each batch's rows are tagged with
-    the batch id so the latest version per key can be read back."""
+    write it under ``path``; returns the number of rows dropped as late.
+
+    Every batch owns a folder named by its id and overwrites it, so a batch that
+    is run again after a failure leaves its rows once. With ``keys`` the latest
+    version per key can be read back."""
     out, ckpt = path + "/data", path + "/_checkpoint"
 
     def write(batch: DataFrame, batch_id: int):
-        b = batch.withColumn("_batch", F.lit(batch_id)) if keys else batch
-        b.write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
          .foreachBatch(write).trigger(availableNow=True).start())
     q.awaitTermination()
+    return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
 
 
 def read_final(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path + "/data")
     if not keys:
-        return df
-    w = Window.partitionBy(*keys).orderBy(F.desc("_batch"))  # one window/key's versions per partition
-    return df.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk", "_batch")
+        return df.drop("batch_id")
+    w = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))  # one window/key's versions per partition
+    return df.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk", "batch_id")
 
 
 def analyze_group_gaps(rates: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ Usage: python tests/oracle_check.py [sf_dir] [name ...]
 
 from __future__ import annotations
 
+import datetime
 import math
 import sys
 import time
@@ -18,15 +19,16 @@ from lendlens.sources.tables import TABLES  # noqa: E402
 import __spark_entry__ as E  # noqa: E402
 
 
+# Spark type -> the DuckDB type that the twin must return
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE",
+         "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
+
+
 def norm(v):
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return round(v, 4)
-    if isinstance(v, (list, tuple)):
-        return tuple(norm(x) for x in v)
-    if isinstance(v, dict):
-        return tuple(sorted((k, norm(x)) for k, x in v.items()))
+    if isinstance(v, float) and math.isnan(v):
+        return "nan"
+    if isinstance(v, datetime.datetime):
+        return v.replace(tzinfo=None)
     return v
 
 
@@ -36,6 +38,7 @@ def rows_of(cols, rows):
 
 
 def compare(spark, con, sf_dir, name, fn, sql):
+    """Rows, exact values and column types of a query against its SQL twin."""
     t = time.time()
     df = fn(spark, sf_dir)
     srows = [tuple(r) for r in df.collect()]
@@ -45,9 +48,13 @@ def compare(spark, con, sf_dir, name, fn, sql):
         return f"{name}: rows={len(srows)} (no oracle) {ts:.1f}s"
     res = con.execute(sql)
     ocols = [d[0] for d in res.description]
+    kinds = {d[0]: str(d[1]) for d in res.description}
     orows = res.fetchall()
     if sorted(scols) != sorted(ocols):
         return f"{name}: COLUMN MISMATCH spark={sorted(scols)} oracle={sorted(ocols)}"
+    off = [(c, k, kinds[c]) for c, k in df.dtypes if TYPES.get(k, k) != kinds[c]]
+    if off:
+        return f"{name}: TYPE MISMATCH {off}"
     a, b = rows_of(scols, srows), rows_of(ocols, orows)
     if len(a) != len(b):
         return f"{name}: ROWCOUNT spark={len(a)} oracle={len(b)}"
