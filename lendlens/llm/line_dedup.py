@@ -49,7 +49,7 @@ def probe_keys(line: str, n: str, edits: int, min_chars: int) -> Column:
             start, size = _segment(length, i, edits)
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
                 keys.append(F.when(length >= min_chars, _key(line, length, i, start + shift, size)))
-    return F.array_compact(F.array(*keys))
+    return F.array(*keys)  # null where the shorter line would be too short
 
 
 def within(a: str, b: str, edits: int) -> Column:
@@ -101,7 +101,7 @@ def links(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, b
         raise ValueError("lines this short cannot be cut into segments")
     long = distinct.select("line_id", "line", F.length("line").alias("n")).filter(F.col("n") >= min_chars)
     filed = long.select("line_id", F.explode(index_keys("line", "n", edits)).alias("key"))
-    asked = long.select("line_id", F.explode(probe_keys("line", "n", edits, min_chars)).alias("key"))
+    asked = long.select("line_id", F.explode(probe_keys("line", "n", edits, min_chars)).alias("key")).filter("key IS NOT NULL")
 
     def meets(left: DataFrame, right: DataFrame, probes: bool) -> DataFrame:
         other = right.select(F.col("key").alias("k"), F.col("line_id").alias("o"))
