@@ -118,6 +118,21 @@ REQUIRED_FIELDS: list[str] = ["credit_score", "loan_amount", "loan_term", "age"]
 CREDIT_SCORE_RANGE = (300, 850)
 AGE_RANGE = (18, 100)
 
+# Validation messages.
+VALIDATION_TEXT = {
+    "missing": "Missing required feature: {}",
+    "null": "Feature {} is None",
+    "score": "Credit score {} out of valid range [300, 850]",
+    "age": "Age {} out of valid range [18, 100]",
+    "amount": "Loan amount must be positive, got {}",
+    "term": "Loan term must be positive",
+    "income": "Annual income must be non-negative",
+    "employment": "Employment length must be non-negative",
+}
+
+# Reason text for features without a reason of their own.
+UNMAPPED_REASON = ("Feature '", "' does not meet requirements")
+
 # Gradient-boosted model defaults.
 GBT_DEFAULTS = dict(maxDepth=6, maxIter=100, stepSize=0.1, subsamplingRate=0.8,
                     featureSubsetStrategy="sqrt", minInstancesPerNode=10, maxBins=32)

@@ -123,61 +123,80 @@ def filter_outliers(df: DataFrame, col: str, method: str = "iqr", by=(), k: floa
     return j.filter((x >= F.col("lower_bound")) & (x <= F.col("upper_bound"))).select(*df.columns)
 
 
-def min_max_scale(df: DataFrame, cols, suffix: str = "_scaled") -> DataFrame:
-    """(x - min) / (max - min); a constant column maps to 0.5."""
-    aggs = [F.min(c).alias(f"min_{c}") for c in cols] + [F.max(c).alias(f"max_{c}") for c in cols]
+def scale(df: DataFrame, min_max=(), standard=(), with_mean: bool = True, with_std: bool = True, population: bool = False,
+          min_max_suffix: str = "_scaled", standard_suffix: str = "_std") -> DataFrame:
+    """B9 and B10 with all statistics from one aggregate: (x - min) / (max - min),
+    a constant column maps to 0.5; (x - mean) / std with sample (default) or
+    population std, a constant column maps to 0. Nulls stay null."""
+    sd = F.stddev_pop if population else F.stddev_samp
+    aggs = [f(c).alias(f"{n}_{c}") for c in min_max for n, f in (("min", F.min), ("max", F.max))] \
+        + [f(c).alias(f"{n}_{c}") for c in standard for n, f in (("m", F.avg), ("s", sd))]
+    if not aggs:
+        return df
     st = df.agg(*aggs).first().asDict()
     out = {}
-    for c in cols:
+    for c in min_max:
         lo, hi = st[f"min_{c}"], st[f"max_{c}"]
-        out[c + suffix] = F.when(F.col(c).isNotNull(), F.lit(0.5)) if lo == hi else (F.col(c) - F.lit(lo)) / F.lit(hi - lo)
-    return df.withColumns(out)
-
-
-def standard_scale(df: DataFrame, cols, with_mean: bool = True, with_std: bool = True, population: bool = False,
-                   suffix: str = "_std") -> DataFrame:
-    """(x - mean) / std with sample (default) or population std."""
-    sd = F.stddev_pop if population else F.stddev_samp
-    st = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[sd(c).alias(f"s_{c}") for c in cols]).first().asDict()
-    out = {}
-    for c in cols:
+        out[c + min_max_suffix] = F.when(F.col(c).isNotNull(), F.lit(0.5)) if lo == hi else (F.col(c) - F.lit(lo)) / F.lit(hi - lo)
+    for c in standard:
         e = F.col(c).cast("double")
         if with_mean:
             e = e - F.lit(st[f"m_{c}"])
         if with_std:
             s = st[f"s_{c}"]
             e = e / F.lit(s) if s else F.when(e.isNotNull(), F.lit(0.0))
-        out[c + suffix] = e
+        out[c + standard_suffix] = e
     return df.withColumns(out)
 
 
+def min_max_scale(df: DataFrame, cols, suffix: str = "_scaled") -> DataFrame:
+    """B9 alone."""
+    return scale(df, min_max=cols, min_max_suffix=suffix)
+
+
+def standard_scale(df: DataFrame, cols, with_mean: bool = True, with_std: bool = True, population: bool = False,
+                   suffix: str = "_std") -> DataFrame:
+    """B10 alone."""
+    return scale(df, standard=cols, with_mean=with_mean, with_std=with_std, population=population, standard_suffix=suffix)
+
+
+def duplicate_counts(df: DataFrame, subset) -> DataFrame:
+    """B4's report: (rows, kept, dropped) of ``remove_duplicates`` over ``subset``, counted per key before the shuffle."""
+    per = df.groupBy(*subset).agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("kept")) \
+        .withColumn("dropped", F.col("rows") - F.col("kept"))
+
+
+def invalid_counts(df: DataFrame, cols) -> DataFrame:
+    """B12's report: (rows, skipped), the rows that an assembler with ``handleInvalid="skip"`` leaves out --
+    those with a null or NaN in any of the numeric ``cols``."""
+    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in cols])
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("skipped"))
+
+
 def validate(df: DataFrame, api_rules: bool = True) -> DataFrame:
     """``errors`` (array of messages) and ``is_valid`` for every row."""
     lo_s, hi_s = rules.CREDIT_SCORE_RANGE
     lo_a, hi_a = rules.AGE_RANGE
-    checks = []
+    text, checks = rules.VALIDATION_TEXT, []
     for f in rules.REQUIRED_FIELDS:
         if f not in df.columns:
-            checks.append(F.lit(f"Missing required feature: {f}"))
+            checks.append(F.lit(text["missing"].format(f)))
         else:
-            checks.append(F.when(F.col(f).isNull(), F.lit(f"Feature {f} is None")))
-    if "credit_score" in df.columns:
-        s = F.col("credit_score")
-        checks.append(F.when((s < lo_s) | (s > hi_s), F.concat(F.lit("Credit score "), s.cast("string"),
-                                                              F.lit(f" out of valid range [{lo_s}, {hi_s}]"))))
-    if "age" in df.columns:
-        a = F.col("age")
-        checks.append(F.when((a < lo_a) | (a > hi_a), F.concat(F.lit("Age "), a.cast("string"),
-                                                              F.lit(f" out of valid range [{lo_a}, {hi_a}]"))))
-    if "loan_amount" in df.columns:
-        m = F.col("loan_amount")
-        checks.append(F.when(m <= 0, F.concat(F.lit("Loan amount must be positive, got "), m.cast("string"))))
+            checks.append(F.when(F.col(f).isNull(), F.lit(text["null"].format(f))))
+
+    def message(name, value=None):
+        head, _, tail = text[name].partition("{}")
+        return F.lit(head) if value is None else F.concat(F.lit(head), value.cast("string"), F.lit(tail))
+
+    for c, name, bad in (("credit_score", "score", lambda x: (x < lo_s) | (x > hi_s)), ("age", "age", lambda x: (x < lo_a) | (x > hi_a)),
+                         ("loan_amount", "amount", lambda x: x <= 0)):
+        if c in df.columns:
+            checks.append(F.when(bad(F.col(c)), message(name, F.col(c))))
     if api_rules:
-        for c, msg in (("loan_term", "Loan term must be positive"), ("annual_income", "Annual income must be non-negative"),
-                       ("employment_length", "Employment length must be non-negative")):
+        for c, name in (("loan_term", "term"), ("annual_income", "income"), ("employment_length", "employment")):
             if c in df.columns:
-                cond = F.col(c) <= 0 if c == "loan_term" else F.col(c) < 0
-                checks.append(F.when(cond, F.lit(msg)))
+                checks.append(F.when(F.col(c) <= 0 if c == "loan_term" else F.col(c) < 0, message(name)))
     errors = F.filter(F.array(*checks), lambda e: e.isNotNull())
     return df.withColumns({"errors": errors, "is_valid": F.size(errors) == 0})
 

@@ -82,9 +82,9 @@ def adverse_action_reasons(arrays: DataFrame, top_n: int = rules.TOP_N_REASONS,
             detail = F.concat(F.lit(" (Value: "), F.format_string("%.2f", x["value"]),
                               F.lit(", Impact: "), F.format_string("%.4f", x["phi"]), F.lit(")"))
             return F.when(known.isNotNull(), F.concat(known, detail)).otherwise(
-                F.concat(F.lit("Feature '"), x["feature"], F.lit("' does not meet requirements (Value: "),
+                F.concat(F.lit(rules.UNMAPPED_REASON[0]), x["feature"], F.lit(rules.UNMAPPED_REASON[1] + " (Value: "),
                          F.format_string("%.2f", x["value"]), F.lit(")")))
-        return F.coalesce(known, F.concat(F.lit("Feature '"), x["feature"], F.lit("' does not meet requirements")))
+        return F.coalesce(known, F.concat(F.lit(rules.UNMAPPED_REASON[0]), x["feature"], F.lit(rules.UNMAPPED_REASON[1])))
 
     reasons = F.transform(top, text)
     if long_form:

@@ -715,13 +715,14 @@ FROM apps
 """)
 def q_scaled_applications(spark, sf_dir):
     a = tb.applications(spark, sf_dir).select("application_id", "credit_score", "loan_amount")
-    a = cl.standard_scale(cl.min_max_scale(a, ["credit_score"]), ["loan_amount"])
+    a = cl.scale(a, min_max=["credit_score"], standard=["loan_amount"])
     return round_doubles(a.select("application_id", "credit_score_scaled", "loan_amount_std"))
 
 
 def _feature_matrix(spark, sf_dir):
     apps = tb.applications(spark, sf_dir)
-    fields = docs_op.extract_document_fields(tb.income_documents(spark, sf_dir))
+    stubs = tb.income_documents(spark, sf_dir).filter(F.col("document_type") == "paystub")
+    fields = docs_op.extract_document_fields(stubs)
     idp = fields.groupBy("application_id").agg(F.max("net_income").alias("verified_net_income"))
     txn = feat.transaction_features(feat.parse_transactions(tb.statements(spark, sf_dir)))
     m = cl.assemble_feature_matrix(apps, idp)

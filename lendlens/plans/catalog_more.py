@@ -164,6 +164,23 @@ def q_oversampled_embeddings(spark, sf_dir):
                    F.count_if("synthetic").alias("synthetic"), F.min(~F.col("synthetic") | inside).alias("inside_the_box"))
 
 
+@register("duplicate_customers", """
+SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS kept, CAST(sum(n) - count(*) AS BIGINT) AS dropped
+FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey, c_mktsegment)
+""")
+def q_duplicate_customers(spark, sf_dir):
+    """How many rows dedupe_customers drops."""
+    return cl.duplicate_counts(tb.table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"])
+
+
+@register("skipped_rows", """
+SELECT count(*) AS rows, count(*) FILTER (WHERE c_acctbal < 0) AS skipped FROM customer
+""")
+def q_skipped_rows(spark, sf_dir):
+    """Rows an assembler would skip, where a negative balance leaves employment_length null."""
+    return cl.invalid_counts(tb.applications(spark, sf_dir), ["employment_length", "credit_score"])
+
+
 # ---------------------------------------------------------------------------
 # Log and fairness
 # ---------------------------------------------------------------------------

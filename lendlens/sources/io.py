@@ -64,7 +64,7 @@ def write_report(report: DataFrame, path: str) -> None:
 
 def read_documents(spark: SparkSession, path: str, document_type: str | None = None) -> DataFrame:
     """A10: already-extracted text files, one document per file, keyed by file name."""
-    df = spark.read.option("wholetext", True).text(path).select(
+    df = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1).alias("document_id"),
         F.col("value").alias("raw_text"))
     return df.withColumn("document_type", F.lit(document_type)) if document_type else df

@@ -241,3 +241,44 @@ def test_statistics_of_the_tfidf_terms(spark):
     assert got == {(1, "alpha"): 2, (1, "beta"): 1, (2, "beta"): 1}
     assert docs.tfidf(df.filter("doc_id > 2")).collect() == []
     assert {r.term for r in docs.tfidf_ngrams(df).collect()} == {"alpha", "beta", "alpha beta", "beta alpha"}
+
+
+def test_files_in_every_format(spark, tmp_path):
+    from lendlens.sources import io
+
+    df = spark.createDataFrame([(1, "a", 2.5), (2, None, None)], "k int, s string, x double")
+    for fmt in ("parquet", "json", "csv"):
+        io.write(df, str(tmp_path / fmt), fmt=fmt, partition_by=None)
+    assert sorted(spark.read.parquet(str(tmp_path / "parquet")).collect()) == sorted(df.collect())
+    assert sorted(spark.read.schema(df.schema).json(str(tmp_path / "json")).collect()) == sorted(df.collect())
+    assert sorted(io.read_csv(spark, str(tmp_path / "csv"), schema=df.schema).collect()) == sorted(df.collect())
+    assert [t for _, t in io.read_csv(spark, str(tmp_path / "csv"), infer=True).dtypes] == ["int", "string", "double"]
+    io.write(df, str(tmp_path / "parts"), partition_by="k")
+    assert spark.read.parquet(str(tmp_path / "parts")).filter("k = 2").count() == 1
+    io.write_report(df, str(tmp_path / "report"))
+    assert len(list((tmp_path / "report").glob("*.csv"))) == 1
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "one.txt").write_text("Net Pay: $5.00\nGross Pay: $6.00")
+    got = io.read_documents(spark, str(tmp_path / "docs"), "paystub").first()
+    assert (got.document_id, got.document_type) == ("one", "paystub") and got.raw_text.endswith("$6.00")
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from lendlens import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
