@@ -23,33 +23,28 @@ MIN_CHARS = 24
 BROADCAST_LINES = 200_000
 
 
-def _segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(start, length) of segment ``i`` of a line of ``n`` characters; the last segments take the rest."""
-    k = edits + 1
-    base, short = F.floor(n / F.lit(k)).cast("int"), k - n % k
-    return i * base + F.greatest(F.lit(i) - short, F.lit(0)), base + F.when(F.lit(i) >= short, 1).otherwise(0)
-
+def index_places(edits: int) -> list[tuple[int, int, int]]:
+    """(shorter, segment, shift) of the keys under which a line is filed."""
+    return [(0, i, 0) for i in range(edits + 1)]
 
-def _key(line: str, n: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(n, F.lit(i), F.substring(F.col(line), start + 1, size))
 
+def probe_places(edits: int) -> list[tuple[int, int, int]]:
+    """(shorter, segment, shift) of the keys that a line looks up: lengths from its own down
+    by ``edits``, and per segment the starts that leave enough edits on both sides of it."""
+    return [(d, i, shift) for d in range(edits + 1) for i in range(edits + 1)
+            for shift in range(max(-i, d - (edits - i)), min(i, d + edits - i) + 1)]
 
-def index_keys(line: str, n: str, edits: int) -> Column:
-    """The keys under which a line is filed."""
-    return F.array(*[_key(line, F.col(n), i, *_segment(F.col(n), i, edits)) for i in range(edits + 1)])
 
-
-def probe_keys(line: str, n: str, edits: int, min_chars: int) -> Column:
-    """The keys that a line looks up: lengths from its own down by ``edits``, and per
-    segment the starts that leave enough edits on both sides of it."""
-    keys = []
-    for shorter in range(edits + 1):
-        length = F.col(n) - shorter
-        for i in range(edits + 1):
-            start, size = _segment(length, i, edits)
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                keys.append(F.when(length >= min_chars, _key(line, length, i, start + shift, size)))
-    return F.array(*keys)  # null where the shorter line would be too short
+def keyed(lines: DataFrame, places: list[tuple[int, int, int]], edits: int, min_chars: int) -> DataFrame:
+    """(line_id, key): a row per line and place. A key stands for a length, a segment's
+    number and its text; the last segments take what does not divide evenly."""
+    cells = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(t).alias("t")) for d, i, t in places])
+    rows = lines.select("line_id", "line", "n", F.explode(cells).alias("p")) \
+        .select("line_id", "line", (F.col("n") - F.col("p.d")).alias("m"), "p.i", "p.t").filter(F.col("m") >= min_chars)
+    k = edits + 1
+    key = F.expr(f"xxhash64(m, i, substring(line, i * int(m div {k}) + greatest(i - {k} + m % {k}, 0) + t + 1, "
+                 f"int(m div {k}) + if(i >= {k} - m % {k}, 1, 0)))")
+    return rows.select("line_id", key.alias("key"))
 
 
 def within(a: str, b: str, edits: int) -> Column:
@@ -100,8 +95,8 @@ def links(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, b
     if min_chars < 2 * edits + 2:
         raise ValueError("lines this short cannot be cut into segments")
     long = distinct.select("line_id", "line", F.length("line").alias("n")).filter(F.col("n") >= min_chars)
-    filed = long.select("line_id", F.explode(index_keys("line", "n", edits)).alias("key"))
-    asked = long.select("line_id", F.explode(probe_keys("line", "n", edits, min_chars)).alias("key")).filter("key IS NOT NULL")
+    filed = keyed(long, index_places(edits), edits, min_chars)
+    asked = keyed(long, probe_places(edits), edits, min_chars)
 
     def meets(left: DataFrame, right: DataFrame, probes: bool) -> DataFrame:
         other = right.select(F.col("key").alias("k"), F.col("line_id").alias("o"))
