@@ -65,6 +65,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def hash_sample(df: DataFrame, n: int) -> list:
+    """At most ``n`` different rows, those with the smallest hashes.
+
+    A first count sets a hash below which about 4 n rows lie, so that what
+    reaches the driver stays as small as the sample, however many tasks there
+    are. Fewer than ``n`` come back where most rows are copies."""
+    total = df.count()
+    h = F.xxhash64(*df.columns)
+    if total > 4 * n:
+        df = df.filter(h < F.lit(int(-(1 << 63) + 4 * n / total * (1 << 64))))
+    return df.distinct().orderBy(h, *df.columns).limit(n).collect()
+
+
 def smallest_rows(df: DataFrame, by: list[str], order: list, n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group; Spark limits each group before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.common import smallest_rows, staged
+from lendlens.llm.common import hash_sample, smallest_rows, staged
 
 PAGE = 128
 FANOUT = 16
@@ -245,8 +245,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     entries = staged(firsts.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     m2 = float(entries.agg(F.max(norm)).first()[0])
-    sample = entries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(n_pivots).collect()
-    pivots = np.array([r["vec"] for r in sample], np.int64).reshape(-1, width)
+    pivots = np.array([r["vec"] for r in hash_sample(entries.select("vec"), n_pivots)], np.int64).reshape(-1, width)
     nodes = staged(build_index(entries, width, m2, pivots, page, fanout), "nodes")
 
     asked = staged(padded(queries).distinct(), "queries")
