@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier line, exactly or within two edits.
-    Documents that repeat others as a whole stay as they are for the next stage."""
-    return line_dedup.drop_repeated_lines(docs)
+    A document with no line left goes."""
+    return line_dedup.drop_repeated_lines(docs, max_loss=None).filter("text IS NULL OR text <> ''")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

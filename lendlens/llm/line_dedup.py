@@ -154,21 +154,22 @@ def is_first() -> Column:
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS,
-                        min_chars: int = MIN_CHARS, max_loss: float = 0.5) -> DataFrame:
+                        min_chars: int = MIN_CHARS, max_loss: float | None = 0.5) -> DataFrame:
     """The rows of ``docs`` without the lines that repeat an earlier one, in any row.
 
-    A row that would lose more than ``max_loss`` of its line characters is a
-    copy as a whole, which is for a document-level step to judge: it stays as it
-    is. Rows without repeated lines, and null texts, are not touched; no row is
-    dropped. Rows equal in id and text share their decisions.
+    With ``max_loss`` None this holds for every row; a row with no line left
+    gets an empty text. Otherwise a row that would lose more than ``max_loss`` of
+    its line characters stays as it is. Rows without repeated lines, and null
+    texts, are not touched; no row is dropped. Rows equal in id and text share
+    their decisions.
     """
     found = line_classes(docs, id_col, text_col, edits, min_chars).withColumn("kept", is_first())
     lost = found.groupBy("id", "th").agg(F.sum("chars").alias("total"), F.sum(F.when(F.col("kept"), 0).otherwise(F.col("chars"))).alias("lost"),
                                          F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_drop")) \
-        .filter((F.col("lost") > 0) & (F.col("lost") <= max_loss * F.col("total"))) \
-        .select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_drop")
+        .filter((F.col("lost") > 0) & (F.lit(max_loss is None) | (F.col("lost") <= (max_loss or 0) * F.col("total")))) \
+        .select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_drop", (F.col("lost") == F.col("total")).alias("_none"))
     rows = docs.withColumn("_text_hash", F.xxhash64(text_col))
     kept = F.filter(F.split(text_col, "\n", -1), lambda _, i: ~F.array_contains("_drop", i))
     return rows.join(lost, rows[id_col].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")), "left") \
-        .withColumn(text_col, F.when(F.col("_drop").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))) \
+        .withColumn(text_col, F.when(F.col("_none"), "").when(F.col("_drop").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))) \
         .select(*docs.columns)

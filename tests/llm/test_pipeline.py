@@ -78,3 +78,12 @@ def test_run_returns_the_packing(spark):
     assert got.columns[0] == "doc_id" and "bin" in got.columns and got.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "simhash_dedup", "best_fit_packing"]
     assert bp.GROUP > 0
+
+
+def test_line_stage_drops_repeats_from_copies_too(spark):
+    line = "a line that is long enough to be compared with others %s"
+    docs = spark.createDataFrame([
+        (1, "\n".join([line % "one", line % "and two"])), (2, "\n".join([line % "and two", "", line % "one"])),
+        (3, "\n".join([line % "one", line % "and two", "its own"])), (4, None), (None, line % "zero, in a row without an id")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SF).collect()}
+    assert got == {1: docs.first().text, 3: "its own", 4: None, None: line % "zero, in a row without an id"}
