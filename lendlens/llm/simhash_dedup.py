@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendlens.llm.common import components, staged
@@ -52,15 +52,18 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): the fingerprint of every row's whole text as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
+                 carried: dict[str, Column] | None = None) -> DataFrame:
+    """(id, fp, and the ``carried`` columns): the fingerprint of every row's whole text as a signed long."""
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["id", "fp", *names])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sketch, f"id {kind}, fp long")
+    names = list(carried or {})
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[c.alias(n) for n, c in (carried or {}).items()])
+    kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names]
+    return rows.mapInArrow(sketch, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}, fp long", *kinds]))
 
 
 def spanning_links(fps: np.ndarray, radius: int) -> list[tuple[int, np.ndarray]]:
@@ -164,6 +167,14 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, block: int = 16384) -> Da
     return links
 
 
+def roots(fps: DataFrame, least: Column, radius: int = 4, block: int = 16384) -> DataFrame:
+    """(fp, least, root): every fingerprint with its smallest ``least`` and the fingerprint that stands for its component."""
+    first = staged(fps.groupBy("fp").agg(F.min(least).alias("least")), "distinct-fingerprints")
+    graph = components(fingerprint_links(first.select("fp"), radius, block))
+    return first.join(graph, first["fp"] == graph["node"], "left") \
+        .select("fp", "least", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     radius: int = 4, block: int = 16384) -> DataFrame:
     """(id, fp, component): every row with the smallest id that its links reach.
@@ -174,21 +185,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result; other columns are not read.
     """
     fps = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    first = staged(fps.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    graph = components(fingerprint_links(first.select("fp"), radius, block))
-    root = first.join(graph, first["fp"] == graph["node"], "left") \
-        .select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    least = root.groupBy("root").agg(F.min("first").alias("component"))
+    root = roots(fps, F.col("id"), radius, block)
+    least = root.groupBy("root").agg(F.min("least").alias("component"))
     named = root.join(least, "root").select("fp", "component")
     return fps.join(named, "fp").select("id", "fp", "component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                radius: int = 4) -> DataFrame:
-    """The rows of ``docs``, one of each component: the smallest id, of rows with that
-    id the smallest by a hash of the text. Rows without an id only stay where their whole component has none."""
-    found = near_duplicates(docs, id_col, text_col, shingle, radius) \
-        .filter("component IS NULL OR id = component").select(F.struct("id").alias("_key")).distinct()
-    rows = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"))).join(found, "_key", "left_semi")
-    first = Window.partitionBy("_key").orderBy(F.xxhash64(text_col))
-    return rows.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").select(*docs.columns)
+    """The rows of ``docs``, one of each component: the smallest id, null ids last, of rows with
+    that id the smallest by a hash of the text. Of rows equal in id and text any one stays."""
+    fps = staged(fingerprints(docs, id_col, text_col, shingle, {"th": F.xxhash64(text_col)}), "fingerprints")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    found = roots(fps, place, radius).groupBy("root").agg(F.min("least").alias("least")) \
+        .select(F.struct("least.id", "least.th").alias("_key"))
+    rows = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")))
+    return rows.join(found, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)

@@ -8,7 +8,7 @@ import xxhash
 
 from lendlens.llm import simhash_dedup as sd
 from lendlens.llm.common import components
-from tests.llm.fixtures import awkward_docs, empty_docs
+from tests.llm.fixtures import awkward_docs, empty_docs, sentence
 
 
 def plain(text, k=4):
@@ -70,6 +70,14 @@ def test_awkward_documents(spark):
     assert sd.near_duplicates(empty_docs(spark)).collect() == [] and sd.keep_first(empty_docs(spark)).collect() == []
 
 
+def test_rows_without_an_id_or_with_one_id_keep_one_of_each_component(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = [sentence(rng, 30) for _ in range(5)]
+    rows = [(None, a), (None, a), (None, b), (None, c), (1, c), (2, d), (2, e), (3, e)]
+    got = [(r.doc_id, r.text) for r in sd.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (1, c), (2, d), (2, e)], key=str)
+
+
 @pytest.mark.parametrize("block", [16384, 8])
 def test_links_of_fingerprints_in_dense_and_sparse_buckets(spark, block):
     rng = random.Random(3)
