@@ -9,6 +9,9 @@ under a key are compared by a banded bit-parallel edit distance.
 
 Everything runs as DataFrame expressions. Exact copies are merged before the
 join, and texts are fetched only for lines that met another line.
+
+Lines too short for selective segments meet under what is left of them after
+up to ``edits`` deletions: two lines within that many edits share such a rest.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from lendlens.llm.common import components, staged
 
 EDITS = 2
-MIN_CHARS = 24
+MIN_CHARS = 12  # lines this long meet by segments, pairs with a shorter line by deletions
 BROADCAST_LINES = 200_000
 
 
@@ -88,9 +91,10 @@ def _identity(line: str = "line") -> list[Column]:
 
 
 def links(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """(a, b), a < b: every pair of different lines within ``edits`` edits, both of ``min_chars`` or more.
+    """(a, b), a < b: every pair of different lines within ``edits`` edits.
 
-    ``distinct`` holds (line_id, line), each line once; it is read three times, so pass a table.
+    Pairs of lines of ``min_chars`` or more are found by segments, those with a shorter line
+    by deletions. ``distinct`` holds (line_id, line), each line once; it is read five times, so pass a table.
     """
     if min_chars < 2 * edits + 2:
         raise ValueError("lines this short cannot be cut into segments")
@@ -116,7 +120,28 @@ def links(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, b
     once = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_line_id") < F.col("b_line_id")))
     near = F.bit_count(F.col("a_letters").bitwiseXOR(F.col("b_letters"))) <= 2 * edits
     found = left.join(right, (F.col("key") == F.col("k")) & once & near & within("a_chars", "b_chars", edits))
-    return found.select(F.least("a_line_id", "b_line_id").alias("a"), F.greatest("a_line_id", "b_line_id").alias("b")).distinct()
+    found = found.select(F.least("a_line_id", "b_line_id").alias("a"), F.greatest("a_line_id", "b_line_id").alias("b")).distinct()
+    return found.unionAll(short_links(distinct, edits, min_chars))
+
+
+def rests(line: str, edits: int) -> Column:
+    """What is left of a line after every choice of up to ``edits`` deletions."""
+    shorter = "array_distinct(flatten(transform({}, _x -> transform(sequence(1, greatest(length(_x), 1)), " \
+              "_p -> concat(substring(_x, 1, _p - 1), substring(_x, _p + 1))))))"
+    level = every = f"array({line})"
+    for _ in range(edits):
+        level = shorter.format(level)
+        every = f"array_union({every}, {level})"
+    return F.expr(every)
+
+
+def short_links(distinct: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(a, b), a < b: every pair within ``edits`` edits whose shorter line has less than ``min_chars``."""
+    rows = distinct.select("line_id", "line", F.length("line").alias("n")).filter(F.col("n") < min_chars + edits) \
+        .withColumn("key", F.explode(rests("line", edits)))
+    left, right = [rows.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("line_id", "line", "n")]) for side in "ab"]
+    near = (F.least("a_n", "b_n") < min_chars) & (F.col("a_line_id") < F.col("b_line_id")) & (F.levenshtein("a_line", "b_line") <= edits)
+    return left.join(right, (left["key"] == right["key"]) & near).select(F.col("a_line_id").alias("a"), F.col("b_line_id").alias("b")).distinct()
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -125,7 +150,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``class`` is the place (id, th, line_no) where the first line of the class
     stands; lines are in one class if links or equality join them. ``n_links``
     counts the different texts that the line links to, ``n_copies`` the places
-    with exactly its text. Shorter lines only equal themselves. Lines are split
+    with exactly its text. Lines are split
     at newlines and compared whole; lines without a word, and null texts,
     have no row. Null ids come first in the order of places. Rows with equal ids
     are told apart by ``th``, a hash of the text; equal rows share their places.

@@ -56,6 +56,20 @@ def test_links_lose_no_pair(spark, edits):
     assert {(r.a, r.b) for r in ld.links(df, edits, 12, broadcast_lines=0).collect()} == want
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_links_of_lines_of_every_length(spark, edits):
+    rng = random.Random(6)
+    lines = {"The anhely eran.", "The, anhely eran.", "Annd erhe.", "Annd hehe.", "a", "é", "ab", "x" * 23, "x" * 24}
+    for _ in range(60):
+        base = "".join(rng.choice("abé ") for _ in range(rng.randrange(1, 26)))
+        lines |= {base, edited(rng, base, 1) or "b"}
+    lines = sorted(x for x in lines if x.strip())
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    got = [(r.a, r.b) for r in ld.links(df, edits).collect()]
+    want = {(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if distance(lines[i], lines[j]) <= edits}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def brute(docs, edits=2, least=24):
     """{(id, text, line_no): (class place, copies, links)} by comparing all pairs."""
     occ = [((i is not None, i), t, k, line) for i, t in docs if t is not None for k, line in enumerate(t.split("\n")) if line.strip(" \t\n\r\x0b\x0c")]
