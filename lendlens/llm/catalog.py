@@ -14,7 +14,7 @@ from lendlens.llm import license_scan as ls
 from lendlens.llm import line_dedup as ld
 from lendlens.llm import metric_search as ms
 from lendlens.llm import url_rules as ur
-from lendlens.llm.common import documents, shared_folder
+from lendlens.llm.common import documents, shared_folder, staged
 
 QUERIES = {}
 SQL = {}
@@ -109,14 +109,16 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def packing_input(docs):
-    """Documents with their length in words and their cluster of exact copies."""
-    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).alias("size"),
-                       F.xxhash64("text").alias("cluster"))
+    """Documents with their length in words and their cluster of near copies, null for a null text."""
+    fps = staged(sd.fingerprints(docs, carried={
+        "source": F.col("source"), "size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)), "known": F.col("text").isNotNull()}), "packing-input")
+    root = sd.roots(fps, F.col("id")).select("fp", "root")
+    return fps.join(root, "fp").select(F.col("id").alias("doc_id"), "source", "size", F.when(F.col("known"), F.col("root")).alias("cluster"))
 
 
 @register("op4_best_fit_packing")
 def op4_best_fit_packing(spark, sf_dir):
-    """Every document's pieces in sequences of 2048 words, with no source and no text twice in one sequence."""
+    """Every document's pieces in sequences of 2048 words, with no source and no two near copies in one sequence."""
     return bp.pack(packing_input(documents(spark, sf_dir)), capacity=2048).withColumnRenamed("id", "doc_id")
 
 

@@ -91,3 +91,18 @@ def test_hot_source_and_copies(spark):
 def test_empty_table(spark):
     docs = empty_docs(spark).withColumn("size", F.lit(1)).withColumn("cluster", F.lit(1))
     assert bp.pack(docs, 10).collect() == []
+
+
+def test_clusters_of_the_query_are_near_copies(spark):
+    from lendlens.llm import catalog
+    from lendlens.llm import simhash_dedup as sd
+
+    text = " ".join(f"w{i * i % 997}" for i in range(600))
+    near = next(t for i in range(600) if (t := text.replace(f"w{i * i % 997}", "changed", 1)) != text
+                and 0 < (sd.fingerprint(t) ^ sd.fingerprint(text)).bit_count() <= 4)
+    rows = [(1, text, "a"), (2, near, "b"), (3, "quite another text " * 9, "c"), (4, None, "d"), (None, None, "e"), (None, text, "f")]
+    got = catalog.packing_input(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    cluster = {r.source: r.cluster for r in got}
+    assert len(got) == 6 and cluster["a"] == cluster["b"] == cluster["f"] != cluster["c"]
+    assert cluster["c"] is not None and cluster["d"] is None and cluster["e"] is None
+    assert {r.source: (r.doc_id, r["size"]) for r in got}["b"] == (2, 600) and {r.source: r["size"] for r in got}["d"] == 0
