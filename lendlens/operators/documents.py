@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lendlens.functions import text as T
 from lendlens.functions.rules import ENGLISH_STOP_WORDS
+from lendlens.session import ensure_checkpoint_dir
 
 
 def extract_document_fields(docs: DataFrame, text_col: str = "raw_text",
@@ -74,11 +75,16 @@ def top_vocabulary(docs: DataFrame, terms: "F.Column", size: int) -> list[str]:
 
 def vocabulary_counts(docs: DataFrame, key: str, terms: "F.Column", vocabulary: list[str]) -> DataFrame:
     """(key, counts: array of (term, tf)) -- each row's vocabulary terms counted inside
-    the row, so no (document, term) pair is ever shuffled."""
+    the row, so no (document, term) pair is ever shuffled.
+
+    Rows without a vocabulary term keep an empty array: a filter on it would be pushed
+    below the projection and evaluate the tokens again for every term. The counted rows
+    are written once, as the idf and the weights both read them."""
     kept = docs.select(key, F.filter(terms, lambda t: t.isin(vocabulary) if vocabulary else F.lit(False)).alias("_k"))
     counts = F.transform(F.array_distinct("_k"), lambda t: F.struct(
-        t.alias("term"), F.size(F.filter("_k", lambda x: x == t)).cast("long").alias("tf")))
-    return kept.select(key, counts.alias("counts")).filter(F.size("counts") > 0)
+        t.alias("term"), (F.size("_k") - F.size(F.array_remove("_k", t))).cast("long").alias("tf")))
+    ensure_checkpoint_dir(docs.sparkSession)
+    return kept.select(key, counts.alias("counts")).checkpoint()
 
 
 def inverse_frequencies(counted: DataFrame, n_docs: int, smooth: float) -> dict[str, float]:
@@ -88,8 +94,8 @@ def inverse_frequencies(counted: DataFrame, n_docs: int, smooth: float) -> dict[
     return {r["term"]: r["idf"] for r in rows}
 
 
-def _scored(docs, key, terms, size, smooth):
-    vocabulary = top_vocabulary(docs, terms, size)
+def _scored(docs, key, terms, size, smooth, vocabulary=None):
+    vocabulary = top_vocabulary(docs, terms, size) if vocabulary is None else vocabulary
     counted = vocabulary_counts(docs, key, terms, vocabulary)
     idf = inverse_frequencies(counted, docs.count(), smooth)
     if not idf:
@@ -106,6 +112,21 @@ def tfidf(docs: DataFrame, key: str = "doc_id", text_col: str = "text", vocab_si
     return rows.select(key, F.inline("_s").alias("term", "tf", "tfidf"))
 
 
+def tfidf_maps(docs: DataFrame, key: str = "doc_id", text_col: str = "text", vocab_size: int = 100,
+               stop_words=None) -> DataFrame:
+    """C11 for one map per key, (key, tfidf_terms): the weights of all texts of a key are added
+    term by term in one aggregate of ``vocab_size`` sums, combined before its only shuffle."""
+    vocabulary = top_vocabulary(docs, unigrams(text_col, stop_words), vocab_size)
+    rows = _scored(docs, key, unigrams(text_col, stop_words), vocab_size, 0.0, vocabulary)
+    weights = rows.select(key, F.map_from_entries(F.transform("_s", lambda c: F.struct(c["term"], c["w"]))).alias("_m"))
+    sums = [F.sum(F.element_at("_m", F.lit(t))).alias(f"_w{i}") for i, t in enumerate(vocabulary)]
+    if not sums:
+        return weights.select(key, F.lit(None).cast("map<string,double>").alias("tfidf_terms")).limit(0)
+    cells = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"_w{i}").alias("w")) for i, t in sorted(enumerate(vocabulary), key=lambda x: x[1])])
+    return weights.groupBy(key).agg(*sums).select(key, F.filter(cells, lambda c: c["w"].isNotNull()).alias("_c")) \
+        .filter(F.size("_c") > 0).select(key, F.map_from_entries("_c").alias("tfidf_terms"))
+
+
 def tfidf_ngrams(docs: DataFrame, key: str = "doc_id", text_col: str = "text", max_features: int = 50,
                  stop_words=None) -> DataFrame:
     """uni+bigram TF-IDF, top ``max_features`` terms by corpus count, smoothed

@@ -26,9 +26,7 @@ def nlp_job(statements: DataFrame, key: str = "application_id", vocab_size: int
     """Statement text -> parsed lines -> behavioural features, and the text's
     TF-IDF terms as a map of at most ``vocab_size`` entries per application."""
     features = feat.statement_features(statements, key)
-    scored = docs.tfidf(statements.select(key, F.col("statement_text").alias("text")), key, "text", vocab_size)
-    terms = scored.groupBy(key, "term").agg(F.sum("tfidf").alias("tfidf")) \
-        .groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("term", "tfidf")))).alias("tfidf_terms"))
+    terms = docs.tfidf_maps(statements.select(key, F.col("statement_text").alias("text")), key, "text", vocab_size)
     return features.join(terms, key, "left")
 
 

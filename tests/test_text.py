@@ -1,5 +1,6 @@
 """Scalar text operators on the reference's own examples (corrected parsing)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lendlens.functions import text as T
@@ -109,3 +110,20 @@ def test_plan_has_no_python_udf(spark):
     st = spark.createDataFrame([(1, SAMPLE)], "application_id long, statement_text string")
     plan = FE.statement_features(st)._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_tfidf_evaluates_the_tokens_once_per_scan(spark):
+    """No filter on the counts may be pushed below the projection and repeat the tokens inside it."""
+    docs = spark.createDataFrame([(1, "alpha beta alpha"), (2, "beta gamma"), (3, ""), (4, None)], "doc_id long, text string")
+    kept = docs.select("doc_id", D.unigrams("text").alias("_k")).select("doc_id", "_k")
+    plan = D.tfidf(docs, vocab_size=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan  # the counted rows were written once
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    got = {(r.doc_id, r.term): r.tf for r in D.tfidf(docs, vocab_size=3).collect()}
+    assert got == {(1, "alpha"): 2, (1, "beta"): 1, (2, "beta"): 1, (2, "gamma"): 1}
+    maps = {r.doc_id: r.tfidf_terms for r in D.tfidf_maps(docs.unionAll(docs), vocab_size=3).collect()}
+    want = {}
+    for r in D.tfidf(docs.unionAll(docs), vocab_size=3).collect():
+        want.setdefault(r.doc_id, {}).setdefault(r.term, 0.0)
+        want[r.doc_id][r.term] += r.tfidf
+    assert set(maps) == set(want) and all(maps[k][t] == pytest.approx(w) for k, m in want.items() for t, w in m.items())
