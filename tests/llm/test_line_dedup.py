@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,11 +71,17 @@ def test_links_of_lines_of_every_length(spark, edits):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def brute(docs, edits=2, least=24):
+def brute(docs, edits=2, least=0):
     """{(id, text, line_no): (class place, copies, links)} by comparing all pairs."""
     occ = [((i is not None, i), t, k, line) for i, t in docs if t is not None for k, line in enumerate(t.split("\n")) if line.strip(" \t\n\r\x0b\x0c")]
     texts = sorted({o[3] for o in occ})
-    links = {a: {b for b in texts if a != b and min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits} for a in texts}
+    # one edit changes the counts of two characters at most: others need no distance
+    bags = np.array([np.bincount([ord(c) % 64 for c in t], minlength=64) for t in texts]).reshape(-1, 64)
+    links = {}
+    for a, bag in zip(texts, bags, strict=True):
+        close = np.flatnonzero(np.abs(bags - bag).sum(1) <= 2 * edits)
+        links[a] = {b for b in (texts[i] for i in close) if a != b and min(len(a), len(b)) >= least
+                    and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits}
     group = {}
     for t in texts:
         if t not in group:

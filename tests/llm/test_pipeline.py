@@ -52,10 +52,9 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
     new = {}
     for i, t in rows.items():
         lines = t.split("\n")
-        own = {k: keep[i, k] for k in range(len(lines)) if (i, k) in keep}
-        lost = sum(len(lines[k]) for k, stays in own.items() if not stays)
-        total = sum(len(lines[k]) for k in own)
-        new[i] = "\n".join(x for k, x in enumerate(lines) if own.get(k, True)) if 0 < lost <= 0.5 * total else t
+        new[i] = "\n".join(x for k, x in enumerate(lines) if keep.get((i, k), True))
+        if not any(keep.get((i, k)) for k in range(len(lines))):
+            del new[i]
     assert {r.doc_id: r.text for r in out["line_dedup"]} == new
     # near duplicates
     ids = list(new)
