@@ -13,6 +13,7 @@ from lendlens.llm import chat_format as cf
 from lendlens.llm import license_scan as ls
 from lendlens.llm import line_dedup as ld
 from lendlens.llm import metric_search as ms
+from lendlens.llm import periodic_runs as pr
 from lendlens.llm import url_rules as ur
 from lendlens.llm.common import documents, shared_folder, staged
 
@@ -167,3 +168,32 @@ def op10_license_scan(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), F.size("spans").cast("long").alias("n_passages"),
                         F.array_join(F.array_sort(F.array_distinct(F.col("spans.family"))), ",").alias("families"),
                         F.get("spans.line_no", F.lit(0)).alias("first_line"))
+
+
+def looped(text, doc_id):
+    """Every tenth document by the hash of its id gets a loop: from a word on, its words repeat with a period (both by the hash)."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def loop(ws):
+        n = F.size(ws)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ws, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when((h % 10 == 0) & F.regexp_like(text, F.lit(WORDS)), F.element_at(F.transform(F.array(words), loop), 1)).otherwise(text)
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    """The runs of every document, its longest run and what is left when each run is cut to its first period."""
+    docs = documents(spark, sf_dir).select("doc_id", looped(F.col("text"), F.col("doc_id")).alias("text"))
+    found = pr.periodic_runs(docs)
+    first = F.get(F.array_sort("runs", lambda a, b: F.when(a["length"] != b["length"], F.sign(b["length"] - a["length"]))
+                               .when(a["start"] != b["start"], F.sign(a["start"] - b["start"])).otherwise(F.sign(a["period"] - b["period"])).cast("int")), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("id", "n_words", "runs", "collapsed", first.alias("first"))
+    return rows.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "first.start", "first.length", "first.period",
+                       F.floor(1000 * F.col("first.length") / F.col("first.period")).cast("long").alias("exponent_milli"),
+                       F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
