@@ -14,6 +14,7 @@ from lendlens.llm import license_scan as ls
 from lendlens.llm import line_dedup as ld
 from lendlens.llm import metric_search as ms
 from lendlens.llm import periodic_runs as pr
+from lendlens.llm import substring_dedup as sub
 from lendlens.llm import url_rules as ur
 from lendlens.llm.common import documents, shared_folder, staged
 
@@ -197,3 +198,20 @@ def op13_periodic_runs(spark, sf_dir):
     return rows.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "first.start", "first.length", "first.period",
                        F.floor(1000 * F.col("first.length") / F.col("first.period")).cast("long").alias("exponent_milli"),
                        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+# windows start at a word's place; the text's words before and after it decide nothing
+@register("op12_fm_substring_dedup", r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT r, unnest(range(1, len(words) - 33)) AS pos, words FROM d WHERE len(words) >= 35),
+x AS (SELECT r, pos, sha256(array_to_string(words[pos:pos + 34], ' ')) AS h FROM w),
+c AS (SELECT r, pos FROM x QUALIFY count(*) OVER (PARTITION BY h) > 1),
+g AS (SELECT r, list_distinct(flatten(list(range(pos, pos + 35)))) AS gone FROM c GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda v, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+""")
+def op12_fm_substring_dedup(spark, sf_dir):
+    """Every document's words, how many lie in a 35-word passage that occurs elsewhere, and what is left."""
+    found = sub.drop_repeated(documents(spark, sf_dir), window=35)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
