@@ -10,6 +10,7 @@ from lendlens.llm import simhash_dedup as sd
 from lendlens.llm import token_files as tf
 from lendlens.llm import best_fit_packing as bp
 from lendlens.llm import chat_format as cf
+from lendlens.llm import conversation_trie as ct
 from lendlens.llm import license_scan as ls
 from lendlens.llm import line_dedup as ld
 from lendlens.llm import metric_search as ms
@@ -215,3 +216,46 @@ def op12_fm_substring_dedup(spark, sf_dir):
     """Every document's words, how many lie in a 35-word passage that occurs elsewhere, and what is left."""
     found = sub.drop_repeated(documents(spark, sf_dir), window=35)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def rebuilt_turns(turns):
+    """(turns, convs) of the rebuilt conversations: the first h turns of conversation c - c % 5, then c's own after its first h.
+
+    A conversation of many turns is looked up by chunks of them, so its rows meet their length in many tasks."""
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("own"))
+    bases = sizes.select(F.col("conv_id").alias("base"), F.col("own").alias("n_base"))
+    convs = sizes.select("conv_id", "own", (F.col("conv_id") - F.col("conv_id") % 5).alias("base"), h.alias("h")).join(bases, "base", "left")
+    convs = staged(convs.select("conv_id", "own", "base", "h", F.least("h", F.coalesce("n_base", F.lit(0))).alias("head")), "rebuilt-convs")
+    first = turns.filter("k <= 8").withColumnRenamed("conv_id", "base")
+    heads = convs.select("conv_id", "base", "head").join(first, "base").filter("k <= head").select("conv_id", F.col("k").alias("pos"), "role", "text")
+    chunks = convs.filter("own > h").select("conv_id", "h", "head", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("own") / ct.CHUNK))).alias("chunk"))
+    tails = turns.withColumn("chunk", F.floor(F.col("k") / ct.CHUNK)).join(chunks, ["conv_id", "chunk"]).filter("k > h") \
+        .select("conv_id", (F.col("head") + F.col("k") - F.col("h")).alias("pos"), "role", "text")
+    return heads.unionByName(tails), convs.select("conv_id")
+
+
+@register("op11_conversation_trie", """
+WITH t AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hs AS (SELECT conv_id, turns, (SELECT list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+         lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END)))
+         AS crc FROM t),
+hh AS (SELECT conv_id, turns, xor(crc, 4294967295::BIGINT) % 9 AS h FROM hs),
+c AS (SELECT hh.conv_id, list_concat(coalesce(b.turns[1:hh.h], []), hh.turns[hh.h + 1:]) AS turns FROM hh LEFT JOIN t AS b ON b.conv_id = hh.conv_id - hh.conv_id % 5),
+x AS (SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM c),
+p AS (SELECT conv_id, n, depth, md5(to_json(turns[1:depth])::VARCHAR) AS id, CASE WHEN depth > 0 THEN md5(to_json(turns[1:depth - 1])::VARCHAR) END AS up,
+        CASE WHEN depth > 0 THEN strlen(turns[depth].text) ELSE 0 END AS bytes FROM x),
+nodes AS (SELECT depth, id, any_value(up) AS up, any_value(bytes) AS bytes, count(*) AS n_convs, min(conv_id) AS conv_id,
+            coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends FROM p GROUP BY depth, id),
+kids AS (SELECT depth - 1 AS depth, up AS id, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+whole AS (SELECT a.depth, a.id, sum((d.n_convs - 1) * d.bytes) AS saved_tokens, count(*) FILTER (WHERE k.id IS NULL) AS n_leaves
+          FROM nodes d JOIN p a ON a.conv_id = d.conv_id AND a.depth <= d.depth LEFT JOIN kids k ON k.depth = d.depth AND k.id = d.id GROUP BY a.depth, a.id)
+SELECT nodes.conv_id, nodes.depth, parent.conv_id AS parent_conv_id, nodes.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(nodes.ends) AS ends_sha256
+FROM nodes JOIN whole USING (depth, id) LEFT JOIN kids USING (depth, id) LEFT JOIN nodes AS parent ON parent.depth = nodes.depth - 1 AND parent.id = nodes.up
+""")
+def op11_conversation_trie(spark, sf_dir):
+    """The prefix trie of the rebuilt conversations."""
+    turns = staged(ct.numbered(documents(spark, sf_dir, "conversations")), "numbered-turns")
+    return ct.prefix_trie(*rebuilt_turns(turns))

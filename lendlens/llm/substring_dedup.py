@@ -34,14 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.common import staged
+from lendlens.llm.common import BROADCAST_KEYS, CROWD, joined, staged
 
 GRAM = 16
 GROUP_WORDS = 1 << 18  # texts are cut into segments together up to about so many words
 LONGEST = 64  # windows of a segment
 SHARD_BYTES = 3 << 20  # words of a shard, on average
-CROWD = 4096  # rows of a key from which on it is treated as crowded ...
-BROADCAST_KEYS = 100_000  # ... or more, so that there are at most so many crowded keys
 
 
 # ------------------------------------------------------------------ segments
@@ -135,18 +133,6 @@ def segments(rows: DataFrame, window: int, gram: int = GRAM) -> DataFrame:
     return rows.mapInArrow(run, f"id {kind}, th long, at int, n int, key long, grams long")
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
-    """``left`` joined with ``right``, which has a row per key and, in ``rows``, how many rows of ``left`` it meets.
-
-    Keys that meet more than CROWD rows, and more than a fixed share of all
-    ``total`` rows, are broadcast: there are at most BROADCAST_KEYS of them. So
-    no task gets a key of many rows."""
-    crowd = max(CROWD, total // BROADCAST_KEYS)
-    hot = F.broadcast(right.filter(F.col("rows") > crowd))
-    rest = left.join(hot.select(*on), on, "left_anti").join(right.filter(F.col("rows") <= crowd), on)
-    return left.join(hot, on).unionByName(rest)
-
-
 # ------------------------------------------------------------------- the index
 
 class WaveletMatrix:

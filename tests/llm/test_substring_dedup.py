@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lendlens.llm import catalog
+from lendlens.llm import catalog, common
 from lendlens.llm import substring_dedup as sd
 from tests.conftest import SF
 from tests.llm.fixtures import awkward_docs, empty_docs
@@ -79,7 +79,7 @@ def test_wavelet_ranks():
 @pytest.mark.parametrize("crowd,shard_bytes", [(4096, 3 << 20), (4096, 2000), (2, 2000)])
 def test_documents_equal_plain_counting(spark, crowd, shard_bytes, monkeypatch):
     if crowd == 2:
-        monkeypatch.setattr(sd, "CROWD", 2)  # the joins with a crowded key too
+        monkeypatch.setattr(common, "CROWD", 2)  # the joins with a crowded key too
     texts = passages(150, 1) + ["same words again " * 40, "a " * 300, "a " * 33, "a " * 35, "a " * 36 + "b"] + passages(20, 2, vocabulary=3)
     texts += texts[:5]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
