@@ -26,7 +26,7 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-CROWD = 4096  # rows of a key from which on it is treated as crowded ...
+CROWD = 512  # rows of a key from which on it is treated as crowded ...
 BROADCAST_KEYS = 100_000  # ... or more, so that there are at most so many crowded keys
 
 

@@ -34,12 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.common import BROADCAST_KEYS, CROWD, joined, staged
+from lendlens.llm.common import BROADCAST_KEYS, joined, staged
 
 GRAM = 16
 GROUP_WORDS = 1 << 18  # texts are cut into segments together up to about so many words
 LONGEST = 64  # windows of a segment
 SHARD_BYTES = 3 << 20  # words of a shard, on average
+CROWD = 4096  # different segments of a key from which on they are cut into windows
 
 
 # ------------------------------------------------------------------ segments
