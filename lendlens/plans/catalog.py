@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lendlens.operators import features as feat
 from lendlens.plans.oracle_util import (LINE_CATEGORY, TXN_CATEGORY, DEBIT_FLAG, r, round_doubles, sql_case,
                                         sql_case_int, sql_description, sql_signed_amount)
+from lendlens.session import ensure_checkpoint_dir
 from lendlens.sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -896,11 +897,20 @@ MODEL_NUMERIC = ["n_chars", "toxic"]
 MODEL_CATEGORICAL = ["lang", "source"]
 
 
+_FITTED: dict[tuple[str, str], tuple] = {}
+
+
 def fit_document_model(spark, sf_dir):
-    s = met.hash_split(tb.scored_population(spark, sf_dir).drop("probability"), "application_id")
-    train = mdl.class_weight_column(s.filter(F.col("split") == "train"))
-    pipe = mdl.gbt_pipeline(MODEL_NUMERIC, MODEL_CATEGORICAL, weight_col="weight")
-    return pipe.fit(train), s
+    """The model and its split population, fitted once per session and table folder: several queries
+    ask for it. The training rows are written before the fit, which reads them for every level of every tree."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _FITTED:
+        ensure_checkpoint_dir(spark)
+        s = met.hash_split(tb.scored_population(spark, sf_dir).drop("probability"), "application_id")
+        train = mdl.class_weight_column(s.filter(F.col("split") == "train")).checkpoint()
+        pipe = mdl.gbt_pipeline(MODEL_NUMERIC, MODEL_CATEGORICAL, weight_col="weight")
+        _FITTED[at] = (pipe.fit(train), s)
+    return _FITTED[at]
 
 
 @register("gbt_test_scores")
@@ -995,4 +1005,4 @@ def q_fairness_before_after(spark, sf_dir):
     return round_doubles(fair.before_after_report(sb, sm))
 
 
-from lendlens.plans import catalog_more  # noqa: E402, F401  (registers further queries)
+from lendlens.plans import catalog_models, catalog_more  # noqa: E402, F401  (register further queries)

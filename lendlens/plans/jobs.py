@@ -19,6 +19,7 @@ from lendlens.operators import fairness as fair
 from lendlens.operators import features as feat
 from lendlens.operators import log as plog
 from lendlens.operators import model as mdl
+from lendlens.operators import tree_shap as shap
 from lendlens.session import ensure_checkpoint_dir
 
 
@@ -74,9 +75,9 @@ def batch_prediction_job(model, applications: DataFrame, columns: list[str], key
     """F16: validate -> document fields and statement features -> align -> score ->
     decide -> reasons for denials -> log.
 
-    Invalid rows come back with their errors and no score. With a ``background``
-    sample, denied rows get adverse-action reasons from sampled Shapley values over
-    the numeric ``columns``. With ``log_path`` (and ``as_of``, the time of the
+    Invalid rows come back with their errors and no score. With a ``background``, denied
+    rows get adverse-action reasons: from exact tree attributions where the model is a tree ensemble
+    and the background has all ``columns``, from sampled Shapley values over the numeric ones otherwise. With ``log_path`` (and ``as_of``, the time of the
     decisions) the scored rows are appended to the prediction log."""
     valid, bad = cl.split_valid(applications)
     if documents is not None:
@@ -88,9 +89,12 @@ def batch_prediction_job(model, applications: DataFrame, columns: list[str], key
         numeric = [c for c, t in valid.dtypes if c in columns and t not in ("string", "boolean")]
         denied = scored.filter(F.col("decision") == "denied").select(key)
         rows = cl.align_to_columns(valid.join(denied, key, "left_semi"), [key, *columns], defaults)
-        phi = xp.permutation_shapley(rows, model, numeric, background, n_permutations, key=key,
-                                     others=[c for c in columns if c not in numeric])
-        parts = phi.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("phi", "feature"))).alias("contributions"))
+        if hasattr(model.stages[-1], "treeWeights") and set(columns) <= set(background.columns):
+            parts, _ = shap.tree_shapley(rows, model, background, key)
+        else:
+            phi = xp.permutation_shapley(rows, model, numeric, background, n_permutations, key=key,
+                                         others=[c for c in columns if c not in numeric])
+            parts = phi.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("phi", "feature"))).alias("contributions"))
         reasons = xp.adverse_action_reasons(parts).select(key, "adverse_action_reasons")
         scored = scored.join(reasons, key, "left")
     if log_path is not None:
