@@ -280,8 +280,7 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
 def stratified_hash_split(df: DataFrame, key: str, label: str = "label", test_fraction: float = 0.2,
                           seed: int = 42) -> DataFrame:
     """Each class split by its own key hash -- deterministic, no shuffle,
-    expected ratio per class (the exact-ratio rank form would put a whole class
-    into one window partition)."""
+    expected ratio per class; ``rank.stratified_split`` gives the exact ratio."""
     from lendlens.operators.metrics import hash_fraction
     h = hash_fraction(F.concat_ws(":", F.col(key).cast("string"), F.col(label).cast("string")), seed)
     return df.withColumn("split", F.when(h < test_fraction, F.lit("test")).otherwise(F.lit("train")))

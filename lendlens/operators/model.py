@@ -122,7 +122,8 @@ def top_features(importances: DataFrame, n: int = 10) -> DataFrame:
 
 def fold_column(df: DataFrame, key: str, label: str = "label", folds: int = 5, seed: int = 42,
                 out: str = "fold") -> DataFrame:
-    """deterministic fold per row from the key hash, drawn per class (stratified in expectation)."""
+    """deterministic fold per row from the key hash, drawn per class (stratified in
+    expectation, without a shuffle; ``rank.stratified_folds`` is exact)."""
     h = met.hash_fraction(F.concat_ws(":", F.col(key).cast("string"), F.col(label).cast("string")), seed)
     return df.withColumn(out, F.least(F.floor(h * folds), F.lit(folds - 1)).cast("int"))
 

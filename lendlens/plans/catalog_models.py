@@ -8,6 +8,7 @@ from math import factorial
 from pyspark.sql import functions as F
 
 from lendlens.operators import model as mdl
+from lendlens.operators import rank
 from lendlens.operators import tree_shap as ts
 from lendlens.plans.catalog import SCORED_SQL, fit_document_model, register
 from lendlens.plans.oracle_util import r, round_doubles
@@ -82,3 +83,31 @@ def q_gbt_tree_attributions(spark, sf_dir):
     total = F.aggregate("contributions", F.lit(base), lambda a, c: a + c["phi"])
     return found.agg(F.count(F.lit(1)).alias("explained"), F.count_if(F.abs(total - F.col("margin")) < 1e-9).alias("efficient"),
                      F.max(F.array_join(F.array_sort(F.col("contributions.feature")), ",")).alias("features"))
+
+
+# ---------------------------------------------------------------------------
+# Exact stratified split and folds
+# ---------------------------------------------------------------------------
+RANK_SQL = f"""{SCORED_SQL},
+k AS (SELECT application_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(application_id AS VARCHAR) || ':' || CAST(label AS VARCHAR) || ':42'),
+        application_id) AS pos, count(*) OVER (PARTITION BY label) AS n FROM s)"""
+
+
+@register("stratified_exact_split", f"""
+WITH {RANK_SQL}
+SELECT application_id, label, CASE WHEN pos <= floor(n * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM k
+""")
+def q_stratified_exact_split(spark, sf_dir):
+    """B23 with exact class ratios."""
+    s = tb.scored_population(spark, sf_dir)
+    return rank.stratified_split(s, "application_id").select("application_id", "label", "split")
+
+
+@register("stratified_folds", f"""
+WITH {RANK_SQL}
+SELECT application_id, label, CAST((pos - 1) % 5 AS INTEGER) AS fold FROM k
+""")
+def q_stratified_folds(spark, sf_dir):
+    """F5 with equal folds per class."""
+    s = tb.scored_population(spark, sf_dir)
+    return rank.stratified_folds(s, "application_id").select("application_id", "label", "fold")

@@ -20,6 +20,7 @@ from lendlens.operators import features as feat
 from lendlens.operators import log as plog
 from lendlens.operators import model as mdl
 from lendlens.operators import tree_shap as shap
+from lendlens.operators.rank import stratified_split
 from lendlens.session import ensure_checkpoint_dir
 
 
@@ -40,7 +41,7 @@ def with_statement_features(applications: DataFrame, statements: DataFrame | Non
 def train_job(df: DataFrame, key: str, label: str, numeric: list[str], categorical: list[str], test_fraction: float = 0.2,
               seed: int = 42, statements: DataFrame | None = None, save_to: str | None = None, trained_at: str | None = None,
               min_rows: int = 100, **gbt_params):
-    """dedupe -> statement features -> hash split -> class weights -> fit on train
+    """dedupe -> statement features -> exact stratified split -> class weights -> fit on train
     only -> evaluate -> save with metadata.
 
     Of rows with one key the smallest by all other columns stays. Returns (model,
@@ -54,7 +55,7 @@ def train_job(df: DataFrame, key: str, label: str, numeric: list[str], categoric
     if not bal.is_binary:
         raise ValueError("label must have two classes")
     data = cl.interaction_features(with_statement_features(data, statements, key))
-    split = cl.stratified_hash_split(data, key, label, test_fraction, seed).checkpoint()
+    split = stratified_split(data, key, label, test_fraction, seed).checkpoint()
     train = mdl.class_weight_column(split.filter(F.col("split") == "train"), label)
     test = split.filter(F.col("split") == "test")
     model = mdl.gbt_pipeline(numeric, categorical, label=label, weight_col="weight", seed=seed, **gbt_params) \
