@@ -8,8 +8,10 @@ from math import factorial
 from pyspark.sql import functions as F
 
 from lendlens.operators import model as mdl
+from lendlens.operators import neighbours as nb
 from lendlens.operators import rank
 from lendlens.operators import tree_shap as ts
+from lendlens.operators.rank import written
 from lendlens.plans.catalog import SCORED_SQL, fit_document_model, register
 from lendlens.plans.oracle_util import r, round_doubles
 from lendlens.sources import tables as tb
@@ -111,3 +113,38 @@ def q_stratified_folds(spark, sf_dir):
     """F5 with equal folds per class."""
     s = tb.scored_population(spark, sf_dir)
     return rank.stratified_folds(s, "application_id").select("application_id", "label", "fold")
+
+
+# ---------------------------------------------------------------------------
+# Neighbours of the minority and synthetic rows between them
+# ---------------------------------------------------------------------------
+@register("minority_neighbours", f"""
+WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE label = 0),
+d AS (SELECT a.vec_id, b.vec_id AS neighbour, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS distance
+      FROM m a JOIN m b ON a.vec_id <> b.vec_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour) AS pos FROM d)
+SELECT vec_id, CAST(pos AS INTEGER) AS rank, neighbour, {r('distance', 'distance')} FROM k WHERE pos <= 5
+""")
+def q_minority_neighbours(spark, sf_dir):
+    """The five nearest minority rows of every minority row, over all components."""
+    e = tb.table(spark, sf_dir, "embeddings").filter("label = 0")
+    found = nb.neighbours(e, "vec_id", "embedding", 5)
+    return round_doubles(found.select(F.col("id").alias("vec_id"), "rank", "neighbour", "distance"))
+
+
+@register("synthetic_pairs", """
+WITH c AS (SELECT count(*) FILTER (WHERE label <> 0) AS n0, count(*) FILTER (WHERE label = 0) AS n1 FROM embeddings)
+SELECT n0 - n1 AS synthetic, n0 - n1 AS on_their_segment, n0 - n1 AS neighbour_is_near, n0 // n1 - 1 AS least, (n0 + n1 - 1) // n1 - 1 AS most FROM c
+""")
+def q_synthetic_pairs(spark, sf_dir):
+    """every synthetic row lies between its own row and one of that row's five nearest, in all components."""
+    e = tb.table(spark, sf_dir, "embeddings")
+    n0, n1 = e.agg(F.count_if(F.col("label") != 0), F.count_if(F.col("label") == 0)).first()
+    rows = e.filter("label = 0").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    made = written(nb.synthetic(rows, "id", "x", n0 - n1), "synthetic")
+    near = nb.neighbours(rows, "id", "x", 5).select("id", "neighbour", F.lit(True).alias("is_near"))
+    ends = made.join(rows, "id").join(rows.select(F.col("id").alias("neighbour"), F.col("x").alias("y")), "neighbour").join(near, ["id", "neighbour"], "left")
+    off = F.aggregate(F.zip_with("vector", F.zip_with("x", "y", lambda a, b: a + F.col("u") * (b - a)), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, v: F.greatest(a, v))
+    counted = ends.groupBy("id").agg(F.count("*").alias("n"), F.count_if(off < 1e-9).alias("on_segment"), F.count_if("is_near").alias("near"))
+    return counted.agg(F.sum("n").alias("synthetic"), F.sum("on_segment").alias("on_their_segment"), F.sum("near").alias("neighbour_is_near"),
+                       F.min("n").alias("least"), F.max("n").alias("most"))
