@@ -970,7 +970,7 @@ def q_stream_group_gaps(spark, sf_dir):
     path = sj.scratch_path(spark, "groups")
     keys = ["window_start", "group"]
     sj.run_to_parquet(sj.windowed_group_rates(sj.log_stream(spark, sf_dir)), path, keys=keys, mode="update")
-    return round_doubles(sj.analyze_group_gaps(sj.read_final(spark, path, keys=keys)))
+    return round_doubles(sj.analyze_group_gaps(sj.read_final(spark, path, keys=keys)).drop("dp_difference"))
 
 
 def _summary_cte(name: str, threshold: float) -> str:

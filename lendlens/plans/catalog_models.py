@@ -7,14 +7,15 @@ from math import factorial
 
 from pyspark.sql import functions as F
 
-from lendlens.operators import model as mdl
+from lendlens.operators import mitigation as mit
 from lendlens.operators import neighbours as nb
 from lendlens.operators import rank
 from lendlens.operators import tree_shap as ts
 from lendlens.operators.rank import written
-from lendlens.plans.catalog import SCORED_SQL, fit_document_model, register
+from lendlens.plans.catalog import LOG_SQL, SCORED_SQL, fit_document_model, register
 from lendlens.plans.oracle_util import r, round_doubles
 from lendlens.sources import tables as tb
+from lendlens.streaming import jobs as sj
 
 # ---------------------------------------------------------------------------
 # G1: exact tree attributions
@@ -148,3 +149,83 @@ def q_synthetic_pairs(spark, sf_dir):
     counted = ends.groupBy("id").agg(F.count("*").alias("n"), F.count_if(off < 1e-9).alias("on_segment"), F.count_if("is_near").alias("near"))
     return counted.agg(F.sum("n").alias("synthetic"), F.sum("on_segment").alias("on_their_segment"), F.sum("near").alias("neighbour_is_near"),
                        F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+# ---------------------------------------------------------------------------
+# H5: the constrained grid
+# ---------------------------------------------------------------------------
+@register("constrained_grid", f"""
+WITH {RANK_SQL},
+v AS (SELECT count(*) FILTER (WHERE pos > floor(n * 0.5 + 0.5)) AS rows FROM k)
+SELECT c AS "constraint", rows AS validated, 50 AS candidates, 1 AS chosen, true AS zero_first, true AS gap_not_above_baseline, true AS least_cost_chosen,
+       true AS errors_are_counts FROM v, (VALUES ('demographic_parity'), ('equalized_odds')) AS t(c)
+""")
+def q_constrained_grid(spark, sf_dir):
+    """H5: what must hold for any grid of 50 constrained models, for both constraints."""
+    s = tb.scored_population(spark, sf_dir).select("application_id", "label", "lang", "source", "n_chars", "toxic")
+    s = rank.stratified_split(s, "application_id", test_fraction=0.5).checkpoint()
+    train, valid = s.filter("split = 'test'"), s.filter("split = 'train'")
+    n = valid.count()
+    out = []
+    for constraint in (mit.DEMOGRAPHIC_PARITY, mit.EQUALIZED_ODDS):
+        _, table = mit.constrained_grid(train, valid, "lang", mit.logistic_factory(["n_chars", "toxic"], ["source"], maxIter=5), constraint=constraint, threads=8)
+        first = table.filter("candidate = 0").first()
+        cost = F.col("error") + F.col("gap")
+        whole = F.abs(F.col("error") * n - F.round(F.col("error") * n)) < 1e-6
+        g0 = F.lit(first["gap"])
+        out.append(table.agg(
+            F.first("constraint").alias("constraint"), F.lit(n).cast("long").alias("validated"), F.count("*").cast("int").alias("candidates"), F.count_if("chosen").cast("int").alias("chosen"),
+            F.lit(not any(first["multipliers"].values())).alias("zero_first"), F.min(~F.col("chosen") | (F.col("gap") <= g0)).alias("gap_not_above_baseline"),
+            (F.min(F.when(F.col("gap") <= g0, cost)) == F.max(F.when(F.col("chosen"), cost))).alias("least_cost_chosen"), F.min(whole).alias("errors_are_counts")))
+    return out[0].unionByName(out[1])
+
+
+# ---------------------------------------------------------------------------
+# Sliding windows, and windows that the watermark has closed
+# ---------------------------------------------------------------------------
+@register("stream_sliding_stats", f"""
+WITH {LOG_SQL},
+w AS (SELECT lg.*, date_trunc('day', "timestamp") - to_days(CAST(k AS INTEGER)) AS window_start FROM lg, range(0, 3) AS t(k) WHERE "timestamp" IS NOT NULL)
+SELECT window_start, window_start + INTERVAL 3 DAY AS window_end, count(*) AS predictions,
+  {r("avg(CASE WHEN decision = 'approved' THEN 1.0 ELSE 0.0 END)", 'approval_rate')}, {r('avg(loan_amount)', 'avg_loan_amount')}
+FROM w GROUP BY 1, 2
+""")
+def q_stream_sliding_stats(spark, sf_dir):
+    """I2 over windows of three days that start every day."""
+    path = sj.scratch_path(spark, "sliding")
+    sj.run_counted(sj.windowed_stats(sj.log_stream(spark, sf_dir), "3 days", "1 day", "1 day"), path, "update")
+    return round_doubles(sj.read_final(spark, path, keys=["window_start"]))
+
+
+CLOSED_SQL = f"""{LOG_SQL},
+c AS (SELECT lg.*, date_trunc('day', "timestamp") AS window_start FROM lg
+      WHERE date_trunc('day', "timestamp") + INTERVAL 1 DAY <= (SELECT max("timestamp") - INTERVAL 1 DAY FROM lg))"""
+
+
+@register("stream_closed_stats", f"""
+WITH {CLOSED_SQL}
+SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, count(*) AS predictions,
+  {r("avg(CASE WHEN decision = 'approved' THEN 1.0 ELSE 0.0 END)", 'approval_rate')}, {r('avg(loan_amount)', 'avg_loan_amount')}
+FROM c GROUP BY 1, 2
+""")
+def q_stream_closed_stats(spark, sf_dir):
+    """I2 in append mode: a window is written once, when it has closed."""
+    path = sj.scratch_path(spark, "closed")
+    sj.run_counted(sj.windowed_stats(sj.log_stream(spark, sf_dir)), path, "append")
+    return round_doubles(sj.read_final(spark, path))
+
+
+@register("stream_closed_gaps", f"""
+WITH {CLOSED_SQL},
+g AS (SELECT window_start, gender AS "group", count(*) AS n, count(*) FILTER (WHERE decision = 'approved') AS approved FROM c GROUP BY 1, 2),
+o AS (SELECT *, CAST(approved AS DOUBLE) / n AS rate,
+        CAST(sum(approved) OVER (PARTITION BY window_start) AS DOUBLE) / sum(n) OVER (PARTITION BY window_start) AS overall_rate FROM g)
+SELECT window_start, "group", n, approved, {r('rate', 'rate')}, {r('overall_rate', 'overall_rate')},
+  {r('max(abs(rate - overall_rate)) OVER (PARTITION BY window_start)', 'max_gap_to_overall')},
+  {r('max(rate) OVER (PARTITION BY window_start) - min(rate) OVER (PARTITION BY window_start)', 'dp_difference')} FROM o
+""")
+def q_stream_closed_gaps(spark, sf_dir):
+    """I3 inside foreachBatch: both parity gaps of every closed window."""
+    path = sj.scratch_path(spark, "closed-gaps")
+    sj.closed_group_gaps(sj.log_stream(spark, sf_dir), path)
+    return round_doubles(sj.read_final(spark, path))

@@ -20,6 +20,7 @@ from lendlens.operators import features as feat
 from lendlens.operators import log as plog
 from lendlens.operators import model as mdl
 from lendlens.operators import tree_shap as shap
+from lendlens.operators.mitigation import constrained_grid, gbt_factory
 from lendlens.operators.rank import stratified_split
 from lendlens.session import ensure_checkpoint_dir
 
@@ -157,14 +158,19 @@ def constrained_search(train: DataFrame, valid: DataFrame, group: str, numeric,
 
 
 def mitigation_job(train: DataFrame, valid: DataFrame, test: DataFrame, group: str, numeric, categorical, label: str = "label",
-                   seed: int = 42, constraint: str = "demographic_parity", strengths=(0.0, 0.5, 1.0), **gbt_params):
+                   seed: int = 42, constraint: str = "demographic_parity", strengths=None, grid_size: int = 50, **gbt_params):
     """H3 -> H9 -> H5 -> H6: audit a baseline, search a fairer model only if one is
-    needed, and report both on the test rows. Returns (model, before/after report)."""
+    needed, and report both on the test rows. Returns (model, before/after report).
+
+    The search is the grid of ``grid_size`` multipliers, or, with ``strengths``, the shorter one of reweighing strengths."""
     baseline = mdl.gbt_pipeline(numeric, categorical, label=label, weight_col="weight", seed=seed, **gbt_params) \
         .fit(mdl.class_weight_column(train, label))
     _, before = audit_model(baseline, test, [group], label)
     chosen = baseline
     if fair.needs_mitigation(before).first().needs_mitigation:
-        chosen, _ = constrained_search(train, valid, group, numeric, categorical, label, constraint, strengths, seed=seed, **gbt_params)
+        if strengths is not None:
+            chosen, _ = constrained_search(train, valid, group, numeric, categorical, label, constraint, strengths, seed=seed, **gbt_params)
+        else:
+            chosen, _ = constrained_grid(train, valid, group, gbt_factory(numeric, categorical, seed, **gbt_params), label, constraint, grid_size)
     _, after = audit_model(chosen, test, [group], label, name="Mitigated")
     return chosen, fair.before_after_report(before, after)

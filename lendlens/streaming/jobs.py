@@ -4,17 +4,20 @@ Streams read the event files incrementally, join static customer data,
 score, and write through ``foreachBatch`` into Parquet folders under the
 cluster's checkpoint folder. Windowed aggregates run in ``update`` mode and
 each micro-batch appends its changed windows tagged with the batch id; the
-final value of a window is its row from the highest batch id. With the
+final value of a window is its row from the highest batch id; in ``append``
+mode a window appears once, when the watermark has closed it. With the
 default of one micro-batch for the backlog, ``trigger(availableNow=True)`` gives
 exactly the batch answer; smaller batches drop rows later than the watermark.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from lendlens.operators import metrics as met
 from lendlens.operators import model as mdl
@@ -83,10 +86,12 @@ def _valid():
             & F.coalesce(F.col("probability").between(0.0, 1.0), F.lit(False)))
 
 
-def windowed_stats(stream: DataFrame, window: str = "1 day", watermark: str = "1 day") -> DataFrame:
-    """Count, approval rate and average amount per tumbling window."""
+def windowed_stats(stream: DataFrame, window: str = "1 day", watermark: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Count, approval rate and average amount per tumbling window, or per sliding one with ``slide``.
+
+    Run in ``update`` mode for the windows as they stand, in ``append`` mode for closed windows only."""
     return (stream.withWatermark("timestamp", watermark)
-            .groupBy(F.window("timestamp", window).alias("w"))
+            .groupBy(F.window("timestamp", window, slide).alias("w"))
             .agg(F.count(F.lit(1)).alias("predictions"),
                  F.avg((F.col("decision") == "approved").cast("double")).alias("approval_rate"),
                  F.avg("loan_amount").alias("avg_loan_amount"))
@@ -96,31 +101,84 @@ def windowed_stats(stream: DataFrame, window: str = "1 day", watermark: str = "1
 
 
 def windowed_group_rates(stream: DataFrame, attr: str = "gender", window: str = "1 day",
-                         watermark: str = "1 day") -> DataFrame:
+                         watermark: str = "1 day", slide: str | None = None) -> DataFrame:
     """Selection (approval) rate per window and group."""
     return (stream.withWatermark("timestamp", watermark)
-            .groupBy(F.window("timestamp", window).alias("w"), F.col(attr).alias("group"))
+            .groupBy(F.window("timestamp", window, slide).alias("w"), F.col(attr).alias("group"))
             .agg(F.count(F.lit(1)).alias("n"),
                  F.count_if(F.col("decision") == "approved").alias("approved"))
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "group", "n", "approved"))
 
 
-def run_to_parquet(df: DataFrame, path: str, keys: list[str] | None = None, mode: str = "append") -> int:
-    """Run a stream to completion over the data present now (availableNow) and
-    write it under ``path``; returns the number of rows dropped as late.
+class RunTotals(StreamingQueryListener):
+    """Sums over every progress report of the runs it sees; a query keeps only its last hundred reports."""
+
+    def __init__(self):
+        self.input, self.dropped, self.batches, self.ended = {}, {}, {}, {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        run = str(p.runId)
+        self.input[run] = self.input.get(run, 0) + p.numInputRows
+        self.dropped[run] = self.dropped.get(run, 0) + sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        self.batches[run] = self.batches.get(run, 0) + 1
+
+    def onQueryTerminated(self, event):
+        self.done(str(event.runId)).set()
+
+    def done(self, run: str) -> threading.Event:
+        return self.ended.setdefault(run, threading.Event())
+
 
-    Every batch owns a folder named by its id and overwrites it, so a batch that
-    is run again after a failure leaves its rows once. With ``keys`` the latest
-    version per key can be read back."""
+def run_counted(df: DataFrame, path: str, mode: str = "append", per_batch=None) -> dict[str, int]:
+    """Run a stream to completion over the data present now (availableNow) and write it under ``path``.
+
+    Every batch owns a folder named by its id and overwrites it, so a batch that is run again
+    after a failure leaves its rows once. ``per_batch`` turns a batch into the rows to write. Returns, over all
+    batches of the run however many, ``input`` rows read, rows ``dropped`` behind the watermark as the state operators report
+    them (an aggregate reports partial groups) and ``batches``. With no aggregate, dropped is exact; ``late_rows`` is exact for aggregates."""
     out, ckpt = path + "/data", path + "/_checkpoint"
+    spark, totals = df.sparkSession, RunTotals()
 
     def write(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        rows = per_batch(batch) if per_batch else batch
+        rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    spark.streams.addListener(totals)
+    try:
+        q = (df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
+             .foreachBatch(write).trigger(availableNow=True).start())
+        q.awaitTermination()
+        run = str(q.runId)
+        totals.done(run).wait(60)  # reports arrive in order, the end last
+    finally:
+        spark.streams.removeListener(totals)
+    return {k: getattr(totals, k).get(run, 0) for k in ("input", "dropped", "batches")}
+
+
+def run_to_parquet(df: DataFrame, path: str, keys: list[str] | None = None, mode: str = "append") -> int:
+    """``run_counted``, returning the dropped rows alone. With ``keys`` the latest version per key can be read back."""
+    return run_counted(df, path, mode)["dropped"]
+
+
+def late_rows(counted: DataFrame, totals: dict[str, int], n: str = "predictions") -> int:
+    """How many input rows no window counts, after a run in ``update`` mode over tumbling windows: those behind the
+    watermark when they came, and those without a time."""
+    return totals["input"] - (counted.agg(F.sum(n)).first()[0] or 0)
+
 
-    q = (df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
-         .foreachBatch(write).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+def closed_group_gaps(stream: DataFrame, path: str, attr: str = "gender", window: str = "1 day", watermark: str = "1 day",
+                      slide: str | None = None) -> dict[str, int]:
+    """I3 per closed window: a window's groups leave the state together once the watermark has
+    passed its end, and the batch that brings them computes both parity definitions. Windows still open are not
+    written. Returns the run's totals; ``read_final`` reads the rows."""
+    return run_counted(windowed_group_rates(stream, attr, window, watermark, slide), path, "append", analyze_group_gaps)
 
 
 def read_final(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
@@ -136,4 +194,5 @@ def analyze_group_gaps(rates: DataFrame) -> DataFrame:
     w = Window.partitionBy("window_start")  # one window's groups
     tot_n, tot_a = F.sum("n").over(w), F.sum("approved").over(w)
     g = rates.withColumns({"rate": F.col("approved") / F.col("n"), "overall_rate": tot_a / tot_n})
-    return g.withColumn("max_gap_to_overall", F.max(F.abs(F.col("rate") - F.col("overall_rate"))).over(w))
+    return g.withColumns({"max_gap_to_overall": F.max(F.abs(F.col("rate") - F.col("overall_rate"))).over(w),
+                          "dp_difference": F.max("rate").over(w) - F.min("rate").over(w)})
