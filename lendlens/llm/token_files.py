@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +43,7 @@ BLOCK_TOKENS = 1 << 18
 # letters and numbers of these ranges are the same in every Unicode version, are
 # single code points in NFC and change case one by one
 PLAIN = [chr(c) for lo, hi in ((0x20, 0x7E), (0xA1, 0x12F), (0x131, 0x17F)) for c in range(lo, hi + 1)]
-CACHE = 400_000
+WORDS_KEPT, PIECES_KEPT = 400_000, 250_000  # entries of a generation of the words and of the pre-tokens that an encoder remembers
 
 
 def byte_letters() -> dict[int, str]:
@@ -61,7 +63,7 @@ class PieceEncoder:
     BPE works on each pre-token alone. Where the file lower-cases, joins blanks
     and splits by a pattern, texts of plain characters are split here by the same
     pattern and only pre-tokens not seen before go to the library. Any other
-    text or file goes to the library whole. Both memories are emptied at CACHE entries.
+    text or file goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -72,8 +74,7 @@ class PieceEncoder:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.width = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Memory(WORDS_KEPT), Memory(PIECES_KEPT)
         self.split = self._pattern(spec)
 
     @staticmethod
@@ -95,33 +96,49 @@ class PieceEncoder:
         """The ids of one text, in ``width``."""
         if self.split is None or not self.split[0].fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        words, known = text.lower().split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        cuts = [self.split[1].findall(w) for w in new]
-        self._learn(dict.fromkeys(p for cut in cuts for p in cut))
-        pieces = self.pieces
-        for w, cut in zip(new, cuts, strict=True):
-            known[w] = b"".join([pieces[p] for p in cut])
-        return b"".join([known[w] for w in words])
-
-    def _learn(self, wanted: dict[str, None]) -> None:
+        words = text.lower().split()
+        new = self.words.missing(set(words))
+        known = self.words.now
+        if new:
+            cuts = [self.split[1].findall(w) for w in new]
+            self._learn({p for cut in cuts for p in cut})
+            piece = self.pieces.now.__getitem__
+            for w, cut in zip(new, cuts, strict=True):
+                known[w] = piece(cut[0]) if len(cut) == 1 else b"".join(map(piece, cut))
+        return b"".join(map(known.__getitem__, words))
+
+    def _learn(self, wanted: set[str]) -> None:
         """Encode the pre-tokens not known yet, with the library's model alone."""
-        new = [p for p in wanted if p not in self.pieces]
-        if len(self.pieces) + len(new) > CACHE:
-            self.pieces.clear()
-            new = list(wanted)
-        if not new:
-            return
-        tokenize, letters = self.library.model.tokenize, BYTE_LETTERS
+        tokenize, letters, code = self.library.model.tokenize, BYTE_LETTERS, "H" if self.width == "<u2" else "I"
+        new = self.pieces.missing(wanted)
+        pieces = self.pieces.now
         for p in new:
-            ids = [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]
-            self.pieces[p] = np.array(ids, self.width).tobytes()
+            ids = array(code, [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))])
+            if sys.byteorder == "big":
+                ids.byteswap()
+            pieces[p] = ids.tobytes()
+
+
+class Memory:
+    """Two generations of at most ``size`` entries each: what a full generation holds is forgotten
+    unless it is asked for while the next one fills, so frequent entries stay."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.before = size, {}, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """The entries that are not known; the others are in ``now`` afterwards, and there is room for the missing."""
+        unknown = wanted.difference(self.now)
+        if not unknown:
+            return []
+        if len(self.now) + len(unknown) > self.size:
+            self.before, self.now = self.now, {}
+            unknown = wanted
+        now, before = self.now, self.before
+        out = list(unknown.difference(before))
+        if len(out) < len(unknown):
+            now.update((w, before[w]) for w in unknown if w in before)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -133,16 +150,39 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tokens): the ids of every whole text and ``end_id``, as zstd-compressed unsigned integers."""
+    """(id, tokens, counts): the ids of every whole text and ``end_id``, as zstd-compressed unsigned integers.
+
+    Each task adds a row without tokens whose ``counts`` say how often it wrote each id, as compressed
+    64-bit integers, so that nobody needs to unpack the ids to count them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, press = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], enc.width).tobytes()
+        end, total, held, size = np.array([end_id], enc.width).tobytes(), np.zeros(1, np.int64), [], 0
+        kind = None
+
+        def add(held, total):
+            found = np.bincount(np.frombuffer(b"".join(held), enc.width))
+            if len(found) > len(total):
+                total = np.concatenate((total, np.zeros(len(found) - len(total), np.int64)))
+            total[:len(found)] += found
+            return total
+
         for b in batches:
-            packed = [press.compress(enc.encode(t.as_py() or "") + end) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["id", "tokens"])
+            kind, packed = b.column(0).type, []
+            for t in b.column(1):
+                ids = enc.encode(t.as_py() or "") + end
+                packed.append(press.compress(ids))
+                held.append(ids)
+                size += len(ids)
+                if size > 1 << 22:
+                    total, held, size = add(held, total), [], 0
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.nulls(len(b), pa.binary())], names=["id", "tokens", "counts"])
+        if kind is not None:
+            total = add(held, total)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([press.compress(total.tobytes())], pa.binary())],
+                                             names=["id", "tokens", "counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, tokens binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, tokens binary, counts binary")
 
 
 # ------------------------------------------------------------------- the code
@@ -233,9 +273,9 @@ def unpack(payload: bytes, steps: bytes, n: int, code: Code, table: tuple[np.nda
 
 def write_token_files(tokens: DataFrame, path: str, width: str, max_bits: int = MAX_BITS,
                       block_tokens: int = BLOCK_TOKENS) -> None:
-    """Write (id, tokens) rows, in ascending id order, as a token file set.
+    """Write the rows of ``tokenize``, in ascending id order, as a token file set.
 
-    ``tokens`` is read twice (for the counts and for the blocks): pass a table.
+    ``tokens`` is read twice (the counts, then the ids): pass a table.
     Null ids come first; equal ids keep to one order. The code
     table reaches the driver: it has a row per token of the vocabulary.
     """
@@ -245,15 +285,16 @@ def write_token_files(tokens: DataFrame, path: str, width: str, max_bits: int =
         un, total = zstandard.ZstdDecompressor(), np.zeros(0, np.int64)
         for b in batches:
             for t in b.column(0):
-                found = np.bincount(np.frombuffer(un.decompress(t.as_py()), width))
+                found = np.frombuffer(un.decompress(t.as_py()), np.int64)
                 if len(found) > len(total):
                     total = np.concatenate((total, np.zeros(len(found) - len(total), np.int64)))
                 total[: len(found)] += found
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["token", "n"])
 
-    counts = tokens.select("tokens").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")) \
+    counts = tokens.filter("counts IS NOT NULL").select("counts").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")) \
         .orderBy("token").collect()
+    tokens = tokens.filter("tokens IS NOT NULL").select("id", "tokens")
     symbols = np.array([r["token"] for r in counts], np.int64)
     lengths = code_lengths(np.array([r["n"] for r in counts], np.int64), max_bits)
 
