@@ -71,7 +71,7 @@ def test_links_of_lines_of_every_length(spark, edits):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def brute(docs, edits=2, least=0):
+def brute(docs, edits=2, least=0, with_links=False):
     """{(id, text, line_no): (class place, copies, links)} by comparing all pairs."""
     occ = [((i is not None, i), t, k, line) for i, t in docs if t is not None for k, line in enumerate(t.split("\n")) if line.strip(" \t\n\r\x0b\x0c")]
     texts = sorted({o[3] for o in occ})
@@ -92,9 +92,70 @@ def brute(docs, edits=2, least=0):
                     todo.append(o)
             for m in members:
                 group[m] = frozenset(members)
+    if with_links:
+        return {o: (None, None, None, links[o[3]]) for o in occ}
     return {o: ({p[:3] for p in occ if p[3] in group[o[3]]}, sum(p[3] == o[3] for p in occ), len(links[o[3]])) for o in occ}
 
 
+def staying(spark, docs, edits=2):
+    """The texts that stay, taken in the order of their hashes, and {text: (id, line_no) of its first place}."""
+    first, links = {}, {}
+    for (key, _, k, line), (_, _, _, near) in brute(docs, edits, with_links=True).items():
+        first[line] = min(first.get(line, (key, k)), (key, k))
+        links[line] = near
+    hashes = {r.x: r.h for r in spark.createDataFrame([(x,) for x in links], "x string").select("x", F.xxhash64("x").alias("h")).collect()}
+    stays = set()
+    for line in sorted(links, key=lambda x: hashes[x]):
+        if not links[line] & stays:
+            stays.add(line)
+    return stays, {x: (key[1], k) for x, (key, k) in first.items()}
+
+
+def templated(spark, n):
+    return spark.range(n).select(F.col("id").alias("line_id"), F.format_string("Order number %06d has been shipped to the customer today", "id").alias("line"))
+
+
+@pytest.mark.parametrize("crowd,few", [(512, 200_000), (8, 200_000), (8, 0)])
+def test_crowded_keys_lose_no_link(spark, crowd, few):
+    rows = templated(spark, 120).collect()
+    got = [(r.a, r.b) for r in ld.links(templated(spark, 120), 2, broadcast_lines=few, crowd=crowd).collect()]
+    want = {(a.line_id, b.line_id) for a in rows for b in rows if a.line_id < b.line_id and distance(a.line, b.line) <= 2}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_lines_that_go_are_near_one_that_stays(spark):
+    """Chains of near lines: nothing goes that is farther than the limit from what stays, and what stays does not link."""
+    rng = random.Random(8)
+    lines = {"As.", "Erearend.", "Ontion.", "Pation.", "Thing."}
+    for _ in range(5):
+        line = "".join(rng.choice("abcdef") for _ in range(rng.randrange(3, 30)))
+        for _ in range(12):
+            lines.add(line)
+            line = edited(rng, line, 2) or "z"
+    docs = [(i, x) for i, x in enumerate(sorted(x for x in lines if x.strip()))] + [(500, "As.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.id: r for r in ld.line_classes(df).withColumn("kept", ld.is_first()).collect()}
+    text = dict(docs)
+    stay = [text[i] for i, r in found.items() if r.kept]
+    assert set(stay) == staying(spark, docs)[0] and len(stay) == len(set(stay))
+    for i, r in found.items():
+        assert r.kept or min(distance(text[i], x) for x in stay) <= 2
+    assert all(distance(a, b) > 2 for a in stay for b in stay if a < b)
+    out = {r.doc_id: r.text for r in ld.drop_repeated_lines(df, max_loss=None).collect()}
+    assert {x for x in out.values() if x} == set(stay)
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    names = ["row", "key", "hash", "id", "th", "drop", "lost", "cells", "line", "line_no", "chars", "h1", "_drop", "_id", "_th", "_none", "_text_hash", "rows"]
+    df = spark.createDataFrame([(1, "a first line here\nsecond one there"), (2, "a first line here\nown words, and many"), (None, None)], "doc_id long, text string")
+    wide = df.select("*", *[F.lit(f"{n}!").alias(n) for n in names])
+    out = ld.drop_repeated_lines(wide, max_loss=None)
+    assert out.columns == wide.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[2].text == "own words, and many" and got[1].text == df.first().text and got[None].text is None
+    assert all(r[n] == f"{n}!" for r in got.values() for n in names)
+
+
 def test_classes_on_awkward_documents(spark):
     docs = awkward_docs(spark, 25)
     rows = [(r.doc_id, r.text) for r in docs.collect()]

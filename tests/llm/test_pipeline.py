@@ -8,7 +8,7 @@ from lendlens.llm import best_fit_packing as bp
 from lendlens.llm import catalog, quality_rules
 from lendlens.llm.common import staged
 from tests.conftest import SF
-from tests.llm.test_line_dedup import brute
+from tests.llm.test_line_dedup import staying
 from tests.llm.test_simhash_dedup import groups, plain
 
 
@@ -45,13 +45,11 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
     rows = {i: t for i, t in rows.items() if not fails(t)}
     assert {r.doc_id: r.text for r in out["quality_rules"]} == rows
     # lines
-    found = brute(list(rows.items()))
-    keep = {}
-    for (known, text, k, line), (places, _, _) in found.items():
-        keep[known[1], k] = (known, text, k) == min(places, key=lambda p: (p[0], p[2]))
+    stays, first = staying(spark, list(rows.items()))
     new = {}
     for i, t in rows.items():
         lines = t.split("\n")
+        keep = {(i, k): x in stays and first[x] == (i, k) for k, x in enumerate(lines) if x.strip(" \t\n\r\x0b\x0c")}
         new[i] = "\n".join(x for k, x in enumerate(lines) if keep.get((i, k), True))
         if not any(keep.get((i, k)) for k in range(len(lines))):
             del new[i]
