@@ -93,19 +93,15 @@ def _identity(line: str = "line") -> list[Column]:
 
 
 def trimmed(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
-    """``pairs`` with the texts ``a`` and ``b`` cut at both ends where they agree, but for a little more than ``edits`` characters.
+    """``pairs`` with the texts ``a`` and ``b`` cut at both ends where they agree; a few more characters than ``edits`` stay.
 
     What agrees at an end adds nothing to the distance, and lines of one template agree nearly everywhere."""
-    def cut(pairs, part):
-        for k in (512, 256, 128, 64, 32, 16, 8, 4):
-            long = (F.length(a) > k + edits) & (F.length(b) > k + edits)
-            same = long & (F.expr(part.format(a, k + edits + 1)) == F.expr(part.format(b, k + edits + 1)))
+    for side, keep in (("left({}, {})", "substring({0}, _cut + 1)"), ("right({}, {})", "left({0}, length({0}) - _cut)")):
+        for k in (512, 256, 128, 64, 32, 16, 8, 4, 2, 1):
+            same = (F.length(a) > k + edits) & (F.length(b) > k + edits) & (F.expr(side.format(a, k)) == F.expr(side.format(b, k)))
             pairs = pairs.withColumn("_cut", F.when(same, k).otherwise(0))
-            keep = "substring({0}, _cut + 1)" if part.startswith("left") else "left({0}, length({0}) - _cut)"
-            pairs = pairs.withColumns({c: F.expr(keep.format(c)) for c in (a, b)})
-        return pairs.drop("_cut")
-
-    return cut(cut(pairs, "left({}, {})"), "right({}, {})")
+            pairs = pairs.withColumns({c: F.when(F.col("_cut") > 0, F.expr(keep.format(c))).otherwise(F.col(c)) for c in (a, b)})
+    return pairs.drop("_cut")
 
 
 def meetings(filed: DataFrame, asked: DataFrame, crowd: int) -> DataFrame:
