@@ -114,12 +114,13 @@ def meetings(filed: DataFrame, asked: DataFrame, crowd: int) -> DataFrame:
 
 
 def met(rows: DataFrame, filed: Column, few: int) -> DataFrame:
-    """The ``rows`` (key, line_id, ...) of keys that a filed line shares with another line, with the key's number of ``rows``.
+    """The ``rows`` (key, line_id, ...) of keys of several rows, a filed one among them, with the key's number of ``rows``.
 
     Keys are counted with partial sums, so a crowded key is no crowded task. Those wanted go to all tasks
     if there are at most ``few``, and by a join that splits crowded keys otherwise."""
-    keys = rows.groupBy("key").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi"), F.max(filed).alias("filed"), F.count("*").alias("rows")) \
-        .filter("filed AND lo <> hi").select("key", "rows")
+    # one sum holds both numbers; a line that meets only itself is found out later
+    both = F.sum(F.when(filed, F.lit((1 << 40) + 1)).otherwise(F.lit(1)).cast("long"))
+    keys = rows.groupBy("key").agg(both.alias("both")).filter(f"both > {(1 << 40) + 1}").select("key", (F.col("both") % (1 << 40)).alias("rows"))
     keys = staged(keys, "met-keys")
     if keys.count() <= few:
         return rows.join(F.broadcast(keys), "key")
@@ -138,7 +139,7 @@ def links(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, b
     long = distinct.select("line_id", "line", F.length("line").alias("n")).filter(F.col("n") >= min_chars)
     at = places(edits)
     own = F.col("place").isin([i for i, (d, _, t) in enumerate(at) if d == 0 and t == 0])
-    found = staged(met(staged(keyed(long, edits, min_chars), "line-keys", "none"), own, broadcast_lines), "met")
+    found = staged(met(staged(keyed(long, edits, min_chars), "line-keys", "snappy"), own, broadcast_lines), "met")
     wanted = staged(found.select("line_id").distinct(), "met-lines")
     small = wanted.count() <= broadcast_lines
     texts = long.join(F.broadcast(wanted) if small else wanted, "line_id", "left_semi") \
