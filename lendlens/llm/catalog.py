@@ -17,7 +17,7 @@ from lendlens.llm import metric_search as ms
 from lendlens.llm import periodic_runs as pr
 from lendlens.llm import substring_dedup as sub
 from lendlens.llm import url_rules as ur
-from lendlens.llm.common import documents, shared_folder, staged
+from lendlens.llm.common import documents, joined, shared_folder, staged
 
 QUERIES = {}
 SQL = {}
@@ -115,8 +115,8 @@ def packing_input(docs):
     """Documents with their length in words and their cluster of near copies, null for a null text."""
     fps = staged(sd.fingerprints(docs, carried={
         "source": F.col("source"), "size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)), "known": F.col("text").isNotNull()}), "packing-input")
-    root = sd.roots(fps, F.col("id")).select("fp", "root")
-    return fps.join(root, "fp").select(F.col("id").alias("doc_id"), "source", "size", F.when(F.col("known"), F.col("root")).alias("cluster"))
+    root = sd.roots(fps, F.col("id")).select("fp", "rows", "root")
+    return joined(fps, root, ["fp"], fps.count()).select(F.col("id").alias("doc_id"), "source", "size", F.when(F.col("known"), F.col("root")).alias("cluster"))
 
 
 @register("op4_best_fit_packing")

@@ -34,9 +34,6 @@ RULES = {
 }
 
 
-MEASURE_NAME = regex.compile(r"\b(?:" + "|".join(MEASURES) + r")\b")
-
-
 def failure_bits(rules) -> Column:
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(0) for i, rule in enumerate(rules)]
     return sum(bits[1:], bits[0]).cast("long")
@@ -141,11 +138,11 @@ def measured(text: pd.Series) -> pd.DataFrame:
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", policy: Policy = STANDARD) -> DataFrame:
-    """The rows of ``docs`` that the policy keeps. Each row is judged by itself, in place, without a shuffle."""
+    """The rows of ``docs`` that the policy keeps. Each row is judged by itself, in place, without a shuffle.
+
+    A null text counts as empty, so the standard policy rejects it like a blank one; repeated rows
+    are judged alike; an empty table gives an empty one; columns of any names keep their values."""
     inside = F.pandas_udf(measured, ", ".join(f"{m} long" for m in MEASURES))
-    judged = docs.withColumn("_measured", inside(F.coalesce(text_col, F.lit(""))))
-    for m in MEASURES:
-        judged = judged.withColumn(f"_{m}", F.col(f"_measured.{m}"))
-    renamed = [MEASURE_NAME.sub(lambda m: f"_{m[0]}", rule) for rule in RULES.values()]
-    failed = failure_bits(renamed)
-    return judged.filter(~policy.rejects(failed)).select(*docs.columns)
+    judged = docs.select(F.struct(*docs.columns).alias("row"), inside(F.coalesce(text_col, F.lit(""))).alias("measured"))
+    kept = judged.select("row", "measured.*").filter(~policy.rejects(failure_bits(RULES.values())))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

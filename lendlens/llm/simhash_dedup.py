@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.common import components, staged
+from lendlens.llm.common import components, joined, staged
 
 BITS = 64
 SEED = 42
@@ -168,11 +168,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, block: int = 16384) -> Da
 
 
 def roots(fps: DataFrame, least: Column, radius: int = 4, block: int = 16384) -> DataFrame:
-    """(fp, least, root): every fingerprint with its smallest ``least`` and the fingerprint that stands for its component."""
-    first = staged(fps.groupBy("fp").agg(F.min(least).alias("least")), "distinct-fingerprints")
+    """(fp, rows, least, root): every fingerprint with its number of rows, its smallest ``least`` and the
+    fingerprint that stands for its component."""
+    first = staged(fps.groupBy("fp").agg(F.count("*").alias("rows"), F.min(least).alias("least")), "distinct-fingerprints")
     graph = components(fingerprint_links(first.select("fp"), radius, block))
     return first.join(graph, first["fp"] == graph["node"], "left") \
-        .select("fp", "least", F.coalesce("component", "fp").alias("root"))
+        .select("fp", "rows", "least", F.coalesce("component", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
@@ -187,17 +188,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     root = roots(fps, F.col("id"), radius, block)
     least = root.groupBy("root").agg(F.min("least").alias("component"))
-    named = root.join(least, "root").select("fp", "component")
-    return fps.join(named, "fp").select("id", "fp", "component")
+    named = root.join(least, "root").select("fp", "rows", "component")
+    return joined(fps, named, ["fp"], fps.count()).select("id", "fp", "component")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                radius: int = 4) -> DataFrame:
     """The rows of ``docs``, one of each component: the smallest id, null ids last, of rows with
-    that id the smallest by a hash of the text. Of rows equal in id and text any one stays."""
+    that id the smallest by a hash of the text. Of rows equal in id and text any one stays.
+
+    Null and blank texts are copies of each other; an empty table gives an empty one; columns of any names keep their values."""
     fps = staged(fingerprints(docs, id_col, text_col, shingle, {"th": F.xxhash64(text_col)}), "fingerprints")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     found = roots(fps, place, radius).groupBy("root").agg(F.min("least").alias("least")) \
-        .select(F.struct("least.id", "least.th").alias("_key"))
-    rows = docs.withColumn("_key", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")))
-    return rows.join(found, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+        .select(F.struct("least.id", "least.th").alias("key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("key"))
+    kept = rows.join(found, "key", "left_semi").dropDuplicates(["key"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

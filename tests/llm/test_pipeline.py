@@ -2,6 +2,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lendlens.llm import best_fit_packing as bp
@@ -84,3 +85,23 @@ def test_line_stage_drops_repeats_from_copies_too(spark):
         (3, "\n".join([line % "one", line % "and two", "its own"])), (4, None), (None, line % "zero, in a row without an id")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SF).collect()}
     assert got == {1: docs.first().text, 3: "its own", 4: None, None: line % "zero, in a row without an id"}
+
+
+STRANGE = ["row", "key", "measured", "_n_words", "n_words", "_key", "_drop", "_id", "_th", "th", "fp", "rows", "least", "root", "cells", "drop", "lost", "hash"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text + " and more of its own\nin a second line"), (None, None), (4, "short")], "doc_id long, text string")
+    wide = docs.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.lit(1)} | {c: F.lit(-7) for c in STRANGE})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns
+        rows = out.collect()
+        assert rows and all(r[c] == -7 for r in rows for c in STRANGE), name
+    assert dict(corpus_pipeline.STAGES)["best_fit_packing"](spark, wide, SF).count() == 5
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
