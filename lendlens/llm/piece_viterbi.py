@@ -12,16 +12,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lendlens.llm.token_files import Memory
+
 BLANK = "▁"
 UNKNOWN_COST = 10.0
-CACHE = 500_000
-SHORT = 64
+CACHE = 250_000  # words of a generation that a model remembers
+SHORT = 64  # characters of a word that is remembered, and held until it is complete
+CHUNK = 1 << 16
 LOOK_BACK = 256  # a longer stretch without a common boundary is traced back
 
 
@@ -58,133 +62,71 @@ class PieceModel:
         self.longest = max(map(len, whole), default=1)
         self.unknown = min((s for s, _ in whole.values()), default=0.0) - UNKNOWN_COST
         self.width = "<u2" if n <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        self.known = Memory(CACHE)
         # no piece runs over the start of a word or over a newline: every path has boundaries there
         crossing = any("\n" in p and len(p) > 1 or BLANK in p.lstrip(BLANK) for p in whole)
         self.cut = None if crossing else re.compile(rf"\n|{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+")
+        self.stop = re.compile(rf"(?<=[^{BLANK}]){BLANK}|\n")  # where a word ends
 
     # -- encoding
 
-    def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
+    def stream(self, chunks: Iterable[str]) -> Iterator[list[int] | np.ndarray]:
         """Ids of a normalised text that arrives in chunks, each list as soon as it is final.
 
         Of equally good paths the one whose last piece is longer wins, piece by piece from the end.
+        Where no piece runs over the start of a word, all paths meet there, so the words that a chunk
+        completes are final, and short ones met before are not searched again. Held are a chunk, the short word at
+        its end, and of a longer word the window of its search.
         """
-        trie, longest, low = self.trie, self.longest, float("-inf")
-        text, base = "", 0      # base: the last final boundary, as an index of the text held
-        best, back = [0.0], [(0, -1)]  # by position after base
-        reach = at = 0
-        missing = object()
-
-        def path(end: int) -> list[int]:
-            ids: list[int] = []
-            while end > 0:
-                start, piece = back[end]
-                ids.extend(reversed(self._bytes(text[start])) if piece < 0 else [piece])
-                end = start
-            ids.reverse()
-            return ids
-
-        ends = iter(chunks)
-        more = True
-        while more:
-            chunk = next(ends, None)
-            more = chunk is not None
-            text += chunk or ""
-            stop = len(text) - longest if more else len(text)  # a piece may still grow with the next chunk
-            while at < stop:
-                if reach == at and at or at >= LOOK_BACK and at % LOOK_BACK == 0:
-                    cut = at if reach == at else self._meeting(best, back, at, reach)
-                    if cut:
-                        yield path(cut)
-                        text, best = text[cut:], [x - best[cut] for x in best[cut:]]
-                        back = [(s - cut, p) for s, p in back[cut:]]
-                        at, reach, stop = at - cut, reach - cut, stop - cut
-                score = best[at]
-                if score > low:
-                    for end in range(at + 1, min(at + longest, len(text)) + 1):
-                        found = trie.get(text[at:end], missing)
-                        if found is missing:
-                            break
-                        if found is not None:
-                            self._reach(best, back, end, score + found[0], at, found[1])
-                    if not trie.get(text[at]):
-                        self._reach(best, back, at + 1, score + self.unknown, at, -1)
-                    reach = len(best) - 1
-                at += 1
-        if text:
-            yield path(len(text))
-
-    @staticmethod
-    def _reach(best, back, end, score, start, piece):
-        while len(best) <= end:
-            best.append(float("-inf"))
-            back.append((0, -1))
-        if score > best[end]:
-            best[end], back[end] = score, (start, piece)
-
-    @staticmethod
-    def _meeting(best, back, at, reach) -> int:
-        """The last boundary that all paths which can still win have in common."""
-        live = {p for p in range(at, reach + 1) if best[p] > float("-inf")}
-        while len(live) > 1:
-            last = max(live)
-            live.remove(last)
-            live.add(back[last][0])
-        return live.pop()
+        if self.cut is None:
+            window = Window(self)
+            for chunk in chunks:
+                yield from window.push(chunk)
+            yield from window.push("", True)
+            return
+        held, long = "", None  # the word that may go on: as it is, or in its window
+        for chunk in chain(chunks, (None,)):
+            if long is not None:
+                stop = self.stop.search(last + (chunk or ""), 1) if chunk is not None else None
+                if chunk is not None and stop is None:
+                    yield from long.push(chunk)
+                    last = chunk[-1:] or last
+                    continue
+                yield from long.push(chunk[:stop.start() - 1] if stop else "", True)
+                long, chunk = None, chunk[stop.start() - 1:] if stop else None
+            words = self.cut.findall(held + (chunk or ""))
+            held = words.pop() if words and chunk is not None else ""
+            if words:
+                yield self._words(words)
+            if chunk is None:
+                return
+            if len(held) > SHORT:
+                long, last = Window(self), held[-1]
+                yield from long.push(held)
+                held = ""
+
+    def _words(self, words: list[str]) -> np.ndarray:
+        """The ids of whole words, each by its own search unless it is known."""
+        new = self.known.missing(set(words))
+        known = self.known.now
+        for w in new:
+            window = Window(self)
+            known[w] = np.array([i for ids in window.push(w, True) for i in ids], self.width).tobytes()
+        ids = np.frombuffer(b"".join(map(known.__getitem__, words)), self.width)
+        for w in new:
+            if len(w) > SHORT:
+                del known[w]
+        return ids
 
     def _bytes(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
-    def _encode_short(self, text: str) -> bytes:
-        """The same search where the window holds the whole text."""
-        n, get, missing, longest = len(text), self.trie.get, _MISSING, self.longest
-        best, back, piece = [0.0] + [float("-inf")] * n, [0] * (n + 1), [-1] * (n + 1)
-        for at in range(n):
-            score = best[at]
-            for end in range(at + 1, min(at + longest, n) + 1):
-                found = get(text[at:end], missing)
-                if found is None:
-                    continue
-                if found is missing:
-                    break
-                value = score + found[0]
-                if value > best[end]:
-                    best[end], back[end], piece[end] = value, at, found[1]
-            if best[at + 1] < score + self.unknown and not get(text[at]):
-                best[at + 1], back[at + 1], piece[at + 1] = score + self.unknown, at, -1
-        ids: list[int] = []
-        while n:
-            ids.extend(reversed(self._bytes(text[back[n]])) if piece[n] < 0 else [piece[n]])
-            n = back[n]
-        ids.reverse()
-        return np.array(ids, self.width).tobytes()
-
-    def _encode_all(self, text: str) -> bytes:
-        if len(text) <= SHORT:
-            return self._encode_short(text)
-        pieces = range(0, len(text), 4096)
-        return np.array([i for ids in self.stream(text[p:p + 4096] for p in pieces) for i in ids], self.width).tobytes()
-
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one whole text; blanks become word marks and one mark goes in front."""
         if not text:
             return np.zeros(0, self.width)
         marked = BLANK + text.replace(" ", BLANK)
-        if self.cut is None:
-            return np.frombuffer(self._encode_all(marked), self.width)
-        known, segments = self.known, self.cut.findall(marked)
-        if len(known) > CACHE:
-            known.clear()
-        out = []
-        for s in segments:
-            ids = known.get(s)
-            if ids is None:
-                ids = self._encode_all(s)
-                if len(s) <= SHORT:
-                    known[s] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), self.width)
+        return np.concatenate([np.asarray(ids, self.width) for ids in self.stream(marked[p:p + CHUNK] for p in range(0, len(marked), CHUNK))])
 
     # -- decoding
 
@@ -194,6 +136,79 @@ class PieceModel:
         return b"".join([table[i] for i in ids]).decode("utf-8", "replace").removeprefix(" ")
 
 
+class Window:
+    """A Viterbi search over text that arrives in pieces: scores and backpointers since the last final boundary."""
+
+    def __init__(self, pieces: PieceModel):
+        self.pieces = pieces
+        self.text = ""
+        self.best: list[float] = [0.0]  # by position after the last final boundary
+        self.back: list[tuple[int, int]] = [(0, -1)]
+        self.at = 0
+
+    def push(self, chunk: str, last: bool = False) -> Iterator[list[int]]:
+        """The ids that the chunk makes final; with ``last`` all that are left."""
+        pieces, low = self.pieces, float("-inf")
+        get, longest, unknown = pieces.trie.get, pieces.longest, pieces.unknown
+        self.text += chunk
+        text, best, back, at = self.text, self.best, self.back, self.at
+        stop = len(text) if last else len(text) - longest  # a piece may still grow with the next chunk
+        while at < stop:
+            reach = len(best) - 1
+            if reach == at and at or at >= LOOK_BACK and at % LOOK_BACK == 0:
+                cut = at if reach == at else self._meeting(at, reach)
+                if cut:
+                    yield self._path(cut)
+                    text = self.text = text[cut:]
+                    best[:] = [x - best[cut] for x in best[cut:]]
+                    back[:] = [(s - cut, p) for s, p in back[cut:]]
+                    at, stop = at - cut, stop - cut
+            score = best[at]
+            if score > low:
+                for end in range(at + 1, min(at + longest, len(text)) + 1):
+                    found = get(text[at:end], _MISSING)
+                    if found is None:
+                        continue
+                    if found is _MISSING:
+                        break
+                    while len(best) <= end:
+                        best.append(low)
+                        back.append((0, -1))
+                    if score + found[0] > best[end]:
+                        best[end], back[end] = score + found[0], (at, found[1])
+                if not get(text[at]):
+                    if len(best) == at + 1:
+                        best.append(low)
+                        back.append((0, -1))
+                    if score + unknown > best[at + 1]:
+                        best[at + 1], back[at + 1] = score + unknown, (at, -1)
+            at += 1
+        self.at = at
+        if last and text:
+            yield self._path(len(text))
+
+    def _path(self, end: int) -> list[int]:
+        ids: list[int] = []
+        while end > 0:
+            start, piece = self.back[end]
+            if piece < 0:
+                ids.extend(reversed(self.pieces._bytes(self.text[start])))
+            else:
+                ids.append(piece)
+            end = start
+        ids.reverse()
+        return ids
+
+    def _meeting(self, at: int, reach: int) -> int:
+        """The last boundary that all paths which can still win have in common."""
+        live = {p for p in range(at, reach + 1) if self.best[p] > float("-inf")}
+        while len(live) > 1:
+            last = max(live)
+            live.remove(last)
+            live.add(self.back[last][0])
+        return live.pop()
+
+
 @lru_cache(maxsize=2)
 def model(path: str) -> PieceModel:
     return PieceModel(path)

@@ -48,6 +48,33 @@ def test_long_stretches_without_a_boundary(text):
     assert [i for ids in held for i in ids] == m.encode(text).tolist()
 
 
+@pytest.mark.parametrize("text", [" " * 5000 + "the end", "word " * 3000, "a" * 200 + " " * 300 + "b" * 500 + "\n" + "c" * 70, "\n" * 400])
+@pytest.mark.parametrize("size", [1, 7, 4096])
+def test_chunks_of_any_size(text, size):
+    m = pv.model(PATH)
+    marked = pv.BLANK + text.replace(" ", pv.BLANK)
+    assert [int(i) for ids in m.stream(marked[p:p + size] for p in range(0, len(marked), size)) for i in ids] == full_lattice(m, marked)
+
+
+def test_the_window_of_a_whole_document_is_bounded():
+    """Ids leave as the text arrives, and what is held stays small, for ordinary text and for a word without an end."""
+    m = pv.model(PATH)
+    for text in ("the house of the rising sun " * 4000, "abcab" * 20000):
+        marked = pv.BLANK + text.replace(" ", pv.BLANK)
+        sent, got, most = 0, 0, 0
+
+        def chunks():
+            nonlocal sent
+            for p in range(0, len(marked), 100):
+                sent = p + 100
+                yield marked[p:p + 100]
+
+        for ids in m.stream(chunks()):
+            got += len(m.decode(ids).replace(" ", pv.BLANK))
+            most = max(most, sent - got)
+        assert most < 2000 + 100, most
+
+
 def test_awkward_documents(spark):
     docs = awkward_docs(spark)
     m = pv.model(PATH)
