@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lendlens.functions import text as T
 from lendlens.functions.rules import ENGLISH_STOP_WORDS
+from lendlens.operators.rank import written
 from lendlens.session import ensure_checkpoint_dir
 
 
@@ -148,3 +149,51 @@ def tfidf_pipeline(vocab_size: int = 100, input_col: str = "text"):
         CountVectorizer(inputCol="_filtered", outputCol="_tf", vocabSize=vocab_size),
         IDF(inputCol="_tf", outputCol="tfidf_features"),
     ])
+
+
+# ------------------------------------------------------------- long dictionaries
+
+GRAM = 4
+LITERAL_GRAMS = 20_000  # index entries that may travel inside the plan
+
+
+def _grams(chars: "F.Column", size: int) -> "F.Column":
+    """The different stretches of ``size`` characters of an array of characters, in linear time."""
+    last = F.size(chars) - size + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, size), "")))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def listed_names(docs: DataFrame, names: DataFrame, key: str = "doc_id", text_col: str = "text", name_col: str = "name",
+                 priority_col: str = "priority", literal_grams: int = LITERAL_GRAMS) -> DataFrame:
+    """C8 for dictionaries of any length: (key, name) of the first listed name that the text contains, case ignored.
+
+    Every name is filed under its rarest stretch of GRAM characters (a shorter name under itself), and a text asks for
+    the stretches that it holds; only names filed under one of them are looked for in it. First is the smallest priority, ties by
+    name; null and empty names count for nothing; texts without a name have no row. Rows with one key are one text's parts.
+
+    A dictionary of up to ``literal_grams`` names goes into the plan, so that a text sends only the stretches that some name is filed under;
+    a longer one is joined with all of them. The result is the same."""
+    listed = names.select(F.lower(name_col).alias("low"), F.col(name_col).alias("name"), F.col(priority_col).alias("priority")).filter("low <> ''")
+    size = F.least(F.length("low"), F.lit(GRAM))
+    grams = listed.select("low", "name", "priority", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("low") - size + 1), lambda i: F.substring(F.col("low"), i, size)))).alias("gram"))
+    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    index = grams.join(common, "gram").groupBy("low", "name", "priority").agg(F.min(F.struct("n", "gram")).alias("best")) \
+        .select(F.col("best.gram").alias("gram"), "low", "name", "priority")
+    index = written(index, "names")
+    lengths = [r[0] for r in index.select(F.length("gram")).distinct().collect()]  # at most GRAM of them
+    texts = docs.select(F.col(key).alias("key"), F.lower(text_col).alias("text")).filter(F.col("text").isNotNull())
+    found = F.flatten(F.transform(F.array(F.split("text", "")), lambda c: F.concat(*[_grams(c, n) for n in lengths]))) if lengths else F.array().cast("array<string>")
+    wanted = index.select("gram").distinct().limit(literal_grams + 1)
+    if wanted.count() <= literal_grams:
+        known = [r["gram"] for r in wanted.collect()]
+        held = F.filter(found, lambda g: g.isin(known) if known else F.lit(False))
+        asked = texts.select("key", "text", F.explode(held).alias("gram"))
+        hits = asked.join(index, "gram").filter(F.contains("text", "low"))
+    else:
+        rows = written(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
+        asked = rows.select("row", F.explode(found).alias("gram"))
+        near = asked.join(index, "gram").select("row", "low", "name", "priority").distinct()
+        hits = near.join(rows, "row").filter(F.contains("text", "low"))
+    return hits.groupBy("key").agg(F.min(F.struct("priority", "name")).alias("first")).select(F.col("key").alias(key), "first.name")

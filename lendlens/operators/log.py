@@ -6,9 +6,14 @@ time filters prune partitions and the rest are pushed into the scan.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lendlens.operators.rank import written
+
 LOG_SCHEMA = ("id long, application_id string, timestamp timestamp_ntz, submitted_by string, applicant_name string, "
               "applicant_age int, applicant_income double, gender string, race string, loan_amount double, loan_term int, "
               "loan_purpose string, prediction string, probability double, confidence double, nlp_features string, "
@@ -21,15 +26,39 @@ def to_log_schema(scored: DataFrame) -> DataFrame:
     return scored.select(*[(F.col(n) if n in scored.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
 
 
-def append_log(scored: DataFrame, path: str) -> None:
-    """Append scored rows to the log, in the log's schema, partitioned by day."""
-    (to_log_schema(scored).withColumn("log_date", F.to_date("timestamp"))
-     .write.mode("append").partitionBy("log_date").parquet(path))
+def append_log(scored: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Append scored rows to the log, in the log's schema, partitioned by day and run.
+
+    An application id is logged once: ids that other runs have logged are left out, and of a run's rows with one
+    id the first by time, then id, stays (rows without an id are all logged). The rows are written aside first and then
+    replace the partitions of ``run_id``, so a job that is run again under the same id, after a failure or not, leaves one copy of its rows.
+    Without a ``run_id`` every call is a run of its own."""
+    spark, run = scored.sparkSession, run_id or uuid.uuid4().hex
+    rows = to_log_schema(scored).withColumn("log_date", F.to_date("timestamp"))
+    known = _logged(spark, path)
+    if known is not None:
+        rows = rows.join(known.filter(F.col("run") != run).select("application_id").distinct(), "application_id", "left_anti").select(*rows.columns)
+    order = F.struct(F.col("timestamp"), F.col("id"), F.xxhash64(*rows.columns))
+    first = rows.filter("application_id IS NOT NULL").groupBy("application_id").agg(F.min_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
+    staged = written(first.unionByName(rows.filter("application_id IS NULL")), "log-run")
+    staged.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("log_date", "run").parquet(path)
+
+
+def _logged(spark: SparkSession, path: str) -> DataFrame | None:
+    """The log with its runs, or None before its first row."""
+    try:
+        schema = f"{LOG_SCHEMA}, log_date date, run string"
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def scan_log(spark: SparkSession, path: str, since=None) -> DataFrame:
     """Read the log; ``since`` prunes partitions and is pushed to Parquet."""
-    df = spark.read.parquet(path)
+    df = spark.read.schema(f"{LOG_SCHEMA}, log_date date, run string").parquet(path).drop("run")
     if since is not None:
         ts = F.lit(since).cast("timestamp_ntz")
         df = df.filter((F.col("log_date") >= F.to_date(ts)) & (F.col("timestamp") >= ts))

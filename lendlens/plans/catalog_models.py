@@ -1,4 +1,4 @@
-"""Registered queries on model attributions, exact ranks, oversampling, constrained search and closed windows."""
+"""Registered queries on long dictionaries, model attributions, exact ranks, oversampling, constrained search and closed windows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from math import factorial
 
 from pyspark.sql import functions as F
 
+from lendlens.operators import documents as dc
 from lendlens.operators import mitigation as mit
 from lendlens.operators import neighbours as nb
 from lendlens.operators import rank
@@ -229,3 +230,20 @@ def q_stream_closed_gaps(spark, sf_dir):
     path = sj.scratch_path(spark, "closed-gaps")
     sj.closed_group_gaps(sj.log_stream(spark, sf_dir), path)
     return round_doubles(sj.read_final(spark, path))
+
+
+# ---------------------------------------------------------------------------
+# Names of a long dictionary
+# ---------------------------------------------------------------------------
+@register("listed_names", """
+WITH n AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[2:3], ' ') AS name FROM documents WHERE text IS NOT NULL),
+l AS (SELECT name, length(name) AS priority FROM n WHERE name <> ''),
+h AS (SELECT d.doc_id, l.name, l.priority FROM documents d JOIN l ON contains(lower(d.text), lower(l.name)))
+SELECT doc_id, arg_min(name, (priority, name)) AS name FROM h GROUP BY doc_id
+""")
+def q_listed_names(spark, sf_dir):
+    """C8 with a dictionary as long as the table: every document's second and third word make a name, shorter names first."""
+    docs = tb.table(spark, sf_dir, "documents")
+    two = F.array_join(F.slice(F.split("text", " "), 2, 2), " ")
+    names = docs.filter("text IS NOT NULL").select(two.alias("name")).distinct().withColumn("priority", F.length("name").cast("long"))
+    return dc.listed_names(docs, names)

@@ -73,14 +73,14 @@ def train_job(df: DataFrame, key: str, label: str, numeric: list[str], categoric
 def batch_prediction_job(model, applications: DataFrame, columns: list[str], key: str = "application_id",
                          documents: DataFrame | None = None, statements: DataFrame | None = None,
                          background: DataFrame | None = None, log_path: str | None = None, as_of=None,
-                         defaults: dict | None = None, n_permutations: int = 8) -> DataFrame:
+                         defaults: dict | None = None, n_permutations: int = 8, run_id: str | None = None) -> DataFrame:
     """F16: validate -> document fields and statement features -> align -> score ->
     decide -> reasons for denials -> log.
 
     Invalid rows come back with their errors and no score. With a ``background``, denied
     rows get adverse-action reasons: from exact tree attributions where the model is a tree ensemble
     and the background has all ``columns``, from sampled Shapley values over the numeric ones otherwise. With ``log_path`` (and ``as_of``, the time of the
-    decisions) the scored rows are appended to the prediction log."""
+    decisions) the scored rows are appended to the prediction log, once however often the job runs under one ``run_id``."""
     valid, bad = cl.split_valid(applications)
     if documents is not None:
         fields = docs.extract_document_fields(documents).groupBy(key).agg(F.max("net_income").alias("verified_net_income"))
@@ -108,7 +108,7 @@ def batch_prediction_job(model, applications: DataFrame, columns: list[str], key
                                  "applicant_income": F.col("annual_income") if "annual_income" in rows.columns else F.lit(None)})
         if "adverse_action_reasons" in rows.columns:
             rows = rows.withColumn("adverse_action_reasons", F.to_json("adverse_action_reasons"))
-        plog.append_log(rows, log_path)
+        plog.append_log(rows, log_path, run_id)
     return scored.unionByName(bad.select(key, "errors"), allowMissingColumns=True)
 
 

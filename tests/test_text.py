@@ -127,3 +127,23 @@ def test_tfidf_evaluates_the_tokens_once_per_scan(spark):
         want.setdefault(r.doc_id, {}).setdefault(r.term, 0.0)
         want[r.doc_id][r.term] += r.tfidf
     assert set(maps) == set(want) and all(maps[k][t] == pytest.approx(w) for k, m in want.items() for t, w in m.items())
+
+
+@pytest.mark.parametrize("literal", [20_000, 0])
+def test_names_of_a_long_dictionary(spark, literal):
+    import random
+    rng = random.Random(2)
+    letters = "abcdeé "
+    names = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(1500)} | {"Chase", "BANK of x", "", "(a.*"}
+    names = [(n, i % 700) for i, n in enumerate(sorted(names))] + [(None, 0), ("Chase", 3)]
+    docs = [(i, "".join(rng.choice(letters + "xyz") for _ in range(rng.randrange(0, 60)))) for i in range(80)]
+    docs += [(100, "PURCHASE at bank OF X"), (101, None), (102, ""), (103, "y(a.*z"), (None, "chase"), (104, "zzzz"), (104, "chase")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    n = spark.createDataFrame(names, "name string, priority int")
+    got = {r.doc_id: r.name for r in D.listed_names(d, n, literal_grams=literal).collect()}
+    want = {}
+    for i, t in docs:
+        hits = [(p, x) for x, p in names if x and t is not None and x.lower() in t.lower()]
+        if hits:
+            want[i] = min([min(hits), *([want[i]] if i in want else [])])
+    assert got == {i: x for i, (_, x) in want.items()} and len(got) > 60
