@@ -67,9 +67,42 @@ def unigrams_and_bigrams(text_col: str = "text", stop_words=None) -> "F.Column":
     return F.coalesce(F.flatten(F.transform(F.array(words), pairs)), none)
 
 
+TRACKED = 1 << 14  # terms that a heavy-hitter summary follows
+SUMMARIES = 256  # summaries that meet in the last step
+
+
+def heavy_terms(docs: DataFrame, terms: "F.Column", size: int, tracked: int = TRACKED) -> dict[str, int] | None:
+    """The exact counts of the ``size`` most frequent terms, ties by term, or None where a summary cannot tell.
+
+    Every task follows a bounded number of terms (frequent-items sketches), so no other term leaves it. The sketches
+    name candidates and bound the count of all other terms; a second pass counts the candidates alone. Where the
+    last of the ``size`` does not exceed the bound, another term might belong there, and nothing is returned."""
+    wanted = min(tracked // 4, 4 * size)
+    rows = docs.select(F.explode(terms).alias("term"))
+    parts = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(SUMMARIES)).alias("part")) \
+        .agg(F.expr(f"approx_top_k_accumulate(term, {tracked})").alias("sketch"), F.count(F.lit(1)).alias("n"))
+    found = parts.groupBy(F.lit(1)).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {wanted})").alias("top"), F.sum("n").alias("n")).first()
+    if found is None or not found["n"]:
+        return {}
+    top = [(t["item"], t["count"]) for t in found["top"]]
+    # a sketch of m entries errs by at most 3.5 n / m; those it returns not have no more than the last it returns
+    bound = max(3.5 * found["n"] / tracked, top[-1][1] if len(top) == wanted else 0)
+    names = [t for t, _ in top]
+    counts = docs.select(F.explode(F.filter(terms, lambda t: t.isin(names))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
+    best = sorted(((-r["n"], r["term"].encode()) for r in counts))[:size]
+    if len(best) < size or -best[-1][0] <= bound:
+        return None
+    return {t.decode(): -n for n, t in best}
+
+
 def top_vocabulary(docs: DataFrame, terms: "F.Column", size: int) -> list[str]:
-    """The ``size`` most frequent terms of the corpus, ties by term. Counts are summed
-    per task before the shuffle; only the vocabulary reaches the driver."""
+    """The ``size`` most frequent terms of the corpus, ties by term; only they reach the driver.
+
+    Two passes with bounded summaries where those decide, and otherwise counts of all terms, summed per task
+    before the shuffle; the result is the same."""
+    found = heavy_terms(docs, terms, size)
+    if found is not None:
+        return list(found)
     counts = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
     return [r["term"] for r in counts.orderBy(F.desc("total"), F.asc("term")).limit(size).collect()]
 

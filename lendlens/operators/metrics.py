@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendlens.functions import rules
+from lendlens.operators.rank import written
 
 
 def _ratio(num, den):
@@ -95,6 +96,7 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "probability",
     y = F.col(label)
     per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+    per = written(per, "scores")  # read for the quantiles, the totals and the points
     marks = per.agg(F.percentile_approx("threshold", [(i + 1) / buckets for i in range(buckets - 1)], 40 * buckets)).first()[0]
     splits = [float("-inf"), *sorted({m for m in marks or [] if m == m and abs(m) != float("inf")}), float("inf")]
     if len(splits) > 2:

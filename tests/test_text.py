@@ -147,3 +147,30 @@ def test_names_of_a_long_dictionary(spark, literal):
         if hits:
             want[i] = min([min(hits), *([want[i]] if i in want else [])])
     assert got == {i: x for i, (_, x) in want.items()} and len(got) > 60
+
+
+def test_vocabulary_by_two_passes_equals_full_counts(spark):
+    import random
+    from collections import Counter
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join(rng.choices(words, weights=[300 / (k + 1) for k in range(300)], k=80))) for i in range(200)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    count = Counter(w for _, t in docs for w in (t or "").split())
+    want = dict(sorted(count.items(), key=lambda x: (-x[1], x[0]))[:10])
+    found = D.heavy_terms(df, D.unigrams("text"), 10)
+    assert found == want and list(found) == list(want)
+    # a summary too small to tell says so, and the full counts give the same vocabulary
+    assert D.heavy_terms(df, D.unigrams("text"), 290, tracked=32) is None
+    flat = spark.createDataFrame([(i, f"only{i} once{i}") for i in range(500)], "doc_id long, text string")
+    assert D.heavy_terms(flat, D.unigrams("text"), 10, tracked=64) is None
+    assert D.top_vocabulary(flat, D.unigrams("text"), 3) == ["once0", "once1", "once10"]
+    assert D.heavy_terms(df.limit(0), D.unigrams("text"), 10) == {}
+
+
+def test_modes_of_all_columns_in_one_pass(spark):
+    from lendlens.operators import clean as CL
+    df = spark.createDataFrame([(1, "b", 2.0, None), (2, "a", 2.0, None), (None, None, None, None), (2, "b", 1.0, None), (1, "a", None, None)],
+                               "n int, s string, x double, z string")
+    got = CL.impute(df, numeric=["n", "x"], categorical=["s", "z"], strategy="mode").collect()
+    assert [(r.n, r.s, r.x, r.z) for r in got][2] == (1.0, "a", 2.0, None)
