@@ -30,13 +30,13 @@ CROWD = 512  # rows of a key from which on it is treated as crowded ...
 BROADCAST_KEYS = 100_000  # ... or more, so that there are at most so many crowded keys
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, on: list[str], total: int, least: int | None = None) -> DataFrame:
     """``left`` joined with ``right``, which has a row per key and, in ``rows``, how many rows of ``left`` it meets.
 
-    Keys that meet more than CROWD rows, and more than a fixed share of all
+    Keys that meet more than ``least`` rows (CROWD if not given), and more than a fixed share of all
     ``total`` rows, are broadcast: there are at most BROADCAST_KEYS of them. So
     no task gets a key of many rows."""
-    crowd = max(CROWD, total // BROADCAST_KEYS)
+    crowd = max(least or CROWD, total // BROADCAST_KEYS)
     hot = F.broadcast(right.filter(F.col("rows") > crowd))
     rest = left.join(hot.select(*on), on, "left_anti").join(right.filter(F.col("rows") <= crowd), on)
     return left.join(hot, on).unionByName(rest)

@@ -334,7 +334,7 @@ def repeated_spans(rows: DataFrame, window: int, gram: int = GRAM, shard_bytes:
     # a gram that occurs once in the corpus is in no repeated window
     keys = staged(light.groupBy("key").agg(F.sum("grams").alias("rows")).filter("rows > 1"), "repeated-keys")
     # of equal rows, each gets the wanted segments again by the join with its text
-    wanted = joined(light.select("id", "th", "at", "n", "key"), keys, ["key"], n_light).groupBy("id", "th").agg(F.collect_set(F.struct("at", "n", "key")).alias("wanted")) \
+    wanted = joined(light.select("id", "th", "at", "n", "key"), keys, ["key"], n_light, crowd).groupBy("id", "th").agg(F.collect_set(F.struct("at", "n", "key")).alias("wanted")) \
         .withColumnsRenamed({"id": "_id", "th": "_th"})
     texts = rows.join(wanted, rows["id"].eqNullSafe(F.col("_id")) & (rows["th"] == F.col("_th")))
     places = staged(_emit(texts.select("id", "th", "text", "wanted"), window), "candidate-segments")
@@ -355,7 +355,7 @@ def repeated_spans(rows: DataFrame, window: int, gram: int = GRAM, shard_bytes:
         .agg(F.collect_set(F.struct(F.col("offset").alias("first"), (F.col("offset") + window).alias("last"))).alias("spans"))
     whole = found.join(distinct.join(crowded, "key", "left_anti").select("h1", "h2", "rows"), ["h1", "h2"]) \
         .unionByName(cells.join(distinct.select("h1", "h2", "rows"), ["h1", "h2"]))
-    hits = joined(places.select("id", "th", "at", "h1", "h2"), staged(whole, "repeated-segments"), ["h1", "h2"], places.count())
+    hits = joined(places.select("id", "th", "at", "h1", "h2"), staged(whole, "repeated-segments"), ["h1", "h2"], places.count(), crowd)
     moved = F.transform("spans", lambda s: F.struct((F.col("at") + s["first"]).alias("first"), (F.col("at") + s["last"]).alias("last")))
     return hits.select("id", "th", moved.alias("s")).groupBy("id", "th").agg(F.flatten(F.collect_set("s")).alias("spans"))
 
