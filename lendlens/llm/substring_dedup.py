@@ -34,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendlens.llm.common import BROADCAST_KEYS, joined, staged
+from lendlens.llm.common import BROADCAST_KEYS, joined, small_batches, staged
 
 GRAM = 16
 GROUP_WORDS = 1 << 18  # texts are cut into segments together up to about so many words
 LONGEST = 64  # windows of a segment
-SHARD_BYTES = 3 << 20  # words of a shard, on average
+SHARD_BYTES = 2 << 20  # words of a shard, on average
 CROWD = 4096  # different segments of a key from which on they are cut into windows
 
 
@@ -337,7 +337,8 @@ def repeated_spans(rows: DataFrame, window: int, gram: int = GRAM, shard_bytes:
     wanted = joined(light.select("id", "th", "at", "n", "key"), keys, ["key"], n_light, crowd).groupBy("id", "th").agg(F.collect_set(F.struct("at", "n", "key")).alias("wanted")) \
         .withColumnsRenamed({"id": "_id", "th": "_th"})
     texts = rows.join(wanted, rows["id"].eqNullSafe(F.col("_id")) & (rows["th"] == F.col("_th")))
-    places = staged(_emit(texts.select("id", "th", "text", "wanted"), window), "candidate-segments")
+    with small_batches(rows.sparkSession):
+        places = staged(_emit(texts.select("id", "th", "text", "wanted"), window), "candidate-segments")
     distinct = staged(places.groupBy("h1", "h2", "key", "words").agg(F.count("*").alias("rows")), "distinct-segments")
     n_distinct, n_bytes = distinct.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0))).first()
     if not n_distinct:
