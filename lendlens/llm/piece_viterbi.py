@@ -10,6 +10,7 @@ any piece and are written as byte pieces.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -26,6 +27,7 @@ UNKNOWN_COST = 10.0
 CACHE = 250_000  # words of a generation that a model remembers
 SHORT = 64  # characters of a word that is remembered, and held until it is complete
 CHUNK = 1 << 16
+GROUP = 1 << 21  # characters of texts whose new words are searched together
 LOOK_BACK = 256  # a longer stretch without a common boundary is traced back
 
 
@@ -59,9 +61,12 @@ class PieceModel:
             for k in range(1, len(piece)):
                 self.trie.setdefault(piece[:k], None)
         self.trie |= whole
+        # the ends of pieces: a search that looks back from a character stops where no piece can reach it
+        self.ends: dict[str, tuple[float, int] | None] = {piece[k:]: None for piece in whole for k in range(1, len(piece))} | whole
         self.longest = max(map(len, whole), default=1)
         self.unknown = min((s for s, _ in whole.values()), default=0.0) - UNKNOWN_COST
         self.width = "<u2" if n <= 1 << 16 else "<u4"
+        self.code = "H" if n <= 1 << 16 else "I"
         self.known = Memory(CACHE)
         # no piece runs over the start of a word or over a newline: every path has boundaries there
         crossing = any("\n" in p and len(p) > 1 or BLANK in p.lstrip(BLANK) for p in whole)
@@ -107,17 +112,59 @@ class PieceModel:
 
     def _words(self, words: list[str]) -> np.ndarray:
         """The ids of whole words, each by its own search unless it is known."""
-        new = self.known.missing(set(words))
+        return self._joined([words])[0]
+
+    def _joined(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The same for the words of several texts, whose new words are searched together."""
+        new = self.known.missing(set().union(*texts))
         known = self.known.now
-        for w in new:
-            window = Window(self)
-            known[w] = np.array([i for ids in window.push(w, True) for i in ids], self.width).tobytes()
-        ids = np.frombuffer(b"".join(map(known.__getitem__, words)), self.width)
-        for w in new:
-            if len(w) > SHORT:
-                del known[w]
+        long = [w for w in new if len(w) > SHORT]
+        for w in long:
+            known[w] = np.array([i for ids in Window(self).push(w, True) for i in ids], self.width).tobytes()
+        self._search(sorted(w for w in new if len(w) <= SHORT) if long else sorted(new))
+        ids = [np.frombuffer(b"".join(map(known.__getitem__, words)), self.width) for words in texts]
+        for w in long:
+            del known[w]
         return ids
 
+    def _search(self, words: list[str]) -> None:
+        """The ids of short whole words, in order, into the memory.
+
+        Scores and backpointers of a boundary depend on the characters before it only, so a word starts
+        where it parts from the word before."""
+        get, longest, unknown, known = self.ends.get, self.longest, self.unknown, self.known.now
+        best, back, before = [0.0], [(0, -1)], ""
+        for w in words:
+            shared = 0
+            for a, b in zip(w, before):  # noqa: B905 -- the shorter word ends it
+                if a != b:
+                    break
+                shared += 1
+            del best[shared + 1:], back[shared + 1:]
+            for end in range(shared + 1, len(w) + 1):
+                start = end - 1
+                top, link = best[start] + unknown, (start, -1)
+                for start in range(start, max(end - longest, 0) - 1, -1):
+                    found = get(w[start:end], _MISSING)
+                    if found is None:
+                        continue
+                    if found is _MISSING:
+                        break
+                    if best[start] + found[0] >= top:  # the longer of equally good pieces
+                        top, link = best[start] + found[0], (start, found[1])
+                best.append(top)
+                back.append(link)
+            before, end, ids = w, len(w), []
+            while end:
+                start, piece = back[end]
+                if piece < 0:
+                    ids.extend(reversed(self._bytes(w[start])))
+                else:
+                    ids.append(piece)
+                end = start
+            ids.reverse()
+            known[w] = array(self.code, ids).tobytes()
+
     def _bytes(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
@@ -128,6 +175,22 @@ class PieceModel:
         marked = BLANK + text.replace(" ", BLANK)
         return np.concatenate([np.asarray(ids, self.width) for ids in self.stream(marked[p:p + CHUNK] for p in range(0, len(marked), CHUNK))])
 
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """``encode`` of every text, in order. Texts of one chunk are taken in groups; longer ones go through the stream."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            text = text or ""
+            if self.cut is None or len(text) >= CHUNK or size + len(text) > GROUP:
+                yield from self._joined(group)
+                group, size = [], 0
+            if self.cut is None or len(text) >= CHUNK:
+                yield self.encode(text)
+            else:
+                group.append(self.cut.findall(BLANK + text.replace(" ", BLANK)) if text else [])
+                size += len(text)
+        yield from self._joined(group)
+
     # -- decoding
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -214,6 +277,11 @@ def model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)))
+
+
 def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids: array of int) of every whole text.
 
@@ -224,10 +292,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(model_path)
         for b in batches:
-            found = [pieces.encode(t.as_py()) for t in b.column(1)]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in found], dtype=np.int64)))
-            flat = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(list(pieces.encode_all(b.column(1).to_pylist())))], names=["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
@@ -250,8 +315,8 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(model_path)
         for b in batches:
-            found = [pieces.encode(t.as_py()) for t in b.column(1)]
-            ids = pa.array([x.astype(np.int32) for x in found], pa.list_(pa.int32()))
+            found = list(pieces.encode_all(b.column(1).to_pylist()))
+            ids = _lists(found)
             yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array([pieces.decode(x.tolist()) for x in found], pa.string())],
                                              names=["id", "text", "ids", "decoded"])
 

@@ -40,6 +40,33 @@ def test_streaming_equals_the_full_lattice(text, size):
     assert m.decode(m.encode(text).tolist()) == text.replace(pv.BLANK, " ")
 
 
+@given(st.lists(st.none() | st.text(alphabet="abcet hn\n▁éß日.,12\x00", max_size=120), max_size=12))
+@settings(max_examples=60, deadline=None)
+def test_texts_together_equal_texts_alone(texts):
+    m = pv.model(PATH)
+    m.known = pv.Memory(40)
+    want = [full_lattice(m, pv.BLANK + t.replace(" ", pv.BLANK)) if t else [] for t in texts]
+    assert [x.tolist() for x in m.encode_all(texts)] == want
+
+
+def test_words_that_begin_alike_are_searched_from_where_they_part():
+    """New words of all texts of a group are searched in order, and look up far fewer stretches than each by itself."""
+    m, asked = pv.PieceModel(PATH), 0
+
+    class Counted(dict):
+        def get(self, key, other=None):
+            nonlocal asked
+            asked += 1
+            return dict.get(self, key, other)
+
+    m.ends = Counted(m.ends)
+    m.trie = Counted(m.trie)
+    texts = [f"internationalization{i} misunderstandings{i}" for i in range(300)] + ["x" * (pv.CHUNK + 5), None, "é" * 70 + " end"]
+    got = [x.tolist() for x in m.encode_all(texts[:300])]
+    assert asked < 20_000, asked
+    assert got + [x.tolist() for x in m.encode_all(texts[300:])] == [m.encode(t).tolist() for t in texts]
+
+
 @pytest.mark.parametrize("text", ["a" * 5000, "abab" * 2000, "the" * 3000, "日" * 900])
 def test_long_stretches_without_a_boundary(text):
     m = pv.model(PATH)
