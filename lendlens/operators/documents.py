@@ -7,6 +7,11 @@ is bounded by its ``vocab_size`` parameter.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -186,47 +191,132 @@ def tfidf_pipeline(vocab_size: int = 100, input_col: str = "text"):
 
 # ------------------------------------------------------------- long dictionaries
 
-GRAM = 4
-LITERAL_GRAMS = 20_000  # index entries that may travel inside the plan
-
-
-def _grams(chars: "F.Column", size: int) -> "F.Column":
-    """The different stretches of ``size`` characters of an array of characters, in linear time."""
-    last = F.size(chars) - size + 1
-    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, size), "")))) \
-        .otherwise(F.array().cast("array<string>"))
+HEAD = 8  # characters at which a longer name is looked for first
+LITERAL_GRAMS = 20_000  # names, the first of the list, that travel inside the plan
+MOST_BITS = 27  # a filter has at most 1 << MOST_BITS bits
+GROUP = 1 << 18  # characters of texts that are looked through at a time
+PROBES = 4  # bits of the filter that stand for a name
+_BASE = 0x9E3779B97F4A7C15
+_ODD = (0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+
+
+class _Stretches:
+    """Hashes of stretches of joined texts, by prefix sums: the same characters have the same hash wherever they stand."""
+
+    up = down = np.ones(1, np.uint64)
+
+    def __init__(self, texts: list[str]):
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        if len(codes) >= len(self.up):
+            _Stretches.up, _Stretches.down = (np.cumprod(np.r_[np.uint64(1), np.full(len(codes), b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        self.sums = np.r_[np.uint64(0), np.cumsum((codes + np.uint64(1)) * self.up[:len(codes)])]
+        self.lengths = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(self.lengths)
+        self.starts = self.ends - self.lengths
+
+    def hashes(self, at: np.ndarray, length, whole: bool) -> np.ndarray:
+        """A number for each stretch, as a whole name or as the beginning of one."""
+        if isinstance(at, slice):  # at every place
+            last = max(0, len(self.sums) - length)
+            h = self.sums[length:] - self.sums[:last]
+            h *= self.down[:last]
+        else:
+            h = (self.sums[at + length] - self.sums[at]) * self.down[at]
+        h += np.uint64(whole)
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _slots(h: np.ndarray, turn: int, bits: int) -> np.ndarray:
+    """The ``turn``-th of the PROBES bits that stand for a hash."""
+    return ((h ^ (h >> np.uint64(32))) * np.uint64(_ODD[turn]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _name_slots(names: list[str], bits: int) -> np.ndarray:
+    s = _Stretches(names)
+    h = np.r_[s.hashes(s.starts, s.lengths, True), s.hashes(s.starts[s.lengths > HEAD], HEAD, False)]
+    return np.concatenate([_slots(h, k, bits) for k in range(PROBES)])
+
+
+def _held_names(texts: list[str], lengths: list[int], filled: np.ndarray, bits: int) -> list[set[str]]:
+    """For every text its stretches that may be names: all that are, and few others."""
+    s = _Stretches(texts)
+    out: list[set[str]] = [set() for _ in texts]
+    end = np.repeat(s.ends, s.lengths)
+
+    def passing(at, h, n):
+        for k in range(PROBES):
+            slot = _slots(h, k, bits)
+            on = np.flatnonzero((filled[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
+            at, h = on if at is None else at[on], h[on]
+        return at[at + n <= end[at]]
+
+    begins = None
+    for n in lengths:
+        if n > HEAD and begins is None:
+            begins = passing(None, s.hashes(slice(None), HEAD, False), HEAD)
+        if n > HEAD:
+            begins = begins[begins + n <= end[begins]]
+            if not len(begins):
+                break
+            at = passing(begins, s.hashes(begins, n, True), n)
+        else:
+            at = passing(None, s.hashes(slice(None), n, True), n)
+        row = np.searchsorted(s.ends, at, "right")
+        for r, p in zip(row.tolist(), (at - s.starts[row]).tolist(), strict=True):
+            out[r].add(texts[r][p:p + n])
+    return out
+
+
+def name_filter(index: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of every listed name and of the beginning of every long one: 32 to 64 bits a name, at most 16 MB in all."""
+    bits = min(MOST_BITS, max(10, (32 * index.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_name_slots(b.column(0).to_pylist(), bits))], names=["slot"])
+
+    words = index.select("low").mapInArrow(run, "slot bigint").groupBy(F.shiftright("slot", 6).alias("word")) \
+        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")).alias("held")).toArrow()
+    filled = np.zeros(max(1, (1 << bits) >> 6), np.uint64)
+    filled[words["word"].to_numpy()] = words["held"].to_numpy().view(np.uint64)
+    return filled, bits
+
+
+def names_asked(texts: DataFrame, index: DataFrame, first: list[str]) -> DataFrame:
+    """(key, low): the stretches of every text (key, text) that may be listed names. A text that holds one of ``first``,
+    the first names of the list in order, sends the foremost of them alone, as no other name can go before it."""
+    filled, bits = name_filter(index)
+    lengths = sorted(r[0] for r in index.select(F.length("low")).distinct().collect())
+    place = {n: i for i, n in enumerate(first)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column(1).to_pylist()
+            ends = np.cumsum([len(t) for t in rows])
+            cuts = [0, *(np.flatnonzero(np.diff(ends // GROUP)) + 1).tolist(), len(rows)]
+            for lo, hi in pairwise(cuts):
+                held = _held_names(rows[lo:hi], lengths, filled, bits)
+                held = [[first[min(known)]] if (known := [place[n] for n in found if n in place]) else list(found) for found in held]
+                counts = np.array([len(h) for h in held], np.int64)
+                at = pa.array(np.repeat(np.arange(lo, hi), counts))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([n for h in held for n in h], pa.string())], names=["key", "low"])
+
+    return texts.select("key", "text").mapInArrow(run, f"key {texts.schema['key'].dataType.simpleString()}, low string")
 
 
 def listed_names(docs: DataFrame, names: DataFrame, key: str = "doc_id", text_col: str = "text", name_col: str = "name",
                  priority_col: str = "priority", literal_grams: int = LITERAL_GRAMS) -> DataFrame:
     """C8 for dictionaries of any length: (key, name) of the first listed name that the text contains, case ignored.
 
-    Every name is filed under its rarest stretch of GRAM characters (a shorter name under itself), and a text asks for
-    the stretches that it holds; only names filed under one of them are looked for in it. First is the smallest priority, ties by
-    name; null and empty names count for nothing; texts without a name have no row. Rows with one key are one text's parts.
-
-    A dictionary of up to ``literal_grams`` names goes into the plan, so that a text sends only the stretches that some name is filed under;
-    a longer one is joined with all of them. The result is the same."""
-    listed = names.select(F.lower(name_col).alias("low"), F.col(name_col).alias("name"), F.col(priority_col).alias("priority")).filter("low <> ''")
-    size = F.least(F.length("low"), F.lit(GRAM))
-    grams = listed.select("low", "name", "priority", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("low") - size + 1), lambda i: F.substring(F.col("low"), i, size)))).alias("gram"))
-    common = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    index = grams.join(common, "gram").groupBy("low", "name", "priority").agg(F.min(F.struct("n", "gram")).alias("best")) \
-        .select(F.col("best.gram").alias("gram"), "low", "name", "priority")
-    index = written(index, "names")
-    lengths = [r[0] for r in index.select(F.length("gram")).distinct().collect()]  # at most GRAM of them
-    texts = docs.select(F.col(key).alias("key"), F.lower(text_col).alias("text")).filter(F.col("text").isNotNull())
-    found = F.flatten(F.transform(F.array(F.split("text", "")), lambda c: F.concat(*[_grams(c, n) for n in lengths]))) if lengths else F.array().cast("array<string>")
-    wanted = index.select("gram").distinct().limit(literal_grams + 1)
-    if wanted.count() <= literal_grams:
-        known = [r["gram"] for r in wanted.collect()]
-        held = F.filter(found, lambda g: g.isin(known) if known else F.lit(False))
-        asked = texts.select("key", "text", F.explode(held).alias("gram"))
-        hits = asked.join(index, "gram").filter(F.contains("text", "low"))
-    else:
-        rows = written(texts.withColumn("row", F.monotonically_increasing_id()), "texts")
-        asked = rows.select("row", F.explode(found).alias("gram"))
-        near = asked.join(index, "gram").select("row", "low", "name", "priority").distinct()
-        hits = near.join(rows, "row").filter(F.contains("text", "low"))
-    return hits.groupBy("key").agg(F.min(F.struct("priority", "name")).alias("first")).select(F.col("key").alias(key), "first.name")
+    Every stretch of a text that is as long as some name is looked up in a filter of bounded size, and what passes is
+    joined with the list by its characters, so that texts and list only meet where a name is held. First is the smallest
+    priority, ties by name; null and empty names count for nothing; texts without a name have no row. Rows with one key are one text's parts.
+
+    The first ``literal_grams`` names of the list go along with the filter: a text that holds one of them sends that
+    name alone, and any other text all that it holds. The result is the same for any number of them."""
+    listed = names.select(F.lower(name_col).alias("low"), F.struct(F.col(priority_col).alias("priority"), F.col(name_col).alias("name")).alias("first")).filter("low <> ''")
+    index = written(listed.groupBy("low").agg(F.min("first").alias("first")), "names")
+    foremost = [r["low"] for r in index.orderBy("first").limit(literal_grams).collect()] if literal_grams else []
+    texts = docs.select(F.col(key).alias("key"), F.lower(text_col).alias("text")).filter(F.col("text") != "")
+    hits = names_asked(texts, index, foremost).join(index, "low")
+    return hits.groupBy("key").agg(F.min("first").alias("first")).select(F.col("key").alias(key), "first.name")

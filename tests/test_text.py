@@ -149,6 +149,25 @@ def test_names_of_a_long_dictionary(spark, literal):
     assert got == {i: x for i, (_, x) in want.items()} and len(got) > 60
 
 
+def test_texts_send_little_but_the_names_they_hold(spark):
+    """What the texts of a long list send does not grow with their other characters."""
+    import random
+    rng = random.Random(5)
+    def word():
+        return "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    docs = [(i, " ".join(word() for _ in range(300))) for i in range(150)]
+    listed = {" ".join(t.split(" ")[2:4]) for _, t in docs} | {f"{word()} {word()}" for _ in range(3000)} | {"x" * 90, "abc"}
+    index = spark.createDataFrame([(n,) for n in listed], "low string")
+    texts = spark.createDataFrame(docs, "key long, text string")
+    held = {(i, n) for i, t in docs for n in listed if n in t}
+    sent = [(r.key, r.low) for r in D.names_asked(texts, index, []).collect()]
+    assert held <= set(sent) and len(sent) == len(set(sent)) <= len(held) + 10 * len(docs)
+    first = sorted(listed)[:2000]
+    alone = [(r.key, r.low) for r in D.names_asked(texts, index, first).collect()]
+    for i in {i for i, n in held if n in set(first)}:
+        assert [n for k, n in alone if k == i] == [min(n for k, n in held if k == i)]
+
+
 def test_vocabulary_by_two_passes_equals_full_counts(spark):
     import random
     from collections import Counter
