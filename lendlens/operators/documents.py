@@ -57,10 +57,15 @@ def unigrams(text_col: str = "text", stop_words=None) -> "F.Column":
 WORD_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def unigrams_and_bigrams(text_col: str = "text", stop_words=None) -> "F.Column":
-    """Words of two or more word characters without stop words, then adjacent pairs."""
+def long_words(text_col: str = "text", stop_words=None) -> "F.Column":
+    """Words of two or more word characters without stop words."""
     stop = list(stop_words if stop_words is not None else default_stop_words())
-    words = F.filter(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_TOKEN), 0), lambda w: ~w.isin(stop))
+    return F.filter(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_TOKEN), 0), lambda w: ~w.isin(stop))
+
+
+def unigrams_and_bigrams(text_col: str = "text", stop_words=None) -> "F.Column":
+    """The long words, then adjacent pairs of them."""
+    words = long_words(text_col, stop_words)
     none = F.array().cast("array<string>")
 
     def pairs(k):
@@ -82,22 +87,63 @@ def heavy_terms(docs: DataFrame, terms: "F.Column", size: int, tracked: int = TR
     Every task follows a bounded number of terms (frequent-items sketches), so no other term leaves it. The sketches
     name candidates and bound the count of all other terms; a second pass counts the candidates alone. Where the
     last of the ``size`` does not exceed the bound, another term might belong there, and nothing is returned."""
+    top, bound = heavy_candidates(docs, terms, size, tracked)
+    if not bound:  # no terms at all
+        return {}
+    counts = docs.select(F.explode(F.filter(terms, lambda t: t.isin(top))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
+    best = sorted(((-r["n"], r["term"].encode()) for r in counts))[:size]
+    if len(best) < size or -best[-1][0] <= bound:
+        return None
+    return {t.decode(): -n for n, t in best}
+
+
+def heavy_candidates(docs: DataFrame, terms: "F.Column", size: int, tracked: int = TRACKED) -> tuple[list[str], float]:
+    """(terms that may be among the ``size`` most frequent, a bound for the count of any other)."""
     wanted = min(tracked // 4, 4 * size)
     rows = docs.select(F.explode(terms).alias("term"))
     parts = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(SUMMARIES)).alias("part")) \
         .agg(F.expr(f"approx_top_k_accumulate(term, {tracked})").alias("sketch"), F.count(F.lit(1)).alias("n"))
     found = parts.groupBy(F.lit(1)).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {wanted})").alias("top"), F.sum("n").alias("n")).first()
     if found is None or not found["n"]:
-        return {}
+        return [], 0.0
     top = [(t["item"], t["count"]) for t in found["top"]]
     # a sketch of m entries errs by at most 3.5 n / m; those it returns not have no more than the last it returns
-    bound = max(3.5 * found["n"] / tracked, top[-1][1] if len(top) == wanted else 0)
-    names = [t for t, _ in top]
-    counts = docs.select(F.explode(F.filter(terms, lambda t: t.isin(names))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()
-    best = sorted(((-r["n"], r["term"].encode()) for r in counts))[:size]
-    if len(best) < size or -best[-1][0] <= bound:
-        return None
-    return {t.decode(): -n for n, t in best}
+    return [t for t, _ in top], max(3.5 * found["n"] / tracked, top[-1][1] if len(top) == wanted else 0)
+
+
+def frequent_ngrams(docs: DataFrame, key: str, text_col: str, size: int, stop_words=None, tracked: int = TRACKED,
+                    most: int = 4096) -> tuple[DataFrame, "F.Column", list[str]] | None:
+    """(rows, their terms, vocabulary): the ``size`` most frequent words and pairs, by words alone, or None where over ``most`` words tie.
+
+    A pair is no more frequent than either of its words. So a pair among the ``size`` most frequent terms, whose
+    counts are at least the ``size``-th word's, consists of words with such counts. The rows keep these
+    candidates of every text in their places and nothing of its other words; they are written once and hold all
+    that the vocabulary and the weights need. A summary of the words names them, as in heavy_terms, and where it cannot
+    tell, the counts of all words do."""
+    words = long_words(text_col, stop_words)
+    names, bound = heavy_candidates(docs, words, size, tracked)
+    found = _ngram_counts(docs, key, words, names, size, bound) if len(names) >= size or not bound else None
+    if found is None:  # all words are counted, and no pair
+        counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        top = counts.orderBy(F.desc("n"), "term").limit(most + 1).collect()
+        least = top[size - 1]["n"] if len(top) >= size else 0
+        if len(top) > most and top[-1]["n"] >= least:
+            return None
+        found = _ngram_counts(docs, key, words, [r["term"] for r in top if r["n"] >= least], size, 0)
+    return found
+
+
+def _ngram_counts(docs, key, words, names, size, bound):
+    """The rows of the words ``names``, their terms and the ``size`` most frequent; None unless ``size`` words exceed a ``bound`` above 0."""
+    rows = written(docs.select(key, F.transform(words, lambda w: F.when(w.isin(names) if names else F.lit(False), w)).alias("_w")), "ngrams")
+    pair = F.arrays_zip(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))).alias("a"), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))).alias("b"))
+    pairs = F.transform(F.filter(pair, lambda p: p["a"].isNotNull() & p["b"].isNotNull()), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+    terms = F.coalesce(F.concat(F.filter("_w", lambda w: w.isNotNull()), pairs), F.array().cast("array<string>"))
+    if bound:
+        single = rows.select(F.explode("_w").alias("word")).filter("word IS NOT NULL").groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()
+        if len(single) < size or sorted(r["n"] for r in single)[-size] <= bound:
+            return None
+    return rows, terms, counted_vocabulary(rows, terms, size)
 
 
 def top_vocabulary(docs: DataFrame, terms: "F.Column", size: int) -> list[str]:
@@ -108,6 +154,11 @@ def top_vocabulary(docs: DataFrame, terms: "F.Column", size: int) -> list[str]:
     found = heavy_terms(docs, terms, size)
     if found is not None:
         return list(found)
+    return counted_vocabulary(docs, terms, size)
+
+
+def counted_vocabulary(docs: DataFrame, terms: "F.Column", size: int) -> list[str]:
+    """The same from the counts of all terms."""
     counts = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
     return [r["term"] for r in counts.orderBy(F.desc("total"), F.asc("term")).limit(size).collect()]
 
@@ -171,7 +222,12 @@ def tfidf_ngrams(docs: DataFrame, key: str = "doc_id", text_col: str = "text", m
     """uni+bigram TF-IDF, top ``max_features`` terms by corpus count, smoothed
     idf = ln((1 + N) / (1 + df)) + 1, each document's vector scaled to unit length
     -- the length is computed inside the row."""
-    rows = _scored(docs, key, unigrams_and_bigrams(text_col, stop_words), max_features, 1.0)
+    found = frequent_ngrams(docs, key, text_col, max_features, stop_words)
+    if found is not None:
+        rows = _scored(found[0], key, found[1], max_features, 1.0, found[2])
+    else:
+        terms = unigrams_and_bigrams(text_col, stop_words)
+        rows = _scored(docs, key, terms, max_features, 1.0, counted_vocabulary(docs, terms, max_features))
     norm = F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
     return rows.withColumn("_n", norm).select(key, "_n", F.inline("_s").alias("term", "tf", "_w")) \
         .select(key, "term", "tf", (F.col("_w") / F.col("_n")).alias("tfidf"))

@@ -187,6 +187,32 @@ def test_vocabulary_by_two_passes_equals_full_counts(spark):
     assert D.heavy_terms(df.limit(0), D.unigrams("text"), 10) == {}
 
 
+@pytest.mark.parametrize("tracked", [1 << 14, 32])
+def test_pairs_are_counted_from_the_frequent_words_alone(spark, tracked, monkeypatch):
+    import random
+    from collections import Counter
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choices(words, weights=[400 / (k + 1) ** 1.5 for k in range(400)], k=60))) for i in range(150)] + [(900, None), (901, ""), (902, "w0"), (903, "w0 w0 w0"), (3, "w1 w0")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    count = Counter()
+    for _, t in docs:
+        k = (t or "").split()
+        count.update(k + [f"{a} {b}" for a, b in zip(k, k[1:])])
+    want = [t for t, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:20]]
+    assert any(" " in t for t in want)
+    found = D.frequent_ngrams(df, "doc_id", "text", 20, tracked=tracked)
+    assert found[2] == want  # a summary of 32 words cannot tell; the counts of all words do
+    assert D.frequent_ngrams(df, "doc_id", "text", 399, tracked=32, most=2) is None
+    if tracked > 32:  # nothing is left of other words
+        kept = {w for r in found[0].collect() for w in r["_w"] or [] if w}
+        assert len(kept) <= 80 and {r.term for r in D.tfidf_ngrams(df, max_features=20).collect()} == set(want)
+        # the result is that of the counts of all terms
+        by_words = sorted(map(tuple, D.tfidf_ngrams(df, max_features=20).collect()))
+        monkeypatch.setattr(D, "frequent_ngrams", lambda *a, **k: None)
+        assert by_words == sorted(map(tuple, D.tfidf_ngrams(df, max_features=20).collect()))
+
+
 def test_modes_of_all_columns_in_one_pass(spark):
     from lendlens.operators import clean as CL
     df = spark.createDataFrame([(1, "b", 2.0, None), (2, "a", 2.0, None), (None, None, None, None), (2, "b", 1.0, None), (1, "a", None, None)],
